@@ -6,7 +6,7 @@ from importlib import import_module
 
 from quintil.catalog.base import QUERIES, TWINS
 
-_MODULES = ("dataset",)
+_MODULES = ("dataset", "splits", "diagnostics")
 
 
 def load() -> tuple[dict, dict]:

@@ -198,7 +198,7 @@ edges AS (
 predictions AS (
   SELECT with_errors.* EXCLUDE (Region, ANO4, TRIMESTRE, CAT_OCUP, AGLOMERADO, X1),
     CASE WHEN len(list_distinct(q)) >= 2
-      THEN greatest(1, len(list_distinct(list_filter(q, e -> e < y_true)))) END AS income_decile
+      THEN greatest(1, len(list_distinct(list_filter(q, lambda e: e < y_true)))) END AS income_decile
   FROM with_errors JOIN edges USING (run_id, model, split))"""
 
 PREDICTIONS = f"WITH {PEOPLE}, {SPLITS}, {PREDICTED}"

@@ -298,8 +298,13 @@ def fold_cuts(ids: DataFrame, k: int, key: str = "row_id", within: Sequence[str]
 
 def kfold(df: DataFrame, k: int, key: str = "row_id", name: str = "fold") -> DataFrame:
     """Contiguous blocks in id order, numbered from 0, as unshuffled k-fold does."""
-    starts = fold_cuts(df, k, key).agg(F.sort_array(F.collect_list("first_id")).alias("starts")).scalar()
-    return df.withColumn(name, F.size(F.filter(starts, lambda s: s <= F.col(key))))
+    if k < 2:
+        return df.withColumn(name, F.lit(0))
+    starts = fold_cuts(df, k, key).agg(
+        F.struct(*[F.max(F.when(F.col("fold") == i, F.col("first_id"))).alias(f"f{i}") for i in range(1, k)]).alias("s")
+    ).scalar()
+    passed = [F.coalesce((F.col(key) >= starts[f"f{i}"]).cast("int"), F.lit(0)) for i in range(1, k)]
+    return df.withColumn(name, sum(passed[1:], passed[0]))
 
 
 def stratified_kfold(df: DataFrame, k: int, label: str, key: str = "row_id", name: str = "fold") -> DataFrame:
