@@ -155,13 +155,11 @@ def raw_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = split_people(spark, sf_dir)
     train = joined.filter(F.col("split") == "train")
     means = train.groupBy("Region").agg(F.avg("logP47T").alias("__mean"))
-    line = train.agg(
-        F.struct(F.regr_slope("logP47T", "X1").alias("b"), F.regr_intercept("logP47T", "X1").alias("a")).alias("s")
-    ).scalar()
+    line = train.agg(F.regr_slope("logP47T", "X1").alias("b"), F.regr_intercept("logP47T", "X1").alias("a")).first()
     scored = joined.filter(F.col("split") != "train").join(means, "Region")
     models = F.array(
         F.struct(F.lit("GroupMean").alias("model"), F.col("__mean").alias("y_pred")),
-        F.struct(F.lit("Univariate").alias("model"), (line["a"] + line["b"] * F.col("X1")).alias("y_pred")),
+        F.struct(F.lit("Univariate").alias("model"), (F.lit(line["a"]) + F.lit(line["b"]) * F.col("X1")).alias("y_pred")),
     )
     return scored.select(
         "row_id", "split", "logP47T", "Region", "ANO4", "TRIMESTRE", "CAT_OCUP", "AGLOMERADO", "X1",

@@ -87,11 +87,10 @@ def boxplot_stats(df: DataFrame, key: str, column: str) -> DataFrame:
 def iqr_outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows outside the 1.5 IQR fences, per column."""
     spec = {c: {f"{c}__q1": 0.25, f"{c}__q3": 0.75} for c in columns}
-    points = percentile_columns(df, [], spec)
-    fences = points.select(F.struct(*points.columns).alias("p")).scalar()
+    fences = percentile_columns(df, [], spec).first()
     counts = []
     for c in columns:
-        q1, q3 = fences[f"{c}__q1"], fences[f"{c}__q3"]
+        q1, q3 = (F.lit(fences[f"{c}__{q}"]) for q in ("q1", "q3"))
         outside = (F.col(c) < q1 - 1.5 * (q3 - q1)) | (F.col(c) > q3 + 1.5 * (q3 - q1))
         counts.append(F.count_if(outside).alias(c))
     return df.agg(*counts).unpivot([], list(columns), "variable", "outliers")
@@ -234,15 +233,13 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int, keys: Sequence[s
 
 def density_2d(df: DataFrame, x: str = "y_true", y: str = "y_pred", grid: int = 45) -> DataFrame:
     """Counts on a grid of equal-width cells over two columns."""
-    bounds = df.agg(
-        F.struct(
-            F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")
-        ).alias("b")
-    ).scalar()
+    bounds = df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
 
     def cell(column: str, low: str, high: str) -> Column:
+        if bounds[low] is None or bounds[low] == bounds[high]:
+            return F.lit(0)
         width = (bounds[high] - bounds[low]) / grid
-        return F.when(width > 0, F.least(F.lit(grid - 1), F.floor((F.col(column) - bounds[low]) / width))).otherwise(0)
+        return F.least(F.lit(grid - 1), F.floor((F.col(column) - bounds[low]) / width))
 
     return (
         df.select(cell(x, "x0", "x1").cast("int").alias("x_cell"), cell(y, "y0", "y1").cast("int").alias("y_cell"))

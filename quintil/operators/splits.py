@@ -22,6 +22,11 @@ def _share(fraction: float) -> Callable[[Column], Column]:
     return lambda n: F.bround(n * F.lit(float(fraction))).cast("long")
 
 
+def _before(place: Column, cut: str | None) -> Column:
+    """Whether a hash lies before a cut; no cut means that every row does."""
+    return F.lit(True) if cut is None else place < F.lit(cut)
+
+
 def random_split(
     df: DataFrame,
     key: str = "row_id",
@@ -37,14 +42,14 @@ def random_split(
     if abs(sum(sizes) - 1.0) > 1e-8:
         raise ValueError("Split sizes must sum to 1.0.")
     train, test = _share(sizes[0]), _share(sizes[1])
-    cuts = hash_cuts(
+    cut = hash_cuts(
         df, key, seed, {"train_end": train, "test_end": lambda n: F.least(train(n) + test(n), n)}, digits=digits
-    ).select(F.struct("train_end", "test_end").alias("c"))
-    cut, place = cuts.scalar(), hash_order(seed, key)
+    ).first()
+    place = hash_order(seed, key)
     return df.select(
         F.col(key),
-        F.when(F.coalesce(place < cut["train_end"], F.lit(True)), "train")
-        .when(F.coalesce(place < cut["test_end"], F.lit(True)), "test")
+        F.when(_before(place, cut["train_end"]), "train")
+        .when(_before(place, cut["test_end"]), "test")
         .otherwise("validation")
         .alias("split"),
     )
@@ -59,14 +64,12 @@ def nested_split(df: DataFrame, key: str = "row_id", seed: int = 42, digits: int
     def tested(n: Column) -> Column:
         return held(n) + F.ceil((n - held(n)) * F.lit(2.0) / F.lit(9.0))
 
-    cuts = hash_cuts(df, key, seed, {"held": held, "tested": tested}, digits=digits).select(
-        F.struct("held", "tested").alias("c")
-    )
-    cut, place = cuts.scalar(), hash_order(seed, key)
+    cut = hash_cuts(df, key, seed, {"held": held, "tested": tested}, digits=digits).first()
+    place = hash_order(seed, key)
     return df.select(
         F.col(key),
-        F.when(F.coalesce(place < cut["held"], F.lit(True)), "validation")
-        .when(F.coalesce(place < cut["tested"], F.lit(True)), "test")
+        F.when(_before(place, cut["held"]), "validation")
+        .when(_before(place, cut["tested"]), "test")
         .otherwise("train")
         .alias("split"),
     )
@@ -209,19 +212,18 @@ def stratified_sample(
             chain = F.when(F.col("split") == split, F.lit(size)).otherwise(chain)
         return lambda _: chain
 
-    cuts = hash_cuts(joined, key, seed, {"cut": upto(targets)}, within=["split"])
-    by_split = F.broadcast(cuts.select(F.col("split").alias("__s"), "cut"))
-    place = hash_order(seed, key)
-    tagged = joined.join(by_split, F.col("split") == F.col("__s"), "left").withColumn(
-        # A split without a cut row is taken whole.
-        "__in", F.coalesce(place < F.col("cut"), F.lit(True)) & F.col("split").isin(*targets)
-    )
+    cuts = {r["split"]: r["cut"] for r in hash_cuts(joined, key, seed, {"cut": upto(targets)}, within=["split"]).collect()}
+    place, inside = hash_order(seed, key), F.lit(False)
+    for split in targets:
+        # A split without a cut is taken whole.
+        inside = F.when(F.col("split") == split, _before(place, cuts.get(split))).otherwise(inside)
+    tagged = joined.withColumn("__in", inside)
     short = n - sum(targets.values())
     if short <= 0:
         return tagged.filter("__in").select(*joined.columns)
     pool = tagged.filter(~F.col("__in"))
-    extra = hash_cuts(pool, key, seed + 1, {"cut": lambda _: F.lit(short)}).select("cut").scalar()
-    chosen = F.col("__in") | F.coalesce(hash_order(seed + 1, key) < extra, F.lit(True))
+    extra = hash_cuts(pool, key, seed + 1, {"cut": lambda _: F.lit(short)}).first()["cut"]
+    chosen = F.col("__in") | _before(hash_order(seed + 1, key), extra)
     return tagged.filter(chosen).select(*joined.columns)
 
 
@@ -255,11 +257,10 @@ def fold_cuts(ids: DataFrame, k: int, key: str = "row_id", within: Sequence[str]
     boundary are sorted.
     """
     groups = list(within)
-    span = ids.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).select(
-        F.struct("lo", "hi", "n").alias("s")
-    ).scalar()
-    width = F.greatest(F.lit(1), F.ceil((span["hi"] - span["lo"] + 1) / F.lit(4096)))
-    placed = ids.select(*groups, key, F.floor((F.col(key) - span["lo"]) / width).alias("__b"))
+    span = ids.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    low, high = (span["lo"], span["hi"]) if span["lo"] is not None else (0, 0)
+    width = max(1, -(-(high - low + 1) // 4096))
+    placed = ids.select(*groups, key, F.floor((F.col(key) - low) / width).alias("__b"))
     sizes = placed.groupBy(*groups, "__b").agg(F.count(F.lit(1)).alias("__n"))
     everything = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(1))
     ordered = everything.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
@@ -300,11 +301,9 @@ def kfold(df: DataFrame, k: int, key: str = "row_id", name: str = "fold") -> Dat
     """Contiguous blocks in id order, numbered from 0, as unshuffled k-fold does."""
     if k < 2:
         return df.withColumn(name, F.lit(0))
-    starts = fold_cuts(df, k, key).agg(
-        F.struct(*[F.max(F.when(F.col("fold") == i, F.col("first_id"))).alias(f"f{i}") for i in range(1, k)]).alias("s")
-    ).scalar()
-    passed = [F.coalesce((F.col(key) >= starts[f"f{i}"]).cast("int"), F.lit(0)) for i in range(1, k)]
-    return df.withColumn(name, sum(passed[1:], passed[0]))
+    # k - 1 ids come to the driver; assigning folds is then map-only.
+    passed = [(F.col(key) >= r["first_id"]).cast("int") for r in fold_cuts(df, k, key).collect()]
+    return df.withColumn(name, sum(passed[1:], passed[0]) if passed else F.lit(0))
 
 
 def stratified_kfold(df: DataFrame, k: int, label: str, key: str = "row_id", name: str = "fold") -> DataFrame:
