@@ -14,11 +14,32 @@ from pyspark.sql import functions as F
 from quintil.functions.scalar import with_errors
 from quintil.operators.metrics import income_decile
 from quintil.operators.splits import random_split
+from quintil.session import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
 DIGITS = 6
 
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
 
 def query(name: str, sql: str | None = None):
     """Register a query under its operator id, with its SQL twin if there is one."""
@@ -33,7 +54,8 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """An input table; the declared schema saves the footer-reading job."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tidy(df: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -173,7 +195,8 @@ def raw_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Errors are rounded before they are compared, so that ties are the same in both engines.
     df = with_errors(raw_predictions(spark, sf_dir).withColumn("y_pred", F.round("y_pred", 9)))
-    return income_decile(df).select(
+    # Deciles read the predictions several times, so they are written first, as a run does.
+    return income_decile(settle(df)).select(
         "run_id", "model", "split", "row_id", "y_true", "y_pred", "residual", "abs_error", "squared_error", "income_decile"
     )
 

@@ -1,4 +1,4 @@
-"""Exact interpolated percentiles without holding a group in one task."""
+"""Exact interpolated percentiles without holding a large group in one task."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from quintil.session import side_table
 
 ACCURACY = 50_000
+# Groups up to this many rows may be held by one task as a value -> count map.
+DIRECT_ROWS = 200_000
 
 
 def exact_percentiles(
@@ -19,10 +21,12 @@ def exact_percentiles(
     probs: Sequence[float],
     keys: Sequence[str] = (),
     accuracy: int = ACCURACY,
+    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Linear-interpolation percentiles: ``keys``, ``variable``, ``n``, array ``q``.
 
-    A first pass brackets every percentile with ``percentile_approx``, whose
+    Group sizes are counted first. If none exceeds ``direct_rows``, the built-in
+    exact ``percentile`` is used. Otherwise a first pass brackets every percentile with ``percentile_approx``, whose
     rank error is at most ``1 / accuracy``. A second pass counts the values below
     each bracket and combines equal values inside it; both shrink map-side, and
     only the bracket's distinct values are put in order. Groups of at most
@@ -39,6 +43,16 @@ def exact_percentiles(
         .select(*keys, "__s.variable", "__s.v")
         .filter(F.col("v").isNotNull() & ~F.isnan("v"))
     )
+    sizes = long.groupBy(*keys, "variable").agg(F.count("v").alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0]
+    if largest is None or largest <= direct_rows:
+        return long.groupBy(*keys, "variable").agg(
+            F.count("v").alias("n"), F.percentile("v", [float(p) for p in probs]).alias("q")
+        )
+    return _bracketed(long, keys, probs, accuracy)
+
+
+def _bracketed(long: DataFrame, keys: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
     slack = 2.0 / accuracy
     limits = [b for p in probs for b in (max(0.0, p - slack), min(1.0, p + slack))]
     sketch = long.groupBy(*keys, "variable").agg(
