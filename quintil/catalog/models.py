@@ -201,7 +201,7 @@ def j23(spark, sf_dir):
 
 @query("g10_best_per_column", tidy_sql(f"""{LINES}, z AS (SELECT "column", model, test_r2 FROM r UNION ALL SELECT 'X1', 'Mean', 1 - avg((y - (SELECT avg({TARGET}) FROM joined WHERE split = 'train')) ** 2) / var_pop(y) FROM l WHERE split = 'test' AND c = 'X1'),
   b AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY test_r2 DESC, model DESC) AS k FROM z)
-  SELECT "column", model, test_r2, test_r2 = max(test_r2) OVER () AS overall FROM b WHERE k = 1""", "test_r2"))
+  SELECT "column", model, test_r2, test_r2 = (SELECT max(test_r2) FROM b) AS overall FROM b WHERE k = 1""", "test_r2"))
 def g10(spark, sf_dir):
     joined = split_people(spark, sf_dir)
     lines = models.univariate_lines(joined, SCREENED, TARGET).select("column", "model", "test_r2")

@@ -96,19 +96,22 @@ class Preparation:
         out = out.withColumns({f"__t_{i}": self.text(c) for i, c in enumerate(self.categorical)})
         inputs = [f"__n_{i}" for i in range(len(self.numeric))]
         made = list(inputs) + [f"__t_{i}" for i in range(len(self.categorical))]
-        if self.categorical:
-            index = [f"__i_{i}" for i in range(len(self.categorical))]
-            hot = [f"__h_{i}" for i in range(len(self.categorical))]
-            indexer = StringIndexerModel.from_arrays_of_labels(
-                [self.levels[c] for c in self.categorical],
-                inputCols=[f"__t_{i}" for i in range(len(self.categorical))],
-                outputCols=index,
-                handleInvalid="keep",
-            )
-            out = indexer.transform(out)
-            # The index column's metadata names the slots, so this fit reads no data.
+        index, hot = [], []
+        for i, c in enumerate(self.categorical):
+            if self.levels[c]:
+                indexer = StringIndexerModel.from_labels(
+                    self.levels[c], inputCol=f"__t_{i}", outputCol=f"__i_{i}", handleInvalid="keep"
+                )
+                out = indexer.transform(out)
+                index.append(f"__i_{i}")
+                hot.append(f"__h_{i}")
+            elif keep_missing:
+                out = out.withColumn(f"__h_{i}", F.lit(1.0))
+        if index:
+            # The index columns' metadata names the slots, so this fit reads no data.
             out = OneHotEncoder(inputCols=index, outputCols=hot, dropLast=not keep_missing).fit(out).transform(out)
-            inputs, made = inputs + hot, made + index + hot
+        inputs += [f"__h_{i}" for i, c in enumerate(self.categorical) if self.levels[c] or keep_missing]
+        made += index + [f"__h_{i}" for i in range(len(self.categorical))]
         return VectorAssembler(inputCols=inputs, outputCol=output).transform(out).drop(*made)
 
 

@@ -232,8 +232,8 @@ def best_per_column(results: DataFrame, column: str = "column", metric: str = "t
     """Best model per single feature; ``overall`` marks the best of them all."""
     rows = F.struct(*[c for c in results.columns if c != column])
     best = results.groupBy(column).agg(F.max_by(rows, F.struct(metric, "model")).alias("b")).select(column, "b.*")
-    top = best.agg(F.max(metric)).scalar()
-    return best.withColumn("overall", F.col(metric) == top)
+    # One row per column; a window, so that the scores are not computed twice.
+    return best.withColumn("overall", F.col(metric) == F.max(metric).over(W.partitionBy(F.lit(1))))
 
 
 def alpha_curve(cv_results: DataFrame) -> DataFrame:

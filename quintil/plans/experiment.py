@@ -37,6 +37,7 @@ class Experiment:
     mode: str = "full"
     sweep: Mapping[str, str] | None = None
     drop_first: bool = False
+    diagnostics: bool = True
     contract: Contract = field(default_factory=Contract)
 
 
@@ -111,7 +112,9 @@ def run_experiment(
     metrics.require_feature_count_consistency(comparison)
     cv_results = _union(cv_frames)
     coefficients = selection.coefficient_table(_union(coefficient_frames)) if coefficient_frames else None
-    tables = build_diagnostics(predictions, comparison, run_id, cv_results=cv_results, sweep=dict(spec.sweep) if spec.sweep else None)
+    tables = {}
+    if spec.diagnostics:
+        tables = build_diagnostics(predictions, comparison, run_id, cv_results=cv_results, sweep=dict(spec.sweep) if spec.sweep else None)
     tables["metrics_long"] = metrics.metrics_long(comparison, run_id)
     if coefficients is not None:
         tables["coefficients"] = coefficients
@@ -171,7 +174,7 @@ def archive(registry: RunRegistry, result: RunResult) -> None:
         "metrics": result.comparison,
         "predictions": result.predictions,
         "cv_results": result.cv_results,
-        "diagnostics": result.tables["residual_summary"],
+        "diagnostics": metrics.run_residual_summary(result.predictions),
         "manifest": manifest_frame(result),
     }
     if result.coefficients is not None:
@@ -216,7 +219,7 @@ def geo_probe(spec: Experiment, dataset: DataFrame, assignments: DataFrame, mate
     scores = []
     for variant, view in GEO_VARIANTS.items():
         run = run_experiment(
-            Experiment(**{**spec.__dict__, "experiment_id": f"{spec.experiment_id}_{variant}", "view": view}), dataset, assignments, variant
+            Experiment(**{**spec.__dict__, "experiment_id": f"{spec.experiment_id}_{variant}", "view": view, "diagnostics": False}), dataset, assignments, variant
         )
         scores.append(run.comparison.select(F.lit(variant).alias("variant"), "model", "feature_count", "cv_r2_mean", "test_r2", "validation_r2"))
     table = settle(_union(scores))
@@ -254,7 +257,7 @@ def fixed_effect_study(
         effect = {"name": name, "columns": design["columns"], "max_levels": design["max_levels"], "drop_first": True}
         view = {"name": f"{name}_clean", "drop_columns": design["drop"]}
         run = run_experiment(
-            Experiment(**{**spec.__dict__, "experiment_id": f"{spec.experiment_id}_{name}", "view": view, "fixed_effects": [effect]}),
+            Experiment(**{**spec.__dict__, "experiment_id": f"{spec.experiment_id}_{name}", "view": view, "fixed_effects": [effect], "diagnostics": False}),
             dataset, assignments, name,
         )
         scores.append(run.comparison.withColumn("effect", F.lit(name)))
