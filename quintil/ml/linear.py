@@ -146,6 +146,15 @@ def cross_products(
     """Reduce a training frame to one cross-product matrix per contiguous fold."""
     numeric, texts = feature_types(df, features, categorical)
     used = df.select(key, F.col(target).cast("double").alias("__y"), *[F.col(f"`{c}`") for c in dict.fromkeys(features)])
+    # Cuts, moments, levels and vectors all read the training columns.
+    used = used.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _reduce(used, numeric, texts, folds, key)
+    finally:
+        used.unpersist()
+
+
+def _reduce(used: DataFrame, numeric: list[str], texts: list[str], folds: int, key: str) -> CrossProducts:
     used = kfold(used, folds, key, "__fold") if folds > 1 else used.withColumn("__fold", F.lit(0))
     moments = used.agg(
         F.avg("__y").alias("y"),

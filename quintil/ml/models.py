@@ -137,13 +137,17 @@ def fit_model(
     categorical: Sequence[str] = (),
     seed: int = 42,
 ) -> FittedModel:
-    prepared = prepare(train, features, categorical)
-    vectors = _vectors(train, prepared, target).persist(StorageLevel.MEMORY_AND_DISK)
+    used = train.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*features, target])]).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = None
     try:
+        prepared = prepare(used, features, categorical)
+        vectors = _vectors(used, prepared, target).persist(StorageLevel.MEMORY_AND_DISK)
         rows = vectors.count()
         return FittedModel(prepared, estimator(model, params or {}, rows, seed).fit(vectors))
     finally:
-        vectors.unpersist()
+        used.unpersist()
+        if vectors is not None:
+            vectors.unpersist()
 
 
 def _vectors(df: DataFrame, prepared: Preparation, target: str) -> DataFrame:
@@ -193,7 +197,8 @@ def grid_search(
     """
     start = time.perf_counter()
     classifier = model in CLASSIFIERS
-    folded = stratified_kfold(train, folds, target, key, "__fold") if classifier else kfold(train, folds, key, "__fold")
+    used = train.select(*[F.col(f"`{c}`") for c in dict.fromkeys([key, *features, target])]).persist(StorageLevel.MEMORY_AND_DISK)
+    folded = stratified_kfold(used, folds, target, key, "__fold") if classifier else kfold(used, folds, key, "__fold")
     points = grid_points(grid)
     scores: dict[int, list[tuple[float, float | None, float]]] = {i: [] for i in range(len(points))}
     for fold in range(folds):
@@ -237,7 +242,8 @@ def grid_search(
     for row in rows:
         row["rank_test_score"] = 1 + sum(other["mean_test_score"] > row["mean_test_score"] for other in rows)
     best = max(range(len(points)), key=lambda i: rows[i]["mean_test_score"])
-    fit = fit_model(train, features, target, model, points[best], categorical, seed)
+    fit = fit_model(used, features, target, model, points[best], categorical, seed)
+    used.unpersist()
     return SearchResult(rows, points[best], rows[best]["mean_test_score"], rows[best]["std_test_score"], fit, time.perf_counter() - start)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from quintil.functions.quantiles import percentile_columns
 from quintil.operators.metrics import join_null_safe
 from quintil.operators.order import running_counts
-from quintil.session import side_table
+from quintil.session import BROADCAST_ROWS, settle, side_table
 
 # Cut-offs used before plotting, as fixed values: (column, above, below).
 FILTERS = {
@@ -128,15 +128,15 @@ def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Absolute rank correlation of every column pair, highest first.
 
-    Ranks are computed on distinct values. Each row's values look their rank up
-    by position in a per-column join, so ties never share a task beyond their
-    distinct values.
+    Ranks are computed on distinct values, and each row looks its ranks up per
+    column; a column with few distinct values is broadcast.
     """
-    ranks = side_table(average_ranks(df, columns))
+    ranks = settle(average_ranks(df, columns))
+    sizes = {r["variable"]: r["count"] for r in ranks.groupBy("variable").count().collect()}
     out = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     for c in columns:
         lookup = ranks.filter(F.col("variable") == c).select(F.col("value").alias(c), F.col("avg_rank").alias(f"__r_{c}"))
-        out = out.join(lookup, c, "left")
+        out = out.join(F.broadcast(lookup) if sizes.get(c, 0) <= BROADCAST_ROWS else lookup, c, "left")
     ranked = out.select(*[F.col(f"__r_{c}").alias(c) for c in columns])
     return (
         pearson_matrix(ranked, columns)

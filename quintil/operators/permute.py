@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quintil.operators.order import hash_rank, order_rank
-from quintil.session import side_table
+from quintil.operators.order import hash_order, hash_rank, order_rank
+from quintil.session import BROADCAST_ROWS, settle, side_table
 
 
 def group_mode(df: DataFrame, group: str, column: str) -> DataFrame:
@@ -32,23 +32,23 @@ def permuted_values(df: DataFrame, column: str, group: str, seed: int = 42) -> D
     The i-th group in key order receives the value of the i-th group in shuffled
     order. If the shuffle changes nothing, positions rotate by one.
     """
-    modes = group_mode(df, group, column)
-    keyed = modes.withColumn("__key", F.coalesce(F.col(group).cast("string"), F.lit("<NA>")))
-    # One row per group, so these windows see groups, not rows.
-    everything = W.partitionBy(F.lit(1))
-    key_order = everything.orderBy("__key")
-    hash_key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__key")))
-    placed = keyed.withColumns(
-        {
-            "__i": F.row_number().over(key_order),
-            "__j": F.row_number().over(everything.orderBy(hash_key)),
-            "__n": F.count(F.lit(1)).over(everything),
-        }
-    )
-    identity = F.bool_and(F.col("__i") == F.col("__j")).over(everything)
-    placed = placed.withColumn(
-        "__j", F.when(identity & (F.col("__n") > 1), F.col("__j") % F.col("__n") + 1).otherwise(F.col("__j"))
+    keyed = settle(
+        group_mode(df, group, column).withColumn("__key", F.coalesce(F.col(group).cast("string"), F.lit("<NA>")))
     )
+    n = keyed.count()
+    if n <= BROADCAST_ROWS:
+        everything = W.partitionBy(F.lit(1))
+        placed = keyed.withColumns(
+            {
+                "__i": F.row_number().over(everything.orderBy("__key")) - 1,
+                "__j": F.row_number().over(everything.orderBy(hash_order(seed, "__key"))) - 1,
+            }
+        )
+    else:
+        placed = hash_rank(order_rank(keyed, ["__key"], "__i"), "__key", seed, "__j")
+    unchanged = placed.agg(F.bool_and(F.col("__i") == F.col("__j"))).first()[0]
+    if unchanged and n > 1:
+        placed = placed.withColumn("__j", (F.col("__j") + 1) % n)
     givers = placed.select(F.col("__j").alias("__slot"), F.col("value").alias("permuted"))
     return placed.join(givers, F.col("__i") == F.col("__slot")).select(group, "value", "permuted", "n_values")
 
