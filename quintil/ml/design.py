@@ -24,6 +24,13 @@ def feature_types(df: DataFrame, features: Sequence[str], categorical: Sequence[
     return numeric, [c for c in features if c not in numeric]
 
 
+def missing_as_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """NaN counts as missing, like NULL."""
+    types = dict(df.dtypes)
+    floats = [c for c in columns if types[c] in ("float", "double")]
+    return df.withColumns({c: F.nanvl(F.col(f"`{c}`"), F.lit(None)) for c in floats}) if floats else df
+
+
 def level_table(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), max_levels: int = MAX_LEVELS) -> DataFrame:
     """Rows per (keys, column, value), refused when there are too many levels.
 
@@ -76,7 +83,7 @@ class Preparation:
     levels: Mapping[str, list[str]] = field(default_factory=dict)
 
     def number(self, column: str) -> Column:
-        value = F.col(f"`{column}`").cast("double")
+        value = F.nanvl(F.col(f"`{column}`").cast("double"), F.lit(None))
         return F.coalesce(value, F.lit(float(self.medians.get(column) or 0.0)))
 
     def text(self, column: str) -> Column:
@@ -120,6 +127,7 @@ def prepare(df: DataFrame, features: Sequence[str], categorical: Sequence[str] =
     numeric, texts = feature_types(df, features, categorical)
     medians: dict[str, float] = {}
     if numeric:
+        df = missing_as_null(df, numeric)
         nulls = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in numeric]).first()
         holes = [c for c in numeric if nulls[c]]
         if holes:

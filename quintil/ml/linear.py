@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from quintil.functions.quantiles import exact_percentiles
-from quintil.ml.design import Preparation, feature_types, level_table
+from quintil.ml.design import Preparation, feature_types, level_table, missing_as_null
 from quintil.operators.splits import kfold
 
 MODEL_NAMES = {
@@ -145,7 +145,7 @@ def cross_products(
 ) -> CrossProducts:
     """Reduce a training frame to one cross-product matrix per contiguous fold."""
     numeric, texts = feature_types(df, features, categorical)
-    used = df.select(key, F.col(target).cast("double").alias("__y"), *[F.col(f"`{c}`") for c in dict.fromkeys(features)])
+    used = missing_as_null(df, numeric).select(key, F.col(target).cast("double").alias("__y"), *[F.col(f"`{c}`") for c in dict.fromkeys(features)])
     # Cuts, moments, levels and vectors all read the training columns.
     used = used.persist(StorageLevel.MEMORY_AND_DISK)
     try:

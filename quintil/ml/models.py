@@ -300,7 +300,8 @@ def univariate_lines(df: DataFrame, columns: Sequence[str], target: str, split:
     All columns share two passes: one for the lines, one for their test errors.
     """
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])
-    long = df.select(split, F.col(target).alias("__y"), F.explode(entries).alias("e")).select(split, "__y", "e.*").filter(F.col("x").isNotNull())
+    long = df.select(split, F.col(target).alias("__y"), F.explode(entries).alias("e")).select(split, "__y", "e.*")
+    long = long.filter(F.col("x").isNotNull() & ~F.isnan("x"))
     lines = long.filter(F.col(split) == "train").groupBy("column").agg(
         F.regr_slope("__y", "x").alias("slope"), F.regr_intercept("__y", "x").alias("intercept")
     )
