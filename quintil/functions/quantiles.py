@@ -12,7 +12,7 @@ from quintil.session import side_table
 
 ACCURACY = 50_000
 # Groups up to this many rows may be held by one task as a value -> count map.
-DIRECT_ROWS = 200_000
+DIRECT_ROWS = 100_000
 
 
 def exact_percentiles(

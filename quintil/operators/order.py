@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from quintil.session import settle
 
-HASH_DIGITS = 3
+HASH_DIGITS = 4
 # monotonically_increasing_id keeps the partition in the bits above this one.
 _PARTITION_SHIFT = 33
 

@@ -14,6 +14,8 @@ from quintil.contract import SPLITS, Contract, reject_forbidden, require_columns
 from quintil.operators.order import HASH_DIGITS, hash_cuts, hash_order
 from quintil.session import settle
 
+# Equal-width buckets of the id range; only buckets that hold a fold boundary are sorted.
+BUCKETS = 65_536
 SPLIT_SCHEMA = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("split", T.StringType())])
 
 
@@ -259,7 +261,7 @@ def fold_cuts(ids: DataFrame, k: int, key: str = "row_id", within: Sequence[str]
     groups = list(within)
     span = ids.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
     low, high = (span["lo"], span["hi"]) if span["lo"] is not None else (0, 0)
-    width = max(1, -(-(high - low + 1) // 4096))
+    width = max(1, -(-(high - low + 1) // BUCKETS))
     placed = ids.select(*groups, key, F.floor((F.col(key) - low) / width).alias("__b"))
     sizes = placed.groupBy(*groups, "__b").agg(F.count(F.lit(1)).alias("__n"))
     everything = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(1))
@@ -326,8 +328,9 @@ def prepare_frame(
     contract: Contract = Contract(),
 ) -> tuple[DataFrame, list[str]]:
     """Dataset with splits, optionally sampled, and its feature list."""
+    require_unique(dataset, "row_id", "The dataset")
     validate_splits(dataset, assignments)
-    joined = join_splits(dataset, assignments)
+    joined = join_splits(dataset, assignments, check=False)
     if sample_n is not None:
         joined = settle(stratified_sample(joined, sample_n, seed, max(folds, 2)))
     features = [c for c in dataset.columns if c not in ("row_id", contract.target)]
