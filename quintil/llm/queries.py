@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quintil.llm import pieces
+from quintil.llm import pieces, simhash
 from quintil.llm.text import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,12 @@ def register(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
     return function
 
 
+@register
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 @register
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token and text digests of every document under the public BPE vocabulary."""
