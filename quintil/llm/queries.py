@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quintil.llm import pieces, simhash
+from quintil.llm import passages, pieces, simhash
 from quintil.llm.text import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+@register
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages that start in a smaller one."""
+    cut = passages.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @register
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token and text digests of every document under the public BPE vocabulary."""
