@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quintil.llm import passages, pieces, simhash
+from quintil.llm import passages, pieces, ppm, simhash
 from quintil.llm.text import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,9 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token and text digests of every document under the public BPE vocabulary."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encode(docs, model_path())
+
+
+@register
+def op6_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and byte-trie log probabilities of every document."""
+    return ppm.score(read_table(spark, sf_dir, "documents"))
