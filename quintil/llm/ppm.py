@@ -1,8 +1,9 @@
 """Scores of documents by prediction by partial matching over bytes.
 
-The trie holds every training byte with the five bytes before it. Escapes follow method D: in a context seen n times
-with q different successors, a successor seen c times has (2c - 1) / 2n and the escape q / 2n. After an escape the
-successors of the longer context are excluded from the shorter one. Below order 0 the bytes never seen are equally
+The trie holds every training byte with the five bytes before it. The longest contexts count occurrences; a shorter
+one counts in how many longer contexts a successor was seen (update exclusion). Escapes take a share d of every
+successor: in a context of total n with q different successors, one counted c has (c - d) / n and the escape has
+d q / n. After an escape the successors of the longer context are excluded from the shorter one. Below order 0 the bytes never seen are equally
 likely. A text starts after line feeds and ends with the byte FF, which no UTF-8 text contains, so scores are those of
 whole texts.
 
@@ -31,6 +32,7 @@ ORDER = 5
 END = b"\xff"
 START = b"\n" * ORDER
 CHUNK = 2 << 20  # bytes whose sequences are held at once
+DISCOUNT = 0.4
 SALT_BLOCKS = 512  # blocks that ask through one salt
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _HASHES = HashCache()
@@ -101,11 +103,11 @@ class Trie:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> None:
         self.pairs = pairs.reshape(256, 256)
-        self.singles = self.pairs.sum(axis=0)
+        self.singles = (self.pairs > 0).sum(axis=0)
         self.levels: dict[int, dict[str, np.ndarray]] = {}
         for order in range(ORDER, 1, -1):
             if order < ORDER:
-                keys, counts = counted([keys & U((1 << 8 * (order + 1)) - 1)], [counts])
+                keys, counts = counted([keys & U((1 << 8 * (order + 1)) - 1)])
             contexts = keys >> U(8)
             first = np.flatnonzero(np.r_[True, contexts[1:] != contexts[:-1]]) if len(keys) else np.empty(0, np.int64)
             sums = np.add.reduceat(counts, first) if len(first) else np.empty(0, np.int64)
@@ -151,9 +153,9 @@ class Trie:
             left_n, left_q = n - taken_n, q - taken_q
             count = self._count(order, own)
             seen = count > 0
-            out[open_[seen]] += np.log10((2 * count[seen] - 1) / (2 * left_n[seen]))
+            out[open_[seen]] += np.log10((count[seen] - DISCOUNT) / left_n[seen])
             escape = ~seen & (left_n > 0)
-            out[open_[escape]] += np.log10(left_q[escape] / (2 * left_n[escape]))
+            out[open_[escape]] += np.log10(DISCOUNT * left_q[escape] / left_n[escape])
             open_, taken_n, taken_q = open_[~seen], excluded[~seen], q[~seen]
         out[open_] -= np.log10(256 - taken_q)
         return out
@@ -208,12 +210,12 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", modulus: int
     model = settle(halved.groupBy("part").applyInArrow(lambda t: B.table_of(add(t), ["part", "keys", "counts"], MODEL), MODEL))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of bytes with their counts; under -1 the number of distinct words, under -2 their sum."""
+        """Pairs of bytes with the number of their longer contexts; under -1 the number of distinct words, under -2 their sum."""
         for batch in batches:
             for part, keys, values in zip(*(batch.column(c).to_pylist() for c in ("part", "keys", "counts"))):
                 found, weights = unpack_sorted(keys), B.unpack(values, np.int64)
                 if part < parts:
-                    names, weights = counted([found & U(0xFFFF)], [weights])
+                    names, weights = counted([counted([found & U(0xFFFFFF)])[0] & U(0xFFFF)])
                     names = names.astype(np.int64)
                 else:
                     names, weights = np.array([-1, -2]), np.array([len(found), weights.sum()])
