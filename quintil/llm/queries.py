@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quintil.llm import passages, pieces, ppm, quality, simhash
+from quintil.llm import decontaminate, passages, pieces, ppm, quality, simhash
 from quintil.llm.text import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, model_path())
 
 
+@register
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the benchmark items that occur in them, edits included."""
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @register
 def op6_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and byte-trie log probabilities of every document."""
