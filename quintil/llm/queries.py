@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quintil.llm import decontaminate, passages, pieces, ppm, quality, simhash
+from quintil.llm import decontaminate, lines, passages, pieces, ppm, quality, simhash
 from quintil.llm.text import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,44 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and byte-trie log probabilities of every document."""
     return ppm.score(read_table(spark, sf_dir, "documents"))
+
+
+@register
+def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without later copies of repeated runs of lines."""
+    cut = lines.remove_repeated_lines(read_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+TWINS["op7_line_runs"] = r"""
+WITH raw AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), cells AS (
+  SELECT doc_id, i AS ln, ls[i] AS line, len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS w
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM raw)
+), worded AS (
+  SELECT doc_id, ln, line, w, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS p,
+    sum(w) OVER (PARTITION BY doc_id ORDER BY ln) AS c
+  FROM cells WHERE w > 0
+), listed AS (
+  SELECT doc_id, list(line ORDER BY p) AS seq FROM worded GROUP BY doc_id
+), windows AS (
+  SELECT s.doc_id, s.p AS a, e.p AS b FROM worded s JOIN worded e ON s.doc_id = e.doc_id
+  WHERE e.c - (s.c - s.w) >= 50 AND (e.c - e.w - (s.c - s.w) < 50 OR e.c - s.c < 50) AND e.p >= s.p
+), named AS (
+  SELECT doc_id, a, b, array_to_string(seq[a:b], chr(10)) AS content FROM windows JOIN listed USING (doc_id)
+), later AS (
+  SELECT doc_id, a, b FROM (
+    SELECT *, min((doc_id, a)) OVER (PARTITION BY content) AS fst FROM named
+  ) WHERE (doc_id, a) > fst
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS p FROM later
+), kept AS (
+  SELECT c.doc_id, c.ln, c.line, w.p IS NOT NULL AS has_word, g.p IS NOT NULL AS lost
+  FROM cells c LEFT JOIN worded w ON c.doc_id = w.doc_id AND c.ln = w.ln
+  LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.p = g.p
+)
+SELECT doc_id, count(*) FILTER (has_word) AS n_lines, count(*) FILTER (lost) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (NOT lost), '')) AS kept_sha256
+FROM kept GROUP BY doc_id
+"""
