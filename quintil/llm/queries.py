@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quintil.llm import decontaminate, lines, passages, pieces, ppm, quality, simhash
+from quintil.llm import decontaminate, lines, passages, pieces, ppm, quality, rules, simhash
 from quintil.llm.text import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,10 @@ SELECT doc_id, count(*) FILTER (has_word) AS n_lines, count(*) FILTER (lost) AS
   sha256(coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (NOT lost), '')) AS kept_sha256
 FROM kept GROUP BY doc_id
 """
+
+
+@register
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and its verdict by robust distance within language and source."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return rules.judge(docs).drop("lang", "source")
