@@ -81,8 +81,8 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.sqrt(F.col("n_symbols") / (n + 20)).alias("v1"),
         F.sqrt(F.col("__upper") / (F.col("word_chars") + 120)).alias("v2"),
         F.sqrt(F.col("__marks") / (n + 20)).alias("v3"),
-        F.sqrt(r / (n + 20)).alias("v4"),
-        F.sqrt(F.col("__l.d") / (F.col("__l.n") + 5)).alias("v5"),
+        (r / (n + 20)).alias("v4"),
+        (F.col("__l.d") / (F.col("__l.n") + 5)).alias("v5"),
     )
     return found.select(
         *[F.col(f"`{c}`") for c in docs.columns if c != text],
