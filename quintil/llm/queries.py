@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quintil.llm import decontaminate, lines, passages, pieces, ppm, quality, rules, simhash
+from quintil.llm import decontaminate, html, lines, passages, pieces, ppm, quality, rules, simhash
 from quintil.llm.text import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and its verdict by robust distance within language and source."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return rules.judge(docs).drop("lang", "source")
+
+
+@register
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    text = html.extract(read_table(spark, sf_dir, "pages"))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_shared")
