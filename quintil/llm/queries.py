@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quintil.llm import decontaminate, html, lines, passages, pieces, ppm, quality, rules, simhash
+from quintil.llm import decontaminate, html, lines, passages, pieces, ppm, quality, rules, simhash, toolcalls
 from quintil.llm.text import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,46 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     text = html.extract(read_table(spark, sf_dir, "pages"))
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_shared")
+
+
+@register
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as tool traffic: each question a call that refers to the one before, each answer its result."""
+    talk = read_table(spark, sf_dir, "conversations")
+    name = lambda turn: F.concat(F.lit("c"), F.col("conv_id"), F.lit("_"), turn)
+    arguments = F.struct(F.when(F.col("turn") >= 2, F.concat(F.lit("$"), name(F.col("turn") - 2))).alias("after"), F.col("text").alias("question"))
+    call = F.struct(F.array(F.struct(name(F.col("turn")).alias("id"), F.lit("answer").alias("name"), arguments.alias("arguments"))).alias("tool_calls"))
+    result = F.struct(name(F.col("turn") - 1).alias("tool_call_id"), F.col("text").alias("content"))
+    text = F.when(F.col("role") == "user", F.to_json(call)).when(F.col("role") == "assistant", F.to_json(result)).otherwise(F.col("text"))
+    role = F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool").otherwise(F.col("role"))
+    schemas = spark.createDataFrame([("answer", "question", "string", True), ("answer", "after", "string", False)], "name string, argument string, kind string, required boolean")
+    found = toolcalls.format_chat(talk.select("conv_id", "turn", role.alias("role"), text.alias("text")), schemas)
+    return found.select("conv_id", "kind", "place", "turn", "call_id", F.array_join("errors", " ").alias("errors"), "json")
+
+
+TWINS["op10_tool_calls"] = r"""
+WITH asked AS (
+  SELECT conv_id, turn, text, 'c' || conv_id || '_' || turn AS id,
+    CASE WHEN turn >= 2 THEN 'c' || conv_id || '_' || (turn - 2) END AS need
+  FROM conversations WHERE role = 'user'
+), answers AS (
+  SELECT conv_id, turn, text, 'c' || conv_id || '_' || (turn - 1) AS id FROM conversations WHERE role = 'assistant'
+), calls AS (
+  SELECT a.conv_id, a.turn, a.id, CASE WHEN a.need IS NOT NULL AND b.id IS NULL THEN 'reference:' || a.need ELSE '' END AS errors,
+    '{"arguments":{' || CASE WHEN a.need IS NOT NULL THEN '"after":"$' || a.need || '",' ELSE '' END
+    || '"question":' || to_json(a.text) || '}'
+    || CASE WHEN a.need IS NOT NULL AND b.id IS NULL THEN ',"errors":["reference:' || a.need || '"]' ELSE '' END
+    || ',"id":"' || a.id || '","name":"answer"' || CASE WHEN r.id IS NOT NULL THEN ',"result":' || to_json(r.text) ELSE '' END || '}' AS json
+  FROM asked a LEFT JOIN asked b ON a.conv_id = b.conv_id AND a.need = b.id LEFT JOIN answers r ON a.conv_id = r.conv_id AND a.id = r.id
+), rest AS (
+  SELECT conv_id, turn, NULL AS id, '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' AS json
+  FROM conversations WHERE role NOT IN ('user', 'assistant')
+  UNION ALL
+  SELECT r.conv_id, r.turn, r.id,
+    '{"content":' || to_json('{"tool_call_id":' || to_json(r.id) || ',"content":' || to_json(r.text) || '}') || ',"role":"tool"}'
+  FROM answers r LEFT JOIN asked a ON a.conv_id = r.conv_id AND a.id = r.id WHERE a.id IS NULL
+)
+SELECT conv_id, 'call' AS kind, turn * 1048576 AS place, turn, id AS call_id, errors, json FROM calls
+UNION ALL
+SELECT conv_id, 'message', turn * 1048576, turn, id, '', json FROM rest
+"""
