@@ -115,19 +115,28 @@ def places(calls: DataFrame) -> DataFrame:
     now = settle(calls.select("k", "id", "needs", start.alias("place")))
     links = now.select("k", "id", F.explode("needs").alias("need")).where("id <> need")
     edges = settle(links.join(now.select("k", F.col("id").alias("need")), ["k", "need"]).select("k", "id", "need"))
-    now = now.select("k", "id", "place")
-    # In a circle places rise without end; none passes this bound otherwise.
-    bounds = now.groupBy("k").agg((F.max("place") + F.count("*")).alias("bound"))
+    now = now.select("k", "id", "place", F.lit(0).alias("hops"), F.lit(False).alias("circle"))
     while True:
-        known = now.select("k", F.col("id").alias("need"), F.col("place").alias("behind"))
-        behind = edges.join(known, ["k", "need"]).groupBy("k", "id").agg(F.max("behind").alias("behind"))
-        raised = now.join(behind, ["k", "id"]).where("place <= behind").join(bounds, "k").where("behind <= bound")
-        raised = settle(raised.select("k", "id", (F.col("behind") + 1).alias("raised")))
+        known = now.select("k", F.col("id").alias("need"), "place", "hops", "circle")
+        behind = edges.join(known, ["k", "need"]).groupBy("k", "id").agg(
+            F.max(F.struct("place", "hops")).alias("last"), F.max("circle").alias("lost")
+        )
+        late = (F.col("place") <= F.col("last.place")) | F.col("lost")
+        raised = settle(
+            now.where("NOT circle")
+            .join(behind, ["k", "id"])
+            .where(late)
+            .select("k", "id", (F.col("last.place") + 1).alias("up"), (F.col("last.hops") + 1).alias("far"), "lost")
+        )
         if raised.isEmpty():
-            break
-        after = now.join(raised, ["k", "id"], "left")
-        now = settle(after.select("k", "id", F.coalesce("raised", "place").alias("place")))
-    return now.join(bounds, "k").select("k", "id", F.when(F.col("place") <= F.col("bound"), F.col("place")).alias("place"))
+            return now.select("k", "id", F.when(~F.col("circle"), F.col("place")).alias("place"))
+        after = now.join(raised, ["k", "id"], "left").select(
+            "k", "id", F.coalesce("up", "place").alias("place"), F.coalesce("far", "hops").alias("hops"), (F.col("circle") | F.coalesce("lost", F.lit(False))).alias("circle")
+        )
+        # A chain of raises passes each raised call once, unless it runs in a circle.
+        moved = after.where("hops > 0").groupBy("k").agg(F.count("*").alias("moved"))
+        bounded = after.join(moved, "k", "left")
+        now = settle(bounded.select("k", "id", "place", "hops", (F.col("circle") | (F.col("hops") > F.coalesce("moved", F.lit(0)))).alias("circle")))
 
 
 def format_chat(
