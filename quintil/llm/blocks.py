@@ -19,8 +19,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quintil.session import settle
-
 BLOCK_BYTES = 4 << 20
 LARGEST_BLOCK = 256 << 20
 LEAST_BLOCKS = 48
@@ -51,9 +49,10 @@ def count_blocks(docs: DataFrame, text: str) -> int:
 
 
 def deal(docs: DataFrame, columns: list[str], key: str, text: str, blocks: int) -> DataFrame:
-    """Documents packed as (block, payload), written once with the rows of a block in one partition.
+    """Documents packed as (block, payload).
 
-    Rows without a key are dealt by their text. A task packs what it holds for a block together, compressed.
+    Rows without a key are dealt by their text. A task packs what it holds for a block together, compressed, so that
+    the one shuffle of a job moves little; passes of the same job share it.
     """
     block = F.pmod(F.xxhash64(F.coalesce(F.hash(docs[key]), F.hash(docs[text])), F.lit(7)), F.lit(blocks))
     source = docs.select(block.alias("block"), *[docs[c].alias(c) for c in columns])
@@ -69,8 +68,7 @@ def deal(docs: DataFrame, columns: list[str], key: str, text: str, blocks: int)
         if held:
             yield from _packed(held)
 
-    packed = source.mapInArrow(run, "block long, payload binary")
-    return settle(packed.repartition(blocks, "block"))
+    return source.mapInArrow(run, "block long, payload binary")
 
 
 def _packed(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

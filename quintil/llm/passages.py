@@ -2,7 +2,7 @@
 
 1. Anchors: of each window of consecutive words the smallest hash among its shorter n-grams. Equal windows have equal
    anchors, neighbouring windows mostly share theirs, so few hashes travel. Those found in two documents recur.
-2. Windows over a recurring anchor are confirmed by a 128-bit digest; the smallest doc_id of each is gathered.
+2. Windows over a recurring anchor are confirmed by a 96-bit digest; the smallest doc_id of each is gathered.
 3. Each block of documents compiles the recurring windows it must look for into its own automaton over word numbers
    (pyahocorasick) and streams all of its documents through it. A match compares words, not hashes.
 
@@ -21,18 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quintil.llm import blocks as B
-from quintil.llm.text import HashCache, words_of
+from quintil.llm.text import word_hashes, words_of
 from quintil.session import settle
 
 WINDOW = 13
 ANCHOR = 6  # words of an anchor's n-gram
 NO_ID = np.iinfo(np.int64).max
 SCHEMA = "doc_id long, n_words long, n_removed long, kept string, removed array<int>"
-_HASHES = HashCache()
 
 
 class Words:
-    """Word lists of a block's documents and the hashes of all their words in one array."""
+    """A block's documents in order of their ids, with the hashes of all their words in one array."""
 
     def __init__(self, table: pa.Table) -> None:
         ids = table.column("doc_id").to_pylist()
@@ -40,11 +39,10 @@ class Words:
         self.doc_ids = [ids[i] for i in order]
         self.ids = np.array([NO_ID if i is None else i for i in self.doc_ids], np.int64)
         texts = table.column("text")
-        self.words = [words_of(texts[i].as_py()) for i in order]
-        counts = np.array([len(w) for w in self.words], np.int64)
-        self.owner = np.repeat(np.arange(len(counts)), counts)
+        self.texts = [texts[i].as_py() or "" for i in order]
+        self.owner, self.hashes = word_hashes(self.texts)
+        counts = np.bincount(self.owner, minlength=len(order))
         self.start = np.cumsum(counts) - counts
-        self.hashes = np.concatenate([_HASHES.array(w) for w in self.words] or [np.empty(0, np.uint64)])
 
     def rolled(self, width: int, salt: int) -> np.ndarray:
         """Mixed hash of each run of ``width`` words, runs over the end of a document included."""
@@ -84,7 +82,7 @@ class Words:
         return anchors[first], owner[first] != owner[last]
 
     def candidates(self, flags: dict[int, np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, digests) of the windows over recurring anchors; a digest is two words of 64 bits."""
+        """(places, digests) of the windows over recurring anchors; a digest has 64 and 32 bits."""
         distinct, _ = self.anchors()
         recurring = [distinct[rows][flags[p].astype(bool)] for p, rows in enumerate(B.split_by(distinct, parts)) if p in flags]
         places, anchors = self.windows()
@@ -93,7 +91,7 @@ class Words:
             return places[:0], np.empty((0, 2), np.uint64)
         at = np.minimum(np.searchsorted(known, anchors), len(known) - 1)
         places = places[known[at] == anchors]
-        return places, np.stack([self.rolled(WINDOW, 3)[places], self.rolled(WINDOW, 5)[places]], axis=1)
+        return places, np.stack([self.rolled(WINDOW, 3)[places], self.rolled(WINDOW, 5)[places] & np.uint64(0xFFFFFFFF)], axis=1)
 
 
 def _distinct(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,10 +152,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         block = answers.column("block")[0].as_py()
         for part, rows in enumerate(B.split_by(distinct[:, 0], parts)):
             if len(rows):
-                yield part, block, B.pack(distinct[rows].ravel()), B.pack(ids[rows])
+                yield part, block, B.pack(distinct[rows, 0]), B.pack(distinct[rows, 1].astype(np.uint32)), B.pack(ids[rows])
 
     def smallest(table: pa.Table) -> list[tuple]:
-        asked = [B.unpack(p, np.uint64).reshape(-1, 2) for p in table.column("digests").to_pylist()]
+        halves = zip(table.column("high").to_pylist(), table.column("low").to_pylist())
+        asked = [np.stack([B.unpack(h, np.uint64), B.unpack(w, np.uint32).astype(np.uint64)], axis=1) for h, w in halves]
         ids = np.concatenate([B.unpack(p, np.int64) for p in table.column("ids").to_pylist()])
         distinct, _, number = _distinct(np.concatenate(asked))
         least = np.full(len(distinct), NO_ID)
@@ -166,11 +165,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         part = table.column("part")[0].as_py()
         return [(b, 2, part, B.pack(a)) for b, a in zip(table.column("block").to_pylist(), answers)]
 
-    windows = B.with_answers(dealt, found, ask_windows, "part int, block long, digests binary, ids binary")
+    windows = B.with_answers(dealt, found, ask_windows, "part int, block long, high binary, low binary, ids binary")
     confirmed = B.exchange(windows, smallest, answer)
 
     def locate(table: pa.Table, answers: pa.Table) -> Iterator[tuple]:
         held = Words(table)
+        words_in = [words_of(t) for t in held.texts]
         places, digests = held.candidates(_flags(answers, 1, np.uint8), parts)
         distinct, first, number = _distinct(digests)
         least = np.full(len(distinct), NO_ID)
@@ -181,34 +181,55 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         # Only windows that some document here must lose become patterns.
         lost = np.zeros(len(distinct), bool)
         lost[number[least[number] < held.ids[held.owner[places]]]] = True
-        numbers: dict[str, int] = {}
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for pattern in np.flatnonzero(lost).tolist():
+        patterns = np.flatnonzero(lost).tolist()
+        wanted = []
+        for pattern in patterns:
             place = int(places[first[pattern]])
             doc = int(held.owner[place])
             at = place - int(held.start[doc])
-            words = held.words[doc][at : at + WINDOW]
-            automaton.add_word(tuple([numbers.setdefault(w, len(numbers) + 1) for w in words]), pattern)
-        if lost.any():
-            automaton.make_automaton()
-        for doc, words in enumerate(held.words):
-            yield _cut(held.doc_ids[doc], int(held.ids[doc]), words, automaton if lost.any() else None, numbers, least)
+            wanted.append(words_in[doc][at : at + WINDOW])
+        automaton = Automaton(wanted, patterns) if wanted else None
+        for doc, words in enumerate(words_in):
+            yield _cut(held.doc_ids[doc], int(held.ids[doc]), words, automaton, least)
 
     return B.with_answers(dealt, found.union(confirmed), locate, SCHEMA)
 
 
-def _cut(doc_id: int | None, rank: int, words: list[str], automaton, numbers: dict[str, int], least: np.ndarray) -> tuple:
+class Automaton:
+    """Aho-Corasick over words, each written as three letters so that no node has many children.
+
+    The first letters are no other word's second or third ones, so matches begin and end with words.
+    """
+
+    def __init__(self, patterns: list[list[str]], values: list[int]) -> None:
+        names = sorted({w for p in patterns for w in p})
+        base = 1
+        while base**3 < len(names):
+            base += 1
+        self.codes = {w: chr(0x100 + i // base**2) + chr(0x20000 + i // base % base) + chr(0x20000 + i % base) for i, w in enumerate(names)}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for words, value in zip(patterns, values):
+            self.automaton.add_word("".join([self.codes[w] for w in words]), value)
+        self.automaton.make_automaton()
+
+    def matches(self, words: list[str]) -> Iterator[tuple[int, int]]:
+        """(past-last word, value) of each occurrence."""
+        get = self.codes.get
+        for end, value in self.automaton.iter("".join([get(w, "   ") for w in words])):
+            yield end // 3 + 1, value
+
+
+def _cut(doc_id: int | None, rank: int, words: list[str], automaton: Automaton | None, least: np.ndarray) -> tuple:
     """One document's row: every match whose window starts in a smaller document covers its words."""
     spans: list[int] = []
     if automaton is not None and len(words) >= WINDOW:
-        get = numbers.get
-        for end, pattern in automaton.iter(tuple([get(w, 0) for w in words])):
+        for end, pattern in automaton.matches(words):
             if least[pattern] < rank:
-                begin = end - WINDOW + 1
+                begin = end - WINDOW
                 if spans and begin <= spans[-1]:
-                    spans[-1] = end + 1
+                    spans[-1] = end
                 else:
-                    spans += [begin, end + 1]
+                    spans += [begin, end]
     kept, at = [], 0
     for a, b in zip(spans[::2], spans[1::2]):
         kept += words[at:a]

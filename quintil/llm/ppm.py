@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quintil.llm import blocks as B
-from quintil.llm.text import HashCache, lower_ascii, remainder, words_of
+from quintil.llm.text import remainder, word_hashes
 from quintil.session import settle
 
 ORDER = 5
@@ -35,7 +35,6 @@ CHUNK = 2 << 20  # bytes whose sequences are held at once
 DISCOUNT = 0.4
 SALT_BLOCKS = 512  # blocks that ask through one salt
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_HASHES = HashCache()
 U = np.uint64
 
 
@@ -85,6 +84,16 @@ def counted(keys: list[np.ndarray], counts: list[np.ndarray] | None = None) -> t
     return joined[first], np.add.reduceat(weights, first)
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, number of each key among them)."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    first = np.r_[True, ordered[1:] != ordered[:-1]][: len(keys)]
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(first, dtype=np.int32) - 1
+    return ordered[first], number
+
+
 def distinct_sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     found = [counted([keys]) for _, keys in sequences(texts)]
     return counted([k for k, _ in found], [c for _, c in found])
@@ -177,10 +186,6 @@ def _split(kind: int, keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.nd
             yield kind * parts + part, rows
 
 
-def _token_hashes(text: str) -> np.ndarray:
-    return _HASHES.array(words_of(lower_ascii(text)))
-
-
 def score(docs: DataFrame, text: str = "text", key: str = "doc_id", modulus: int = 10) -> DataFrame:
     """Base and trie scores of all documents; those whose id has remainder 0 are held out of the training."""
     source = docs.select(
@@ -193,7 +198,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", modulus: int
     def count(block: int, table: pa.Table) -> Iterator[tuple]:
         training = table.filter(pa.compute.invert(table.column("held_out")))
         texts = [t or "" for t in training.column("text").to_pylist()]
-        words = counted([_token_hashes(t) for t in texts])
+        words = counted([word_hashes(texts, lower=True)[1]])
         for kind, (keys, counts) in enumerate((distinct_sequences(texts), words)):
             for part, rows in _split(kind, keys, parts):
                 yield part, block % salts, pack_sorted(keys[rows]), B.pack(counts[rows])
@@ -256,23 +261,25 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", modulus: int
 
     def rate(table: pa.Table, answers: pa.Table) -> Iterator[tuple]:
         given = dict(zip(answers.column("part").to_pylist(), answers.column("answer").to_pylist()))
-        bytes_, words = _wanted(table)
-        chances, known = np.zeros(len(bytes_)), np.zeros(len(words), np.int64)
-        for part, rows in _split(0, bytes_, parts):
+        texts = [t or "" for t in table.column("text").to_pylist()]
+        chunks = list(sequences(texts))
+        owners = np.concatenate([o for o, _ in chunks]) if chunks else np.empty(0, np.int64)
+        keys, number = numbered(np.concatenate([k for _, k in chunks]) if chunks else np.empty(0, U))
+        chances = np.zeros(len(keys))
+        for part, rows in _split(0, keys, parts):
             chances[rows] = B.unpack(given[part], np.float64)
+        scores = np.bincount(owners, chances[number], len(texts))
+        owners, hashes = word_hashes(texts, lower=True)
+        words, number = numbered(hashes)
+        known = np.zeros(len(words), np.int64)
         for part, rows in _split(1, words, parts):
             known[rows] = B.unpack(given[part], np.int64)
-        texts = [t or "" for t in table.column("text").to_pylist()]
-        scores = np.zeros(len(texts))
-        for owner, keys in sequences(texts):
-            scores += np.bincount(owner, chances[np.searchsorted(bytes_, keys)], len(texts))
         under = train_tokens + 0.1 * (kinds + 1)
-        logs = np.log10((known + 0.1) / under)
-        end = float(np.log10((ends + 0.1) / under))
-        for i, (doc_id, held) in enumerate(zip(table.column("doc_id").to_pylist(), table.column("held_out").to_pylist())):
-            at = np.searchsorted(words, _token_hashes(texts[i]))
-            base = float(logs[at].sum()) + end
-            yield doc_id, held, len(at) + 1, int((known[at] > 0).sum()) + (ends > 0), train_tokens, base, float(scores[i])
+        bases = np.bincount(owners, np.log10((known + 0.1) / under)[number], len(texts)) + np.log10((ends + 0.1) / under)
+        tokens = np.bincount(owners, minlength=len(texts)) + 1
+        seen = np.bincount(owners, known[number] > 0, len(texts)).astype(np.int64) + (ends > 0)
+        ids, held = table.column("doc_id").to_pylist(), table.column("held_out").to_pylist()
+        yield from zip(ids, held, tokens.tolist(), seen.tolist(), [train_tokens] * len(ids), bases.tolist(), scores.tolist())
 
     return B.with_answers(dealt, answers, rate, SCHEMA)
 
@@ -284,4 +291,4 @@ ANSWER = "block long, part int, answer binary"
 def _wanted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Distinct byte sequences and word hashes of a block, sorted."""
     texts = [t or "" for t in table.column("text").to_pylist()]
-    return distinct_sequences(texts)[0], counted([_token_hashes(t) for t in texts])[0]
+    return distinct_sequences(texts)[0], counted([word_hashes(texts, lower=True)[1]])[0]

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,21 +39,64 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % modulus
 
 
-class HashCache(dict):
-    """XXH64 of strings, remembered up to a number of entries."""
-
-    def __init__(self, limit: int = 400_000) -> None:
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def array(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+PIECE = 1 << 20  # bytes hashed at once
+_ODD = 0x9E3779B97F4A7C15
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random number for each byte, and the powers of an odd number and of its inverse modulo 2^64."""
+    numbers = np.random.default_rng(0).integers(0, 1 << 64, 256, np.uint64)
+    return numbers, *(_powers(base, PIECE) for base in (_ODD, pow(_ODD, -1, 1 << 64)))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+def word_hashes(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, 64-bit hash) of every word in order, without a Python object per word.
+
+    The hash is that of a word's bytes as a polynomial modulo 2^64, taken from running sums and mixed.
+    """
+    owners, hashes, held, numbers, size = [], [], [], [], 0
+    for number, text in enumerate(texts):
+        data = text.encode()
+        held.append(data)
+        numbers.append(number)
+        size += len(data) + 1
+        if size >= PIECE:
+            _hash_piece(held, numbers, lower, owners, hashes)
+            held, numbers, size = [], [], 0
+    if held:
+        _hash_piece(held, numbers, lower, owners, hashes)
+    if not hashes:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    return np.concatenate(owners), np.concatenate(hashes)
+
+
+def _hash_piece(held: list[bytes], numbers: list[int], lower: bool, owners: list, hashes: list) -> None:
+    data = np.frombuffer(b" ".join(held) + b" ", np.uint8)
+    inside = (data != 32) & ((data < 9) | (data > 13))
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    edges = np.r_[0, edges] if inside[0] else edges
+    starts, ends = edges[::2], edges[1::2]
+    if lower:
+        data = data + (((data >= 65) & (data <= 90)) * np.uint8(32))
+    by_byte, powers, inverse = _tables()
+    if len(data) > len(powers):  # a single text longer than a piece
+        powers, inverse = (_powers(base, len(data)) for base in (_ODD, pow(_ODD, -1, 1 << 64)))
+    sums = np.cumsum(by_byte[data] * powers[: len(data)], dtype=np.uint64)
+    before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
+    value = (sums[ends - 1] - before) * inverse[starts] + (ends - starts).astype(np.uint64)
+    value ^= value >> np.uint64(33)
+    value *= np.uint64(0xFF51AFD7ED558CCD)
+    value ^= value >> np.uint64(33)
+    first = np.cumsum([0] + [len(h) + 1 for h in held])
+    owners.append(np.array(numbers)[np.searchsorted(first, starts, side="right") - 1])
+    hashes.append(value)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
