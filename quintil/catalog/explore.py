@@ -67,11 +67,13 @@ def e21(spark, sf_dir):
     return tidy(explore.pearson_matrix(survey(spark, sf_dir), NUMERIC))
 
 
-RANKS = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN rank() OVER (PARTITION BY {c} IS NULL ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 END AS {c}" for c in NUMERIC)
+def rank_sql(c: str) -> str:
+    return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
 
 
-@query("e22_spearman_pairs", tidy_sql(f"""{W}, k AS (SELECT {RANKS} FROM survey)
-  {" UNION ALL ".join(f"SELECT '{a}' AS variable_1, '{b}' AS variable_2, abs(corr({a}, {b})) AS correlation FROM k" for a, b in PAIRS)}""", "correlation"))
+# Every pair is ranked on the rows that have both values.
+@query("e22_spearman_pairs", tidy_sql(f"""{W} {" UNION ALL ".join(f"""SELECT '{a}' AS variable_1, '{b}' AS variable_2, abs(corr(x, y)) AS correlation
+  FROM (SELECT {rank_sql(a)} AS x, {rank_sql(b)} AS y FROM survey WHERE {a} IS NOT NULL AND {b} IS NOT NULL)""" for a, b in PAIRS)}""", "correlation"))
 def e22(spark, sf_dir):
     return tidy(explore.spearman_pairs(survey(spark, sf_dir), NUMERIC))
 

@@ -110,19 +110,19 @@ def a11(spark, sf_dir):
     return stored.select("n", metadata.scalar().alias("row_count_after_filters"))
 
 
-DIGEST = "md5(concat_ws('|', o_custkey, o_orderkey, o_orderpriority, CAST(CAST(o_totalprice AS DECIMAL(38,9)) AS VARCHAR)))"
-XOR = " || ".join(f"printf('%08x', bit_xor(CAST('0x' || substr(h, {s}, 8) AS BIGINT)))" for s in (1, 9, 17, 25))
+DIGEST = "md5(" + " || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in ("CAST(o_custkey AS VARCHAR)", "CAST(o_orderkey AS VARCHAR)", "o_orderpriority", "o_orderstatus")) + ")"
+SUM64 = " || ".join(f"lpad(printf('%x', CAST(sum(CAST('0x' || substr(h, {s}, 16) AS UBIGINT)::HUGEINT) % 18446744073709551616 AS UBIGINT)), 16, '0')" for s in (1, 17))
 
 
-@query("a15_table_fingerprint", f"SELECT count(*) AS row_count, {XOR} AS digest FROM (SELECT {DIGEST} AS h FROM orders)")
+@query("a15_table_fingerprint", f"SELECT count(*) AS row_count, {SUM64} AS digest FROM (SELECT {DIGEST} AS h FROM orders)")
 def a15(spark, sf_dir):
-    columns = ["o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice"]
+    columns = ["o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"]
     return tables.table_fingerprint(table(spark, sf_dir, "orders"), columns)
 
 
 @query("a16_dataset_card", f"""{JOINED} SELECT 'logP47T' AS target, count(*) AS row_count, 6 AS feature_count, count(*) FILTER (WHERE split = 'train') AS train_rows,
   count(*) FILTER (WHERE split = 'test') AS test_rows, count(*) FILTER (WHERE split = 'validation') AS validation_rows,
-  (SELECT {XOR} FROM (SELECT md5(concat_ws('|', row_id, split)) AS h FROM splits)) AS split_digest FROM joined""")
+  (SELECT {SUM64} FROM (SELECT md5(length(CAST(row_id AS VARCHAR)) || ':' || row_id || length(split) || ':' || split) AS h FROM splits)) AS split_digest FROM joined""")
 def a16(spark, sf_dir):
     df = people(spark, sf_dir)
     marks = splits.random_split(df)

@@ -24,20 +24,21 @@ def i3(spark, sf_dir):
 
 
 SAMPLE = f"""{JOINED}, sizes AS (SELECT split, count(*) AS size, sum(count(*)) OVER () AS n FROM joined GROUP BY split),
-  t AS (SELECT split, CAST(round_even(CAST(n AS DOUBLE) * 0.25 // 1 * size / n, 0) AS BIGINT) AS want, CAST(n * 0.25 AS BIGINT) AS total FROM sizes),
-  pos AS (SELECT joined.row_id, joined.split, want, total, row_number() OVER (PARTITION BY joined.split ORDER BY md5('42:' || row_id)) AS rn FROM joined JOIN t USING (split)),
-  main AS (SELECT row_id, split FROM pos WHERE rn <= want),
-  rest AS (SELECT row_id, split, row_number() OVER (ORDER BY md5('43:' || row_id)) AS rn, (SELECT max(total) FROM pos) - (SELECT count(*) FROM main) AS short FROM pos WHERE rn > want)"""
+  q AS (SELECT split, floor(CAST(n AS DOUBLE) * 0.25) AS total, floor(CAST(n AS DOUBLE) * 0.25) * size / n AS share FROM sizes),
+  t AS (SELECT split, floor(share) + CASE WHEN row_number() OVER (ORDER BY share - floor(share) DESC, CASE split WHEN 'train' THEN 1 WHEN 'test' THEN 2 ELSE 3 END)
+    <= total - sum(floor(share)) OVER () THEN 1 ELSE 0 END AS want FROM q),
+  pos AS (SELECT joined.row_id, joined.split, want, row_number() OVER (PARTITION BY joined.split ORDER BY md5('42:' || row_id)) AS rn FROM joined JOIN t USING (split)),
+  main AS (SELECT row_id, split FROM pos WHERE rn <= want)"""
 
 
-@query("i4_stratified_sample", f"{SAMPLE} SELECT row_id, split FROM main UNION ALL SELECT row_id, split FROM rest WHERE rn <= short")
+@query("i4_stratified_sample", f"{SAMPLE} SELECT row_id, split FROM main")
 def i4(spark, sf_dir):
     joined = split_people(spark, sf_dir)
     n = table(spark, sf_dir, "orders").count()
     return splits.stratified_sample(joined, int(n * 0.25)).select("row_id", "split")
 
 
-@query("d6_extra_pool_anti", f"{SAMPLE} SELECT row_id FROM joined WHERE row_id NOT IN (SELECT row_id FROM main UNION ALL SELECT row_id FROM rest WHERE rn <= short)")
+@query("d6_extra_pool_anti", f"{SAMPLE} SELECT row_id FROM joined WHERE row_id NOT IN (SELECT row_id FROM main)")
 def d6(spark, sf_dir):
     return splits.extra_pool(people(spark, sf_dir), i4(spark, sf_dir)).select("row_id")
 
@@ -63,9 +64,9 @@ def d1(spark, sf_dir):
 
 
 @query("d9_id_reconcile", """SELECT * FROM (SELECT 'missing' AS side, o_orderkey AS row_id FROM orders
-    WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) ORDER BY o_orderkey LIMIT 5)
+    WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))
   UNION ALL SELECT * FROM (SELECT DISTINCT 'extra' AS side, l_orderkey AS row_id FROM lineitem
-    WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) ORDER BY l_orderkey LIMIT 5)""")
+    WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders))""")
 def d9(spark, sf_dir):
     """Orders without lines, and lines without an order."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"))
@@ -73,9 +74,9 @@ def d9(spark, sf_dir):
 
 
 @query("h5_validate_splits", """WITH a AS (SELECT doc_id AS row_id, CASE quality WHEN 1 THEN 'train' ELSE 'holdout' END AS split FROM labels)
-  SELECT * FROM (SELECT 'missing' AS problem, CAST(doc_id AS VARCHAR) AS detail FROM documents WHERE doc_id NOT IN (SELECT row_id FROM a) ORDER BY doc_id LIMIT 5)
-  UNION ALL SELECT * FROM (SELECT 'extra', CAST(row_id AS VARCHAR) FROM a WHERE row_id NOT IN (SELECT doc_id FROM documents) ORDER BY row_id LIMIT 5)
-  UNION ALL SELECT * FROM (SELECT 'duplicated', CAST(row_id AS VARCHAR) FROM a GROUP BY row_id HAVING count(*) > 1 ORDER BY row_id LIMIT 5)
+  SELECT * FROM (SELECT 'missing' AS problem, CAST(doc_id AS VARCHAR) AS detail FROM documents WHERE doc_id NOT IN (SELECT row_id FROM a))
+  UNION ALL SELECT * FROM (SELECT 'extra', CAST(row_id AS VARCHAR) FROM a WHERE row_id NOT IN (SELECT doc_id FROM documents))
+  UNION ALL SELECT * FROM (SELECT 'duplicated', CAST(row_id AS VARCHAR) FROM a GROUP BY row_id HAVING count(*) > 1)
   UNION ALL SELECT DISTINCT 'invalid label', split FROM a WHERE split NOT IN ('train', 'test', 'validation')""")
 def h5(spark, sf_dir):
     """Labels read as a faulty split table of the documents."""

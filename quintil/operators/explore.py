@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -111,9 +111,9 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.select(F.explode(entries).alias("e")).select("e.*")
 
 
-def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Average rank of every distinct value: (variable, value, c, avg_rank)."""
-    entries = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in columns])
+def average_ranks(df: DataFrame, variables: Mapping[str, Column]) -> DataFrame:
+    """Average rank of every distinct value: (variable, value, c, avg_rank); NULLs have none."""
+    entries = F.array(*[F.struct(F.lit(name).alias("variable"), value.cast("double").alias("value")) for name, value in variables.items()])
     counts = (
         df.select(F.explode(entries).alias("e"))
         .select("e.*")
@@ -128,21 +128,35 @@ def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Absolute rank correlation of every column pair, highest first.
 
-    Ranks are computed on distinct values, and each row looks its ranks up per
-    column; a column with few distinct values is broadcast.
+    A pair is ranked on the rows that have both values. A column therefore has
+    one set of ranks for all partners without NULLs, and one more for each
+    partner with some. Ranks are computed on distinct values, and each row looks
+    its ranks up per set.
     """
-    ranks = settle(average_ranks(df, columns))
+    df = settle(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    partial = [c for c, n in df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first().asDict().items() if n]
+    pairs = list(combinations(columns, 2))
+
+    def ranks_of(column: str, partner: str) -> str:
+        return f"{column}|{partner}" if partner in partial else column
+
+    sets = {ranks_of(c, other): F.col(c) for pair in pairs for c, other in (pair, pair[::-1]) if other not in partial}
+    sets |= {ranks_of(c, o): F.when(F.col(o).isNotNull(), F.col(c)) for pair in pairs for c, o in (pair, pair[::-1]) if o in partial}
+    ranks = settle(average_ranks(df, sets))
     sizes = {r["variable"]: r["count"] for r in ranks.groupBy("variable").count().collect()}
-    out = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    for c in columns:
-        lookup = ranks.filter(F.col("variable") == c).select(F.col("value").alias(c), F.col("avg_rank").alias(f"__r_{c}"))
-        out = out.join(F.broadcast(lookup) if sizes.get(c, 0) <= BROADCAST_ROWS else lookup, c, "left")
-    ranked = out.select(*[F.col(f"__r_{c}").alias(c) for c in columns])
-    return (
-        pearson_matrix(ranked, columns)
-        .select("variable_1", "variable_2", F.abs("correlation").alias("correlation"))
-        .orderBy(F.desc("correlation"))
-    )
+    out = df.select(*[value.alias(name) for name, value in sets.items()])
+    for name in sets:
+        lookup = ranks.filter(F.col("variable") == name).select(F.col("value").alias(name), F.col("avg_rank").alias(f"__r_{name}"))
+        out = out.join(F.broadcast(lookup) if sizes.get(name, 0) <= BROADCAST_ROWS else lookup, name, "left")
+    correlations = [
+        F.struct(
+            F.lit(a).alias("variable_1"),
+            F.lit(b).alias("variable_2"),
+            F.abs(F.corr(F.col(f"`__r_{ranks_of(a, b)}`"), F.col(f"`__r_{ranks_of(b, a)}`"))).alias("correlation"),
+        )
+        for a, b in pairs
+    ]
+    return out.agg(F.array(*correlations).alias("e")).select(F.explode("e").alias("e")).select("e.*").orderBy(F.desc("correlation"))
 
 
 def pair_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -178,20 +192,12 @@ def determinism_scores(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return forward.join(backward, ["A", "B"])
 
 
-def near_deterministic_pairs(
-    df: DataFrame, columns: Sequence[str], threshold: float = 0.98, max_pairs: int = 200
-) -> DataFrame:
-    """Pairs where one column nearly fixes the other, at most ``max_pairs``.
-
-    The cap keeps the first pairs in column order, as the report defines it.
-    """
-    position = {c: i for i, c in enumerate(columns)}
-    lookup = F.create_map(*[F.lit(v) for item in position.items() for v in item])
+def near_deterministic_pairs(df: DataFrame, columns: Sequence[str], threshold: float = 0.98) -> DataFrame:
+    """All pairs where one column nearly fixes the other, the strongest first."""
     found = determinism_scores(df, columns).filter(
         (F.col("pmax_B_given_A") >= threshold) | (F.col("pmax_A_given_B") >= threshold)
     )
-    capped = found.orderBy(lookup[F.col("A")], lookup[F.col("B")]).limit(max_pairs)
-    return capped.orderBy(F.desc("pmax_B_given_A"), F.desc("pmax_A_given_B"))
+    return found.orderBy(F.desc("pmax_B_given_A"), F.desc("pmax_A_given_B"), "A", "B")
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -232,7 +238,8 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int, keys: Sequence[s
 
 
 def density_2d(df: DataFrame, x: str = "y_true", y: str = "y_pred", grid: int = 45) -> DataFrame:
-    """Counts on a grid of equal-width cells over two columns."""
+    """Counts on a grid of equal-width cells over two columns; rows with a NULL in either are left out."""
+    df = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     bounds = df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
 
     def cell(column: str, low: str, high: str) -> Column:
@@ -248,12 +255,14 @@ def density_2d(df: DataFrame, x: str = "y_true", y: str = "y_pred", grid: int =
     )
 
 
-def observed_vs_predicted(predictions: DataFrame, model: str, points_up_to: int = 5000, grid: int = 45) -> DataFrame:
-    """Plot data of one model: its points when they are few, cell counts otherwise."""
-    rows = predictions.filter(F.col("model") == model)
-    if rows.limit(points_up_to + 1).count() > points_up_to:
-        return density_2d(rows, grid=grid)
-    return rows.select("y_true", "y_pred")
+def observed_vs_predicted(predictions: DataFrame, model: str, grid: int = 45) -> DataFrame:
+    """Cell counts of one model's observed and predicted values."""
+    return density_2d(predictions.filter(F.col("model") == model), grid=grid)
+
+
+def observed_points(predictions: DataFrame, model: str) -> DataFrame:
+    """The same as single points, for callers that want every one."""
+    return predictions.filter(F.col("model") == model).select("y_true", "y_pred")
 
 
 def geo_rank(df: DataFrame, year: str, area: str, amount: str = "P47T") -> DataFrame:

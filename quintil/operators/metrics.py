@@ -230,8 +230,8 @@ def selected_split(predictions: DataFrame, split: str) -> DataFrame:
     """Rows of one split; an unknown split fails and names the available ones."""
     selected = predictions.filter(F.col("split") == split)
     if selected.isEmpty():
-        available = sorted(r[0] for r in predictions.select("split").distinct().limit(100).collect() if r[0] is not None)
-        raise ValueError(f"Split {split!r} is not available. Available splits: {available}")
+        available = sorted(r[0] for r in predictions.select("split").distinct().collect() if r[0] is not None)
+        raise ValueError(f"Split {split!r} has no rows here. Available splits: {available}")
     return selected
 
 

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from quintil.contract import SPLITS, Contract, reject_forbidden, require_columns
-from quintil.operators.order import HASH_DIGITS, hash_cuts, hash_order
+from quintil.operators.order import HASH_DIGITS, hash_cuts, hash_order, order_rank
 from quintil.session import settle
 
-# Equal-width buckets of the id range; only buckets that hold a fold boundary are sorted.
-BUCKETS = 65_536
 SPLIT_SCHEMA = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("split", T.StringType())])
 
 
@@ -40,9 +37,11 @@ def random_split(
 
     The shuffled order is cut at ``round(0.7 n)`` and ``round(0.2 n)`` rows
     further; a row's split follows from comparing its hash with the two cuts.
+    Equal keys would fall on one side together, so repeated keys are refused.
     """
+    require_unique(df, key, "The table to split")
     if abs(sum(sizes) - 1.0) > 1e-8:
-        raise ValueError("Split sizes must sum to 1.0.")
+        raise ValueError(f"The shares of the splits must sum to 1, and give {sum(sizes)}.")
     train, test = _share(sizes[0]), _share(sizes[1])
     cut = hash_cuts(
         df, key, seed, {"train_end": train, "test_end": lambda n: F.least(train(n) + test(n), n)}, digits=digits
@@ -91,11 +90,11 @@ def split_proportions(assignments: DataFrame) -> DataFrame:
     return shares.unpivot([], list(SPLITS), "split", "proportion")
 
 
-def id_reconcile(dataset: DataFrame, assignments: DataFrame, key: str = "row_id", examples: int = 5) -> DataFrame:
-    """First ids that only one side has: (side, row_id)."""
+def id_reconcile(dataset: DataFrame, assignments: DataFrame, key: str = "row_id") -> DataFrame:
+    """Every id that only one side has: (side, row_id)."""
     left = dataset.select(F.col(key).alias("__l")).distinct()
     right = assignments.select(F.col(key).alias("__r")).distinct()
-    one_sided = (
+    return (
         left.join(right, F.col("__l") == F.col("__r"), "full_outer")
         .filter(F.col("__l").isNull() | F.col("__r").isNull())
         .select(
@@ -103,8 +102,6 @@ def id_reconcile(dataset: DataFrame, assignments: DataFrame, key: str = "row_id"
             F.coalesce("__l", "__r").alias(key),
         )
     )
-    firsts = [one_sided.filter(F.col("side") == side).orderBy(key).limit(examples) for side in ("missing", "extra")]
-    return firsts[0].unionByName(firsts[1])
 
 
 def split_problems(dataset: DataFrame, assignments: DataFrame, key: str = "row_id") -> DataFrame:
@@ -113,8 +110,6 @@ def split_problems(dataset: DataFrame, assignments: DataFrame, key: str = "row_i
         assignments.groupBy(key)
         .count()
         .filter(F.col("count") > 1)
-        .orderBy(key)
-        .limit(5)
         .select(F.lit("duplicated").alias("problem"), F.col(key).cast("string").alias("detail"))
     )
     unmatched = id_reconcile(dataset, assignments, key).select(
@@ -129,7 +124,7 @@ def split_problems(dataset: DataFrame, assignments: DataFrame, key: str = "row_i
 
 
 def validate_splits(dataset: DataFrame, assignments: DataFrame, key: str = "row_id") -> None:
-    found = split_problems(dataset, assignments, key).limit(20).collect()
+    found = split_problems(dataset, assignments, key).limit(5).collect()  # examples for the message
     if found:
         raise ValueError("Split assignments do not match the dataset: " + "; ".join(f"{r[0]} {r[1]}" for r in found))
 
@@ -179,7 +174,24 @@ def require_splits(joined: DataFrame) -> None:
     """Fail when one of the three splits has no rows; one job for all."""
     empty = [r["split"] for r in split_counts(joined).collect() if r["n"] == 0]
     if empty:
-        raise ValueError("Train, test, and validation splits must all be non-empty; empty: " + ", ".join(empty))
+        raise ValueError("Splits must be non-empty, and these have no rows: " + ", ".join(empty))
+
+
+def allotment(counts: Mapping[str, int], n: int, floors: Mapping[str, int]) -> dict[str, int]:
+    """Exactly ``n`` rows over the non-empty splits by largest remainder.
+
+    Each split first gets the whole part of its proportional share or its floor, as far as it has rows. What is left
+    over goes to the splits furthest below their shares; what is missing is taken from those furthest above, which
+    keep one row as long as ``n`` allows. Earlier splits win ties.
+    """
+    total = sum(counts.values())
+    shares = {split: n * size / total for split, size in counts.items() if size}
+    taken = {split: min(counts[split], max(int(share), floors.get(split, 0))) for split, share in shares.items()}
+    while gap := n - sum(taken.values()):
+        step = 1 if gap > 0 else -1
+        movable = [s for s in taken if (taken[s] < counts[s] if step > 0 else taken[s] > 1)] or [s for s in taken if taken[s]]
+        taken[max(movable, key=lambda s: step * (shares[s] - taken[s]))] += step
+    return taken
 
 
 def stratified_sample(
@@ -187,46 +199,22 @@ def stratified_sample(
 ) -> DataFrame:
     """Exact sample of ``n`` rows, proportional by split with floors.
 
-    Sizes per split come from three counts. Rows below the split's cut in the
-    shuffled order are taken; a shortfall is filled from the other rows in the
-    order of a second seed.
+    Sizes per split come from three counts; of each split the first rows of the
+    shuffled order are taken.
     """
     if n is None:
         return joined
     counts = {r["split"]: r["n"] for r in split_counts(joined).collect()}
-    total = sum(counts.values())
-    if n >= total:
+    if n >= sum(counts.values()):
         return joined
-    targets: dict[str, int] = {}
-    remaining = n
-    for split in SPLITS:
-        size = counts[split]
-        if size == 0:
-            continue
-        floor = min_train if split == "train" else 2
-        share = max(int(round(n * size / total)), floor)
-        targets[split] = min(share, size, remaining if remaining > 0 else size)
-        remaining -= targets[split]
-
-    def upto(split_targets: dict[str, int]) -> Callable[[Column], Column]:
-        chain = F.lit(None).cast("long")
-        for split, size in split_targets.items():
-            chain = F.when(F.col("split") == split, F.lit(size)).otherwise(chain)
-        return lambda _: chain
-
-    cuts = {r["split"]: r["cut"] for r in hash_cuts(joined, key, seed, {"cut": upto(targets)}, within=["split"]).collect()}
+    sizes = allotment({split: counts[split] for split in SPLITS}, n, dict.fromkeys(SPLITS, 2) | {"train": min_train})
+    wanted = F.create_map(*[F.lit(v) for item in sizes.items() for v in item])[F.col("split")].cast("long")
+    cuts = {r["split"]: r["cut"] for r in hash_cuts(joined, key, seed, {"cut": lambda _: wanted}, within=["split"]).collect()}
     place, inside = hash_order(seed, key), F.lit(False)
-    for split in targets:
+    for split in sizes:
         # A split without a cut is taken whole.
         inside = F.when(F.col("split") == split, _before(place, cuts.get(split))).otherwise(inside)
-    tagged = joined.withColumn("__in", inside)
-    short = n - sum(targets.values())
-    if short <= 0:
-        return tagged.filter("__in").select(*joined.columns)
-    pool = tagged.filter(~F.col("__in"))
-    extra = hash_cuts(pool, key, seed + 1, {"cut": lambda _: F.lit(short)}).first()["cut"]
-    chosen = F.col("__in") | _before(hash_order(seed + 1, key), extra)
-    return tagged.filter(chosen).select(*joined.columns)
+    return joined.filter(inside)
 
 
 def extra_pool(joined: DataFrame, sampled: DataFrame, key: str = "row_id") -> DataFrame:
@@ -254,49 +242,21 @@ def training_sample(
 def fold_cuts(ids: DataFrame, k: int, key: str = "row_id", within: Sequence[str] = ()) -> DataFrame:
     """First id of folds 1..k-1 when sorted ids are cut into k blocks.
 
-    The first ``n % k`` blocks are one row longer. Ids must be unique integers.
-    They are counted in equal-width buckets, and only the buckets holding a
-    boundary are sorted.
+    The first ``n % k`` blocks are one row longer. Ids may be any integers: they
+    are ranked by a range sort, whose partitions follow their distribution.
     """
     groups = list(within)
-    span = ids.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    low, high = (span["lo"], span["hi"]) if span["lo"] is not None else (0, 0)
-    width = max(1, -(-(high - low + 1) // BUCKETS))
-    placed = ids.select(*groups, key, F.floor((F.col(key) - low) / width).alias("__b"))
-    sizes = placed.groupBy(*groups, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    everything = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(1))
-    ordered = everything.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.withColumns(
-        {
-            "__before": F.coalesce(F.sum("__n").over(ordered), F.lit(0)),
-            "__total": F.sum("__n").over(everything),
-        }
-    )
+    ranked = order_rank(ids.select(*groups, key), [key], "__rank", groups)
+    sizes = ids.groupBy(*groups).agg(F.count(F.lit(1)).alias("__total"))
     base, long_blocks = F.floor(F.col("__total") / k), F.col("__total") % k
     starts = F.array(
         *[F.struct(F.lit(i).alias("fold"), (base * i + F.least(long_blocks, F.lit(i))).alias("start")) for i in range(1, k)]
     )
-    hits = (
-        sizes.select(*groups, "__b", "__n", "__before", F.explode(starts).alias("__s"))
-        .withColumn("__pos", F.col("__s.start") - F.col("__before"))
-        .filter((F.col("__pos") >= 0) & (F.col("__pos") < F.col("__n")))
-        .select(
-            *[F.col(g).alias(f"__g_{g}") for g in groups],
-            F.col("__b").alias("__hit"),
-            F.col("__s.fold").alias("fold"),
-            "__pos",
-        )
-    )
-    condition = placed["__b"] == hits["__hit"]
+    wanted = sizes.select(*[F.col(g).alias(f"__g_{g}") for g in groups], F.explode(starts).alias("__s"))
+    condition = F.col("__rank") == F.col("__s.start")
     for group in groups:
-        condition = condition & placed[group].eqNullSafe(hits[f"__g_{group}"])
-    inside = placed.join(hits, condition)
-    order = W.partitionBy(*groups, "fold", "__b").orderBy(key)
-    return (
-        inside.withColumn("__rn", F.row_number().over(order) - 1)
-        .filter(F.col("__rn") == F.col("__pos"))
-        .select(*groups, "fold", F.col(key).alias("first_id"))
-    )
+        condition = condition & F.col(group).eqNullSafe(F.col(f"__g_{group}"))
+    return ranked.join(wanted, condition).select(*groups, F.col("__s.fold").alias("fold"), F.col(key).alias("first_id"))
 
 
 def kfold(df: DataFrame, k: int, key: str = "row_id", name: str = "fold") -> DataFrame:
@@ -311,9 +271,7 @@ def kfold(df: DataFrame, k: int, key: str = "row_id", name: str = "fold") -> Dat
 def stratified_kfold(df: DataFrame, k: int, label: str, key: str = "row_id", name: str = "fold") -> DataFrame:
     """Contiguous blocks within each class of ``label``."""
     cuts = fold_cuts(df, k, key, within=[label])
-    starts = F.broadcast(
-        cuts.groupBy(F.col(label).alias("__c")).agg(F.sort_array(F.collect_list("first_id")).alias("__starts"))
-    )
+    starts = cuts.groupBy(F.col(label).alias("__c")).agg(F.sort_array(F.collect_list("first_id")).alias("__starts"))
     joined = df.join(starts, df[label].eqNullSafe(F.col("__c")), "left")
     fold = F.size(F.filter(F.coalesce("__starts", F.array().cast("array<long>")), lambda s: s <= F.col(key)))
     return joined.withColumn(name, fold).drop("__c", "__starts")

@@ -44,8 +44,8 @@ def scan_run_docs(spark: SparkSession, run_dirs: Sequence[str], name: str = MANI
 class RunRegistry:
     """Tables of all runs under one root, each partitioned by run_id.
 
-    Every write appends a partition of its own run, so concurrent runs do not
-    touch each other's files.
+    Every write replaces the partition of its own run, so concurrent runs do not
+    touch each other's files and a retried run does not double its rows.
     """
 
     TABLES = ("manifest", "metrics", "predictions", "cv_results", "coefficients", "diagnostics", "samples")
@@ -54,14 +54,22 @@ class RunRegistry:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def append(self, table: str, run_id: str, df: DataFrame) -> None:
+    def put(self, table: str, run_id: str, df: DataFrame) -> None:
         tagged = df.drop("run_id").withColumn("run_id", F.lit(run_id))
-        tagged.write.mode("append").partitionBy("run_id").parquet(f"{self.root}/{table}")
+        writer = tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("run_id").parquet(f"{self.root}/{table}")
+
+    def _stored(self, table: str) -> DataFrame:
+        return self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/{table}")
 
     def read(self, table: str, run_ids: Sequence[str] | None = None) -> DataFrame:
-        """Rows of some or all runs; the filter prunes partitions."""
-        df = self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/{table}")
-        return df if run_ids is None else df.filter(F.col("run_id").isin(*run_ids))
+        """Rows of some or all archived runs; runs without a manifest are not complete."""
+        df = self._stored(table)
+        if run_ids is not None:
+            df = df.filter(F.col("run_id").isin(*run_ids))
+        if table == "manifest":
+            return df
+        return df.join(self._stored("manifest").select("run_id").distinct(), "run_id", "left_semi")
 
     def has(self, run_id: str) -> bool:
         try:
@@ -74,4 +82,4 @@ class RunRegistry:
         if self.has(run_id):
             raise ValueError(f"Run {run_id} is already archived.")
         for name, df in sorted(tables.items(), key=lambda item: item[0] == "manifest"):
-            self.append(name, run_id, df)
+            self.put(name, run_id, df)

@@ -89,7 +89,7 @@ def test_build_diagnostics_covers_everything(spark):
     comparison = metrics.model_comparison(stored)
     tables = build_diagnostics(stored, comparison, "run_a")
     assert {"residual_summary", "error_by_income_decile", "pairwise_error_comparison", "metric_gaps", "decile_curves", "observed_vs_predicted", "notes"} <= set(tables)
-    assert tables["observed_vs_predicted"].count() == 20
+    assert sum(r["n"] for r in tables["observed_vs_predicted"].collect()) == 20
     assert tables["notes"].filter("status = 'skipped'").count() == 1
     assert stored.orderBy("model", "split", "row_id").collect() == before
     with pytest.raises(ValueError, match="Available splits"):
@@ -150,3 +150,18 @@ def test_determinism_and_ranks(spark):
     assert [(r["A"], r["B"]) for r in explore.near_deterministic_pairs(df, ["a", "b", "c"]).collect()] == [("a", "b")]
     income = spark.createDataFrame([(2003, r, float(i)) for i, r in enumerate("abcdef")], "ANO4 int, Region string, P47T double")
     assert sorted(r["rank"] for r in explore.geo_rank(income, "ANO4", "Region").collect()) == [0.167, 0.333, 0.5, 0.667, 0.833, 1.0]
+
+
+def test_spearman_ranks_pairs_on_common_rows(spark):
+    rng = np.random.default_rng(0)
+    frame = pd.DataFrame({c: np.where(rng.random(60) < 0.3, np.nan, rng.integers(0, 9, 60)) for c in "abc"})
+    frame["d"] = rng.integers(0, 5, 60).astype(float)
+    df = spark.createDataFrame(frame).select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in frame])
+    got = {(r.variable_1, r.variable_2): r.correlation for r in explore.spearman_pairs(df, list("abcd")).collect()}
+    want = frame.corr("spearman").abs()
+    assert all(abs(got[a, b] - want.loc[a, b]) < 1e-9 for a, b in got) and len(got) == 6
+
+
+def test_density_leaves_nulls_out(spark):
+    df = spark.createDataFrame([(0.5, None), (0.0, 0.0), (1.0, 1.0), (None, 1.0)], "x double, y double")
+    assert sum(r["n"] for r in explore.density_2d(df, "x", "y", 2).collect()) == 2

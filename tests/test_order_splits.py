@@ -71,12 +71,11 @@ def test_stratified_kfold(spark):
     assert {(r["c"], r["fold"]): r["count"] for r in got} == {(c, f): (6, 2)[c] for c in (0, 1) for f in range(5)}
 
 
-# With 32 rows rounding leaves one to top up. With 5 rows the train share uses them up, and the floor of the last split still adds two.
-@pytest.mark.parametrize(("n", "size"), [(10, 10), (57, 57), (32, 32), (5, 7)])
-def test_stratified_sample_is_exact(spark, n, size):
+@pytest.mark.parametrize("size", [10, 57, 32, 5])
+def test_stratified_sample_is_exact(spark, size):
     df = ids(spark, 200)
     joined = df.join(splits.random_split(df), "row_id")
-    sample = splits.stratified_sample(joined, n)
+    sample = splits.stratified_sample(joined, size)
     assert sample.count() == size and sample.select("row_id").distinct().count() == size
     counts = {r["split"]: r["n"] for r in splits.split_counts(sample).collect()}
     assert counts["train"] >= 2 and counts["test"] >= 1 and counts["validation"] >= 1
@@ -125,3 +124,29 @@ def test_training_sample(spark):
     assert splits.training_sample(train, ["x"], n=0) is None
     with pytest.raises(ValueError, match="Forbidden"):
         splits.training_sample(train.withColumn("P47T", F.lit(1)), ["x", "P47T"])
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 6, 11, 40, 149])
+def test_allotment_is_exact(n):
+    counts = {"train": 100, "test": 40, "validation": 10}
+    got = splits.allotment(counts, n, {"train": 5, "test": 2, "validation": 2})
+    assert sum(got.values()) == n and all(0 <= got[s] <= counts[s] for s in got)
+    assert n < 9 or (got["train"] >= 5 and got["test"] >= 2 and got["validation"] >= 2)
+
+
+def test_random_split_refuses_repeated_ids(spark):
+    with pytest.raises(ValueError, match="repeats"):
+        splits.random_split(spark.createDataFrame([(1,)] * 10, "row_id long"))
+
+
+def test_kfold_of_hashed_ids_and_of_an_outlier(spark):
+    hashed = spark.range(100).select(F.xxhash64("id").alias("row_id"))
+    far = spark.range(99).select(F.col("id").alias("row_id")).union(spark.createDataFrame([((1 << 62),)], "row_id long"))
+    for df in (hashed, far):
+        folds = [r["fold"] for r in splits.kfold(df, 3).orderBy("row_id").collect()]
+        assert folds == [0] * 34 + [1] * 33 + [2] * 33
+
+
+def test_every_problem_is_listed(spark):
+    found = splits.split_problems(spark.range(30).select(F.col("id").alias("row_id")), spark.createDataFrame([], "row_id long, split string"))
+    assert found.count() == 30

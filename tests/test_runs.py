@@ -173,3 +173,23 @@ def test_diagnostics_with_scores(spark):
     cv = cv_sweep(spark).withColumn("model", F.lit("HistGradientBoostingRegressor"))
     made = build_diagnostics(stored, metrics.model_comparison(stored), "r", cv_results=cv, sweep={"sweep_type": "hgb_single_param", "primary_param": "max_iter"})
     assert made["sweep_curve"].count() == 2 and made["ridge_alpha_curve"].isEmpty()
+
+
+def test_a_retried_run_keeps_its_rows_once(spark, tmp_path):
+    registry = runs.RunRegistry(spark, str(tmp_path))
+    rows = spark.range(5)
+    registry.put("metrics", "run_a", rows)
+    registry.put("manifest", "run_b", rows.limit(1))
+    assert registry.read("metrics").count() == 0
+    registry.record("run_a", {"metrics": rows, "manifest": rows.limit(1)})
+    assert registry.read("metrics").count() == 5
+
+
+def test_fingerprint_tells_tables_apart(spark):
+    def digest(rows, schema):
+        return tables.table_fingerprint(spark.createDataFrame(rows, schema)).first()["digest"]
+
+    text, number = "x string, y string", "x double"
+    assert digest([("a", "b")] * 2, text) != digest([("q", "z")] * 2, text)
+    assert digest([("a|b", "c")], text) != digest([("a", "b|c")], text) != digest([("a", None)], text)
+    assert len({digest([(v,)], number) for v in (1e-10, 2e-10, 1e30, None)}) == 4
