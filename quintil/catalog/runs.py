@@ -232,18 +232,18 @@ def g8(spark, sf_dir):
 
 
 def note(label: str, metric: str, direction: str) -> str:
-    number = f"regexp_replace(regexp_replace(printf('%.6f', round({metric}, 6)), '0+$', ''), '[.]$', '')"
-    return f"(SELECT '{label}: ' || {number} || ' (' || run_id || ' / ' || model || ')' FROM compared ORDER BY {metric} {direction}, run_id LIMIT 1)"
+    number = f"printf('%.6g', {metric})"
+    return f"(SELECT '{label}: ' || {number} || ' (' || run_id || ' / ' || model || ')' FROM compared ORDER BY round({metric}, 9) {direction}, run_id, model LIMIT 1)"
 
 
 @query("g9_best_notes", f"""{COMPARED} SELECT 'best_validation_r2' AS note, {note("Best validation R2", "validation_r2", "DESC")} AS text
+  UNION ALL SELECT 'best_cv_r2', {note("Best CV R2", "cv_r2_mean", "DESC")}
   UNION ALL SELECT 'lowest_validation_mae', {note("Lowest validation MAE", "validation_mae", "ASC")}
   UNION ALL SELECT 'feature_count_warning', 'Warning: feature_count differs: 6, 7'""")
 def g9(spark, sf_dir):
+    # The two runs share their errors, up to the order of sums; the tie goes to the first.
     df = compared(spark, sf_dir)
-    # The two runs share their error columns; the second run's are shifted to leave one minimum.
-    shifted = df.withColumn("validation_mae", F.when(F.col("run_id") == "run_a", F.col("validation_mae")).otherwise(F.col("validation_mae") + 1))
-    return selection.best_notes(shifted).filter(F.col("note") != "best_cv_r2")
+    return selection.best_notes(df.withColumns({c: F.round(c, 9) for c in COMPARED_COLUMNS.split()}))
 
 
 @query("a17_run_registry", tidy_sql(f"{PREDICTIONS} SELECT r.run_id, model, count(*) AS n, avg(abs_error) AS mae FROM predictions, (VALUES ('run_a'), ('run_b')) r(run_id) GROUP BY r.run_id, model", "mae"))

@@ -6,10 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from quintil.operators.order import hash_order, hash_rank, order_rank
-from quintil.session import BROADCAST_ROWS, settle, side_table
+from quintil.operators.order import hash_rank, order_rank
+from quintil.session import settle, side_table
 
 
 def group_mode(df: DataFrame, group: str, column: str) -> DataFrame:
@@ -36,16 +35,7 @@ def permuted_values(df: DataFrame, column: str, group: str, seed: int = 42) -> D
         group_mode(df, group, column).withColumn("__key", F.coalesce(F.col(group).cast("string"), F.lit("<NA>")))
     )
     n = keyed.count()
-    if n <= BROADCAST_ROWS:
-        everything = W.partitionBy(F.lit(1))
-        placed = keyed.withColumns(
-            {
-                "__i": F.row_number().over(everything.orderBy("__key")) - 1,
-                "__j": F.row_number().over(everything.orderBy(hash_order(seed, "__key"))) - 1,
-            }
-        )
-    else:
-        placed = hash_rank(order_rank(keyed, ["__key"], "__i"), "__key", seed, "__j")
+    placed = hash_rank(order_rank(keyed, ["__key"], "__i"), "__key", seed, "__j")
     unchanged = placed.agg(F.bool_and(F.col("__i") == F.col("__j"))).first()[0]
     if unchanged and n > 1:
         placed = placed.withColumn("__j", (F.col("__j") + 1) % n)

@@ -73,8 +73,13 @@ def cv_rank(cv_results: DataFrame, score: str = "mean_test_score", keys: Sequenc
     return cv_results.withColumn("rank_test_score", F.rank().over(W.partitionBy(*keys).orderBy(F.desc(score))))
 
 
+def _then(df: DataFrame, *first: Column) -> list[Column]:
+    """A total order: the given keys, then all columns by name, so equal scores fall the same way every time."""
+    return [*first, *[F.col(f"`{c}`").asc_nulls_last() for c in sorted(df.columns)]]
+
+
 def top_configs(summary: DataFrame, n: int = 20) -> DataFrame:
-    return summary.orderBy(F.col("rank_test_score").asc_nulls_last()).limit(n)
+    return summary.orderBy(*_then(summary, F.col("rank_test_score").asc_nulls_last())).limit(n)
 
 
 def by_overfit_gap(summary: DataFrame) -> DataFrame:
@@ -84,8 +89,9 @@ def by_overfit_gap(summary: DataFrame) -> DataFrame:
 def top_config_curve(summary: DataFrame, n: int = 20, order: Sequence[str] = ("rank_test_score",)) -> DataFrame:
     """Train and CV score of the best configurations, numbered from 1."""
     scored = summary.dropna(subset=["mean_train_score", "mean_test_score"])
-    top = scored.orderBy(*order).limit(n)
-    position = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*order))
+    total = _then(scored, *[F.col(c) if isinstance(c, str) else c for c in order])
+    top = scored.orderBy(*total).limit(n)
+    position = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*total))
     return top.select(position.alias("config_rank"), "mean_train_score", "mean_test_score")
 
 
@@ -109,13 +115,14 @@ def simplest_within(summary: DataFrame, tolerance: float = TOLERANCE) -> DataFra
         to_number("l2_regularization").asc_nulls_last(),
         F.desc("mean_test_score"),
     ]
-    return near.orderBy(*order).limit(1)
+    return near.orderBy(*_then(near, *order)).limit(1)
 
 
 def _plain(value: Column) -> Column:
-    """Number text without trailing zeros."""
-    text = F.format_string("%.6f", value)
-    return F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", "")
+    """Number text with six significant digits and without trailing zeros."""
+    text = F.format_string("%.6g", value)
+    short = F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+($|e)", "$1$2"), r"\.($|e)", "$1")
+    return F.when(value == 0, "0").otherwise(short)
 
 
 def recommended_region(summary: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -144,7 +151,7 @@ def _config_text() -> Column:
 def sweep_report(summary: DataFrame, tolerance: float = TOLERANCE, line: float = OVERFIT_LINE) -> DataFrame:
     """One row: best and simplest configuration, gap warning and region."""
     scored = summary.filter(to_number("mean_test_score").isNotNull())
-    best = scored.orderBy(F.desc("mean_test_score"), F.col("rank_test_score").asc_nulls_last()).limit(1)
+    best = scored.orderBy(*_then(scored, F.desc("mean_test_score"), F.col("rank_test_score").asc_nulls_last())).limit(1)
     simple = simplest_within(scored, tolerance).select(
         F.struct(F.col("mean_test_score").alias("score"), _config_text().alias("text")).alias("s")
     ).scalar()
@@ -209,10 +216,12 @@ def best_notes(comparison: DataFrame) -> DataFrame:
 
     def best(metric: str, label: str, highest: bool) -> Column:
         value = to_number(metric)
-        pick, edge = (F.max_by, F.max) if highest else (F.min_by, F.min)
-        owner = pick(who, value)
+        # Of equal values the first run and model by name owns the note.
+        place = F.struct((-value if highest else value).alias("v"), "run_id", "model")
+        owner = F.min_by(who, F.when(value.isNotNull(), place))
+        edge = F.max(value) if highest else F.min(value)
         text = F.concat(
-            F.lit(f"{label}: "), _plain(F.round(edge(value), 6)), F.lit(" ("), owner["run_id"], F.lit(" / "), owner["model"], F.lit(")")
+            F.lit(f"{label}: "), _plain(edge), F.lit(" ("), owner["run_id"], F.lit(" / "), owner["model"], F.lit(")")
         )
         return F.coalesce(text, F.lit(f"{label}: unavailable"))
 
