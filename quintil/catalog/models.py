@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quintil.catalog.base import JOINED, SURVEY, people, query, split_people, survey, table, tidy, tidy_sql
 from quintil.ml import design, importance, linear, models, neighbors
 from quintil.operators import effects, selection, splits
+from quintil.operators.order import add_row_id
 
 W = f"WITH {SURVEY}"
 TRAIN = f"{JOINED}, train AS (SELECT * FROM joined WHERE split = 'train')"
@@ -266,6 +267,15 @@ def j8(spark, sf_dir):
     return scored(spark, sf_dir, "hist_gradient_boosting", {"max_iter": 10, "max_leaf_nodes": 15, "min_samples_leaf": 20})
 
 
+# One step of one split on a binary feature predicts the two group means.
+@query("j8_boosted_one_step", tidy_sql(f"""{JOINED} SELECT CASE WHEN TRIMESTRE > 2 THEN 1 ELSE 0 END AS half, avg(logP47T) AS y_pred
+  FROM joined WHERE split = 'train' GROUP BY half""", "y_pred"))
+def j8_one_step(spark, sf_dir):
+    rows = train_rows(spark, sf_dir).withColumn("half", (F.col("TRIMESTRE") > 2).cast("int"))
+    fitted = models.fit_model(rows, ["half"], TARGET, "hist_gradient_boosting", {"max_iter": 1, "max_depth": 1, "min_samples_leaf": 1})
+    return tidy(fitted.transform(rows).groupBy("half").agg(F.avg("y_pred").alias("y_pred")))
+
+
 @query("j9_random_forest")
 def j9(spark, sf_dir):
     return scored(spark, sf_dir, "random_forest", {"n_estimators": 10, "max_depth": 5})
@@ -294,7 +304,7 @@ def j22(spark, sf_dir):
 
 def labelled(spark, sf_dir):
     """Income flag of the survey with a unique integer id."""
-    df = survey(spark, sf_dir).withColumn("row_id", F.xxhash64("person_key"))
+    df = add_row_id(survey(spark, sf_dir), ["person_key"])
     return df.select("row_id", "INGRESO", "P02", "P03", "P09", "H10", "Region", "ANO4")
 
 

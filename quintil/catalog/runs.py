@@ -12,6 +12,7 @@ from quintil.catalog.diagnostics import M, comparison
 from quintil.functions import scalar as S
 from quintil.operators import dataset as D
 from quintil.operators import explore, selection, splits
+from quintil.operators.order import add_row_id
 from quintil.plans import compare, diagnostics
 from quintil.session import ensure_checkpoint_dir
 from quintil.sources import annual, runs, tables
@@ -102,7 +103,7 @@ def a9(spark, sf_dir):
 def a11(spark, sf_dir):
     path = scratch(spark)
     engineered, facts = D.engineer(survey(spark, sf_dir))
-    frame = D.with_target(D.include(engineered)).withColumn("row_id", F.xxhash64("person_key"))
+    frame = add_row_id(D.with_target(D.include(engineered)), ["person_key"])
     chosen, features, excluded = D.select_modeling(frame)
     tables.sink_dataset(chosen, D.dataset_metadata(survey(spark, sf_dir), chosen, features, excluded, {"all": []}, facts), path)
     stored = tables.scan_dataset(spark, f"{path}/modeling_dataset.parquet").agg(F.count(F.lit(1)).alias("n"))

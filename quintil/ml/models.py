@@ -31,9 +31,36 @@ def _depth(leaves: object, default: int = 5) -> int:
     return default if leaves is None else min(30, max(1, math.ceil(math.log2(int(leaves)))))
 
 
+# Grid parameters that each estimator here can honour.
+HONOURED = {
+    "hist_gradient_boosting": "learning_rate max_iter max_depth max_leaf_nodes min_samples_leaf",
+    "random_forest": "n_estimators max_depth min_samples_leaf max_features",
+    "random_forest_classifier": "n_estimators max_depth min_samples_leaf",
+    "polynomial_lasso": "alpha",
+    "logistic": "penalty C max_iter",
+    "boosted_classifier": "learning_rate max_iter n_estimators max_depth min_samples_leaf subsample colsample",
+    "linear_svm": "C max_iter",
+}
+
+
+def refuse_ignored(model: str, params: Mapping[str, object]) -> None:
+    """Fail on parameters that would not change the fit, unless they are off (None, False or 0)."""
+    ignored = sorted(k for k, v in params.items() if v and k not in HONOURED.get(model, "").split())
+    if ignored:
+        raise ValueError(f"{model} cannot honour {', '.join(ignored)}; every value would give the same fit.")
+
+
 def estimator(model: str, params: Mapping[str, object], rows: int, seed: int = 42) -> Pipeline:
-    """Spark ML estimator for a model name and its grid parameters."""
+    """Spark ML estimator for a model name and its grid parameters.
+
+    Spark scales by the sample deviation; penalties are adjusted so that they act
+    on features scaled by the population deviation.
+    """
+    if model not in HONOURED:
+        raise ValueError(f"Unsupported model {model!r}; there are {', '.join(sorted(HONOURED))}.")
+    refuse_ignored(model, params)
     p = dict(params)
+    shrink = (rows - 1) / rows if rows > 1 else 1.0
     common = {"featuresCol": "features", "labelCol": "label"}
     if model == "hist_gradient_boosting":
         stages = [
@@ -69,7 +96,7 @@ def estimator(model: str, params: Mapping[str, object], rows: int, seed: int = 4
         ]
     elif model == "logistic":
         penalty = {None: (0.0, 0.0), "l2": (1.0, 0.0), "l1": (1.0, 1.0)}[p.get("penalty")]
-        strength = 1.0 / (float(p.get("C", 1.0)) * rows)
+        strength = 1.0 / (float(p.get("C", 1.0)) * rows) * (shrink**0.5 if penalty[1] else shrink)
         stages = [
             StandardScaler(inputCol="features", outputCol="__scaled", withMean=True),
             LogisticRegression(
@@ -97,16 +124,14 @@ def estimator(model: str, params: Mapping[str, object], rows: int, seed: int = 4
                 seed=seed,
             )
         ]
-    elif model == "linear_svm":
+    else:
         stages = [
             StandardScaler(inputCol="features", outputCol="__scaled", withMean=True),
             LinearSVC(
-                featuresCol="__scaled", labelCol="label", regParam=1.0 / (float(p.get("C", 1.0)) * rows),
+                featuresCol="__scaled", labelCol="label", regParam=shrink / (float(p.get("C", 1.0)) * rows),
                 standardization=False, maxIter=int(p.get("max_iter", 100)),
             ),
         ]
-    else:
-        raise ValueError(f"Unsupported model key: {model}")
     return Pipeline(stages=stages)
 
 

@@ -208,3 +208,21 @@ def test_univariate_screen(spark):
     lines = {r["column"]: r for r in models.univariate_lines(joined, ["a", "b"], "y").collect()}
     pdf = joined.filter("split = 'train'").toPandas().dropna(subset=["a"])
     assert math.isclose(lines["a"]["slope"], np.polyfit(pdf.a, pdf.y, 1)[0], abs_tol=1e-9)
+
+
+def test_parameters_without_effect_are_refused():
+    with pytest.raises(ValueError, match="l2_regularization"):
+        models.refuse_ignored("hist_gradient_boosting", {"l2_regularization": 0.1})
+    models.refuse_ignored("hist_gradient_boosting", {"l2_regularization": 0.0, "early_stopping": False})
+
+
+def test_descent_reaches_its_end_or_fails():
+    from quintil.ml import linear
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200, 4))
+    x[:, 3] = x[:, 0] + 1e-3 * rng.normal(size=200)
+    y = x @ [1.0, 0.5, 0.0, 0.0]
+    w = linear._solve(x.T @ x, x.T @ y, 200, 0.01, 1.0)
+    slope = x.T @ (y - x @ w) / 200
+    assert np.all(np.abs(slope) <= 0.01 + 1e-9)
