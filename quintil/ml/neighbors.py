@@ -16,6 +16,7 @@ from quintil.session import settle
 
 PIVOTS = 32
 BLOCK_ROWS = 5_000
+MATRIX_CELLS = 4_000_000  # numbers in a block of differences
 
 
 def _distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -100,20 +101,28 @@ def nearest_neighbors(
     )
     # Queries of a block are split as well, so that no block collects them all.
     query_groups = max(1, -(-queries.count() // block_rows))
-    routed = routed.withColumn("part", F.pmod(F.xxhash64("__id"), F.lit(query_groups)).cast("int"))
-    copies = ref_blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))))
+    routed = settle(routed.withColumn("part", F.pmod(F.xxhash64("__id"), F.lit(query_groups)).cast("int")))
+    # References go only where some query asks for their cell.
+    asked = routed.select(F.col("cell").alias("asked"), F.col("part").alias("by")).distinct()
+    copies = ref_blocks.join(asked, F.col("cell") == F.col("asked")).select("cell", "block", F.col("by").alias("part"), "__id", "__v")
 
     def closest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ["query", "neighbor", "distance"]
         if left.empty or right.empty:
             return pd.DataFrame({n: pd.Series(dtype="float64" if n == "distance" else "int64") for n in names})
-        refs = np.array(right["__v"].tolist(), dtype=float)
-        ref_ids = right["__id"].to_numpy()
+        points, refs = (np.array(side["__v"].tolist(), dtype=float) for side in (left, right))
+        query_ids, ref_ids = left["__id"].to_numpy(), right["__id"].to_numpy()
+        best, rows = min(k, len(refs)), max(1, MATRIX_CELLS // refs.size)
         found = []
-        for query, value in zip(left["__id"], left["__v"], strict=True):
-            away = np.sqrt(((refs - np.asarray(value, dtype=float)) ** 2).sum(axis=1))
-            best = np.lexsort((ref_ids, away))[:k]
-            found.append(pd.DataFrame({"query": query, "neighbor": ref_ids[best], "distance": away[best]}))
+        for at in range(0, len(points), rows):
+            away = _distances(points[at : at + rows], refs)
+            edge = np.partition(away, best - 1, axis=1)[:, best - 1]
+            q, r = np.nonzero(away <= edge[:, None])  # ties at the edge included
+            order = np.lexsort((ref_ids[r], away[q, r], q))
+            q, r = q[order], r[order]
+            ahead = np.arange(len(q)) - np.searchsorted(q, q)
+            q, r = q[ahead < best], r[ahead < best]
+            found.append(pd.DataFrame({"query": query_ids[at + q], "neighbor": ref_ids[r], "distance": away[q, r]}))
         return pd.concat(found, ignore_index=True)
 
     schema = T.StructType(
