@@ -30,7 +30,7 @@ def pack(values: np.ndarray) -> bytes:
     if not len(values):
         return b""
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=5).compress(planes.tobytes())
 
 
 def unpack(packed: bytes | None, kind: type) -> np.ndarray:
@@ -41,6 +41,16 @@ def unpack(packed: bytes | None, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
 
 
+def pack_values(values: np.ndarray) -> tuple[bytes, bytes]:
+    """Packed distinct values and packed numbers into them, for values that repeat."""
+    distinct, codes = np.unique(values, return_inverse=True)
+    return pack(distinct), pack(codes.astype(np.uint32))
+
+
+def unpack_values(distinct: bytes, codes: bytes, kind: type) -> np.ndarray:
+    return unpack(distinct, kind)[unpack(codes, np.uint32)]
+
+
 def count_blocks(docs: DataFrame, text: str) -> int:
     """Number of blocks for the whole input; blocks grow with the square root of a very large one."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -77,7 +87,7 @@ def _packed(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids = table.column("block").to_numpy()
     edges = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1], True]) if len(ids) else []
     rest = table.drop_columns("block")
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))
     for a, b in zip(edges[:-1], edges[1:]):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rest.schema, options=options) as writer:

@@ -192,7 +192,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", modulus: int
         docs[key].cast("long").alias("doc_id"), docs[text].alias("text"), (remainder(docs[key], modulus) == 0).alias("held_out")
     )
     number = B.count_blocks(source, "text")
-    parts, salts = max(16, number // 8), -(-number // SALT_BLOCKS)
+    parts, salts = max(16, number // 4), -(-number // SALT_BLOCKS)
     dealt = B.deal(source, ["doc_id", "text", "held_out"], "doc_id", "text", number)
 
     def count(block: int, table: pa.Table) -> Iterator[tuple]:
@@ -252,28 +252,28 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", modulus: int
                 else:
                     at, there = find(keys, wanted)
                     answer = np.where(there, values[at], 0) if len(keys) else np.zeros(len(wanted), np.int64)
-                out.append((block, part, B.pack(answer)))
-        return B.table_of(out, ["block", "part", "answer"], ANSWER)
+                out.append((block, part, *B.pack_values(answer)))
+        return B.table_of(out, ["block", "part", "values", "codes"], ANSWER)
 
     asked = B.by_block(dealt, ask, "part int, salt int, block long, keys binary")
     spread = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     answers = asked.groupBy("part", "salt").cogroup(spread.groupBy("part", "salt")).applyInArrow(reply, ANSWER)
 
     def rate(table: pa.Table, answers: pa.Table) -> Iterator[tuple]:
-        given = dict(zip(answers.column("part").to_pylist(), answers.column("answer").to_pylist()))
+        given = {p: (v, c) for p, v, c in zip(*(answers.column(n).to_pylist() for n in ("part", "values", "codes")))}
         texts = [t or "" for t in table.column("text").to_pylist()]
         chunks = list(sequences(texts))
         owners = np.concatenate([o for o, _ in chunks]) if chunks else np.empty(0, np.int64)
         keys, number = numbered(np.concatenate([k for _, k in chunks]) if chunks else np.empty(0, U))
         chances = np.zeros(len(keys))
         for part, rows in _split(0, keys, parts):
-            chances[rows] = B.unpack(given[part], np.float64)
+            chances[rows] = B.unpack_values(*given[part], np.float64)
         scores = np.bincount(owners, chances[number], len(texts))
         owners, hashes = word_hashes(texts, lower=True)
         words, number = numbered(hashes)
         known = np.zeros(len(words), np.int64)
         for part, rows in _split(1, words, parts):
-            known[rows] = B.unpack(given[part], np.int64)
+            known[rows] = B.unpack_values(*given[part], np.int64)
         under = train_tokens + 0.1 * (kinds + 1)
         bases = np.bincount(owners, np.log10((known + 0.1) / under)[number], len(texts)) + np.log10((ends + 0.1) / under)
         tokens = np.bincount(owners, minlength=len(texts)) + 1
@@ -285,7 +285,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", modulus: int
 
 
 MODEL = "part int, keys binary, counts binary"
-ANSWER = "block long, part int, answer binary"
+ANSWER = "block long, part int, values binary, codes binary"
 
 
 def _wanted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
