@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -202,12 +203,21 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     before = F.col("row-1").isNull() | (F.col("row1").isNotNull() & (alike("path1") >= alike("path-1")))
     pairs = both.select("row", F.when(before, F.col("row1")).otherwise(F.col("row-1")).alias("pair"))
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pages as packed texts, zones and line ids; the markup stays behind."""
+        packer = zstandard.ZstdCompressor(level=6)
         for batch in batches:
-            ids = [_line_ids([t for t, _ in blocks(p.as_py())]) for p in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64()))], ["pair", "theirs"])
-
-    lines = named.select("row", "p").dropDuplicates(["row"]).mapInArrow(hashes, "pair long, theirs array<long>")
+            found = [blocks(p.as_py()) for p in batch.column("p")]
+            packed = [packer.compress("\n".join([t for t, _ in page]).encode()) for page in found]
+            zones = ["".join([str(z) for _, z in page]) for page in found]
+            ids = [_line_ids([t for t, _ in page]) for page in found]
+            arrays = [pa.array(packed, pa.binary()), pa.array(zones, pa.string()), pa.array(ids, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("u"), batch.column("row"), *arrays], ["k", "u", "row", "packed", "zones", "ids"])
+
+    kinds = [(f.name, f.dataType) for f in named.schema if f.name in ("k", "u", "row")]
+    kinds += [("packed", T.BinaryType()), ("zones", T.StringType()), ("ids", T.ArrayType(T.LongType()))]
+    parsed = named.mapInArrow(read, T.StructType([T.StructField(n, t) for n, t in kinds]))
+    lines = parsed.select(F.col("row").alias("pair"), F.col("ids").alias("theirs")).dropDuplicates(["pair"])
     against = pairs.where("pair IS NOT NULL").join(lines, "pair").select("row", "theirs")
     schema = T.StructType(
         [
@@ -221,18 +231,18 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_main_text(p.as_py(), t.as_py()) for p, t in zip(batch.column("p"), batch.column("theirs"))]
+            rows = [_main_text(*(v.as_py() for v in row)) for row in zip(*(batch.column(c) for c in ("packed", "zones", "ids", "theirs")))]
             texts, sizes, shared = (list(c) for c in zip(*rows)) if rows else ([], [], [])
             arrays = [batch.column("k"), batch.column("u"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, [key, url, "text", "n_blocks", "n_shared"])
 
-    return named.join(against, "row", "left").select("k", "u", "p", "theirs").mapInArrow(decide, schema)
+    return parsed.join(against, "row", "left").select("k", "u", "packed", "zones", "ids", "theirs").mapInArrow(decide, schema)
 
 
-def _main_text(page: str | None, theirs: list[int] | None) -> tuple[str, int, int]:
-    found = blocks(page)
-    shared = common(_line_ids([t for t, _ in found]), theirs) if theirs else set()
-    chosen = [t for t, zone in found if zone == MAIN]
+def _main_text(packed: bytes, zones: str, ids: list[int], theirs: list[int] | None) -> tuple[str, int, int]:
+    texts = zstandard.ZstdDecompressor().decompress(packed).decode().split("\n") if zones else []
+    shared = common(ids, theirs) if theirs else set()
+    chosen = [t for t, zone in zip(texts, zones) if zone == str(MAIN)]
     if not chosen:
-        chosen = [t for i, (t, zone) in enumerate(found) if zone == NEUTRAL and i not in shared]
-    return "\n\n".join(chosen), len(found), len(shared)
+        chosen = [t for i, (t, zone) in enumerate(zip(texts, zones)) if zone == str(NEUTRAL) and i not in shared]
+    return "\n\n".join(chosen), len(texts), len(shared)
