@@ -27,6 +27,7 @@ SUBSET = 0.75
 STEPS = 5
 TAIL = 1e-6
 LEAST_ROWS = 50
+SALT_ROWS = 2_000  # rows of a group that meet in one place when estimates are joined to them
 FLOOR = 0.04  # least standard deviation of a component
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -139,21 +140,31 @@ def _factor(moments: DataFrame) -> DataFrame:
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOOR**2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("g", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)])
+    return out.select("g", "salts", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)])
+
+
+def _spread(groups: DataFrame) -> DataFrame:
+    """A row for each salt of a group, so that a large group's rows need not meet to get its estimates."""
+    return groups.select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s")).drop("salts")
 
 
 def _with_distance(rows: DataFrame, groups: DataFrame) -> DataFrame:
     lower = [[F.col(f"l{i}{j}") for j in range(i + 1)] for i in range(P)]
-    joined = rows.join(groups, "g", "left")
+    joined = rows.join(_spread(groups), ["g", "s"], "left")
     away = _distance([F.col(f"v{i}") for i in range(P)], [F.col(f"m{i}") for i in range(P)], lower)
     return joined.select(*rows.columns, F.when(F.col("m0").isNotNull(), away).alias("d2"))
 
 
 def concentrate(rows: DataFrame, subset: float = SUBSET, steps: int = STEPS) -> DataFrame:
-    """Mean and Cholesky factor of each group ``g`` of vectors v0, v1, ...: the last of the concentration steps."""
-    quartiles = rows.groupBy("g").agg(*[F.percentile_approx(f"v{i}", [0.25, 0.5, 0.75], 10_000).alias(f"q{i}") for i in range(P)])
+    """Mean and Cholesky factor of each group ``g`` of vectors v0, v1, ...: the last of the concentration steps.
+
+    A row's ``s`` is one of its group's ``salts``.
+    """
+    salts = F.max("salts").alias("salts")
+    quartiles = rows.groupBy("g").agg(salts, *[F.percentile_approx(f"v{i}", [0.25, 0.5, 0.75], 10_000).alias(f"q{i}") for i in range(P)])
     start = quartiles.select(
         "g",
+        "salts",
         *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(P)],
         *[(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)],
     )
@@ -162,9 +173,10 @@ def concentrate(rows: DataFrame, subset: float = SUBSET, steps: int = STEPS) ->
     groups = settle(_factor(start))
     for _ in range(steps):
         away = _with_distance(rows, groups)
-        limit = away.groupBy("g").agg(F.percentile_approx("d2", subset, 10_000).alias("limit"))
-        inner = away.join(limit, "g").where("d2 <= limit")
+        limit = away.groupBy("g").agg(salts, F.percentile_approx("d2", subset, 10_000).alias("limit"))
+        inner = away.join(_spread(limit), ["g", "s"]).where("d2 <= limit")
         moments = inner.groupBy("g").agg(
+            salts,
             *[F.avg(f"v{i}").alias(f"m{i}") for i in range(P)],
             *[(F.covar_pop(f"v{i}", f"v{j}") * grow).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)],
         )
@@ -175,16 +187,24 @@ def concentrate(rows: DataFrame, subset: float = SUBSET, steps: int = STEPS) ->
 def judge(docs: DataFrame, text: str = "text", language: str = "lang", source: str = "source", tail: float = TAIL) -> DataFrame:
     """The documents' other columns, their counts, ``base_failed``, ``distance`` and ``kept``."""
     found = settle(counts(docs, text))
-    names = F.struct(found[language].alias("a"), found[source].alias("b"))
-    sizes = found.where("NOT base_failed").groupBy(names.alias("n")).agg(F.count("*").alias("rows"))
-    large = settle(sizes.where(F.col("rows") >= LEAST_ROWS)).select(F.xxhash64("n.a", "n.b").alias("g")).distinct()
-    marked = found.withColumn("__g", F.xxhash64(found[language], found[source]))
-    known = marked.join(large.select(F.col("g").alias("__g"), F.lit(True).alias("__own")), "__g", "left")
-    rows = known.withColumn("g", F.when(F.col("__own"), F.col("__g")).otherwise(F.lit(0)))
-    fit_on = rows.where("NOT base_failed").select("g", *[F.col(f"__v.v{i}").alias(f"v{i}") for i in range(P)])
-    estimates = concentrate(fit_on)
-    enough = fit_on.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select("g")
-    placed = rows.select(*found.columns, "g", *[F.col(f"__v.v{i}").alias(f"v{i}") for i in range(P)])
-    judged = _with_distance(placed, estimates.join(enough, "g", "left_semi"))
+    marked = found.withColumn("__g", F.xxhash64(F.struct(found[language], found[source])))
+    usable, every = F.count_if(~F.col("base_failed")), F.count("*")
+    sizes = settle(marked.groupBy("__g").agg(usable.alias("usable"), every.alias("every")))
+    small = sizes.where(F.col("usable") < LEAST_ROWS).agg(F.sum("usable"), F.sum("every")).first()
+    large = sizes.where(F.col("usable") >= LEAST_ROWS).select("__g", F.ceil(F.col("every") / SALT_ROWS).cast("int").alias("__salts"))
+    known = marked.join(large, "__g", "left")
+    vector = [F.col(f"__v.v{i}").alias(f"v{i}") for i in range(P)]
+    whole = [F.col(f"`{c}`") for c, kind in found.dtypes if "map<" not in kind and "variant" not in kind]  # copies differ by their ids
+    own = F.col("__salts").isNotNull()
+    count = F.coalesce("__salts", F.lit(max(1, -(-(small[1] or 0) // SALT_ROWS))))
+    rows = settle(
+        known.select(
+            *found.columns, F.when(own, F.col("__g")).otherwise(F.lit(0)).alias("g"), count.alias("salts"),
+            F.pmod(F.xxhash64(*whole), count).cast("int").alias("s"), *vector,
+        )
+    )
+    fit_on = rows.where("NOT base_failed").select("g", "s", "salts", *[f"v{i}" for i in range(P)])
+    estimates = concentrate(fit_on if (small[0] or 0) >= LEAST_ROWS else fit_on.where("g <> 0"))
+    judged = _with_distance(rows, estimates)
     verdict = ~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_quantile(tail, P), F.lit(True))
     return judged.select(*[F.col(f"`{c}`") for c in found.columns if c != "__v"], F.sqrt("d2").alias("distance"), verdict.alias("kept"))
