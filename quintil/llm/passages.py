@@ -196,17 +196,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 class Automaton:
-    """Aho-Corasick over words, each written as three letters so that no node has many children.
+    """Aho-Corasick over words, each written as two letters so that no node has many children.
 
-    The first letters are no other word's second or third ones, so matches begin and end with words.
+    The first letters are no word's second ones, so matches begin and end with words.
     """
 
     def __init__(self, patterns: list[list[str]], values: list[int]) -> None:
         names = sorted({w for p in patterns for w in p})
         base = 1
-        while base**3 < len(names):
+        while base**2 < len(names):
             base += 1
-        self.codes = {w: chr(0x100 + i // base**2) + chr(0x20000 + i // base % base) + chr(0x20000 + i % base) for i, w in enumerate(names)}
+        self.codes = {w: chr(0x100 + i // base) + chr(0x20000 + i % base) for i, w in enumerate(names)}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for words, value in zip(patterns, values):
             self.automaton.add_word("".join([self.codes[w] for w in words]), value)
@@ -215,8 +215,8 @@ class Automaton:
     def matches(self, words: list[str]) -> Iterator[tuple[int, int]]:
         """(past-last word, value) of each occurrence."""
         get = self.codes.get
-        for end, value in self.automaton.iter("".join([get(w, "   ") for w in words])):
-            yield end // 3 + 1, value
+        for end, value in self.automaton.iter("".join([get(w, "  ") for w in words])):
+            yield end // 2 + 1, value
 
 
 def _cut(doc_id: int | None, rank: int, words: list[str], automaton: Automaton | None, least: np.ndarray) -> tuple:
