@@ -36,7 +36,7 @@ def parse(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn"
         F.coalesce(messages[role], F.lit("")).alias("role"),
         messages[text].alias("text"),
     )
-    body = F.when(F.col("text").startswith("{") & F.col("role").isin("assistant", "tool"), F.try_parse_json("text"))
+    body = F.when(F.ltrim("text", F.lit(" \t\r\n")).startswith("{") & F.col("role").isin("assistant", "tool"), F.try_parse_json("text"))
     marked = rows.withColumn("body", body)
     return marked.select(
         *rows.columns,
