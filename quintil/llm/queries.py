@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quintil.llm import decontaminate, html, lines, passages, pieces, ppm, quality, rules, simhash, toolcalls
+from quintil.llm import contentsort, decontaminate, html, lines, passages, pieces, ppm, prefixtrie, quality, rules, simhash, toolcalls, variants
 from quintil.llm.text import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,138 @@ SELECT conv_id, 'call' AS kind, turn * 1048576 AS place, turn, id AS call_id, er
 UNION ALL
 SELECT conv_id, 'message', turn * 1048576, turn, id, '', json FROM rest
 """
+
+
+# crc32 as SQL: ``table`` of 256 remainders made from the reversed polynomial, then one step a byte.
+CRC_TABLE = """crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS remainders
+)"""
+
+
+def crc_sql(text: str) -> str:
+    """Unsigned crc32 of a text's UTF-8 in a query over ``crc``."""
+    byte = f"('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT"
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: {byte})"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, remainders[1 + (xor(c, b) & 255)]), 4294967295::BIGINT), 4294967295)"
+
+
+@register
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words with the far more frequent word one edit away, and the last of such a chain."""
+    runs = variants.runs_of(read_table(spark, sf_dir, "documents"))
+    words = runs.select(variants.damaged(F.col("doc_id"), F.col("run"), 199).alias("word"))
+    return variants.group_variants(variants.vocabulary(words, min_length=6, min_count=5), ratio=5)
+
+
+TWINS["op11_spelling_variants"] = (
+    f"WITH RECURSIVE {CRC_TABLE}"
+    + r""", runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+), counted AS (
+  SELECT doc_id, run, count(*) AS c FROM runs GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, c, """
+    + crc_sql("coalesce(doc_id::VARCHAR, 'null') || ':' || run")
+    + r""" AS h FROM counted, crc
+), damaged AS (
+  SELECT c, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed
+), words AS (
+  SELECT word, sum(c)::BIGINT AS n FROM damaged WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5
+), cut AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, min(struct_pack(m := -other_n, w := other)) AS b FROM near GROUP BY word
+), formed AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 5 * n THEN b.w END AS form, CASE WHEN -b.m >= 5 * n THEN -b.m END AS form_n
+  FROM words LEFT JOIN best ON words.word = best.word
+), followed AS (
+  SELECT word, word AS top FROM formed
+  UNION ALL SELECT followed.word, form FROM followed JOIN formed ON followed.top = formed.word WHERE form IS NOT NULL
+), roots AS (
+  SELECT followed.word, top AS root FROM followed JOIN formed ON followed.top = formed.word WHERE form IS NULL
+)
+SELECT formed.word, form, root, n, n_near, form_n FROM formed JOIN roots ON formed.word = roots.word
+"""
+)
+
+
+@register
+def op12_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the row that stays of all equal texts."""
+    return contentsort.mark_copies(read_table(spark, sf_dir, "documents"), keep="largest")
+
+
+TWINS["op12_content_sort"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def rebuilt(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns of conversations that begin with the first turns of the conversation at the start of their twenty, and all ids."""
+    ids = items.select("conv_id").distinct().withColumns(
+        {"base": F.col("conv_id") - F.col("conv_id") % 20, "h": F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4}
+    )
+    heads = items.where("position < 3 AND conv_id % 20 = 0").withColumnRenamed("conv_id", "base")
+    lengths = heads.groupBy("base").agg(F.count("*").alias("held"))
+    known = ids.join(lengths, "base", "left").withColumn("m", F.least("h", F.coalesce("held", F.lit(0))))
+    own = items.join(known.select("conv_id", "h", "m"), "conv_id").where("position >= h")
+    own = own.select("conv_id", (F.col("position") - F.col("h") + F.col("m")).alias("position"), "item", "words")
+    borrowed = ids.join(heads, "base").where("position < h").select("conv_id", "position", "item", "words")
+    return own.unionByName(borrowed), ids.select("conv_id")
+
+
+@register
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations, with its subtree's totals."""
+    turns, ids = rebuilt(prefixtrie.turn_items(read_table(spark, sf_dir, "conversations")))
+    return prefixtrie.build(turns, ids).drop("node", "parent")
+
+
+TWINS["op13_prefix_trie"] = (
+    f"WITH RECURSIVE {CRC_TABLE}"
+    + r""", turns AS (
+  SELECT conv_id, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS turn,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), held AS (
+  SELECT conv_id, list(turn ORDER BY k) AS seq FROM turns GROUP BY conv_id
+), sized AS (
+  SELECT conv_id, seq, """
+    + crc_sql("conv_id::VARCHAR")
+    + r""" % 4 AS h FROM held, crc
+), talks AS (
+  SELECT c.conv_id, list_concat(coalesce(b.seq, [])[1:c.h], c.seq[c.h + 1:]) AS seq
+  FROM sized c LEFT JOIN held b ON b.conv_id = c.conv_id - c.conv_id % 20
+), steps AS (
+  SELECT conv_id, seq[1:d] AS path, d, len(seq) = d AS at_end FROM (SELECT conv_id, seq, unnest(range(len(seq) + 1)) AS d FROM talks)
+), nodes AS (
+  SELECT path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (at_end), '')) AS ends_sha256,
+    (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(path[d].t, '[^\x20\x09-\x0D]+')) END AS own
+  FROM steps GROUP BY path, d
+), numbered AS (
+  SELECT *, row_number() OVER (ORDER BY depth, conv_id) AS id FROM nodes
+), linked AS (
+  SELECT c.*, p.id AS up, p.conv_id AS parent_conv_id FROM numbered c LEFT JOIN numbered p ON c.depth = p.depth + 1 AND c.path[1:p.depth] = p.path
+), children AS (
+  SELECT up, count(*) AS n_children FROM linked WHERE up IS NOT NULL GROUP BY up
+), lifted AS (
+  SELECT id, up, id AS source FROM linked
+  UNION ALL SELECT l.id, l.up, lifted.source FROM lifted JOIN linked l ON l.id = lifted.up
+), totals AS (
+  SELECT t.id, sum(s.own)::BIGINT AS saved_tokens, count(*) FILTER (k.up IS NULL) AS n_leaves
+  FROM lifted t JOIN linked s ON s.id = t.source LEFT JOIN children k ON k.up = t.source GROUP BY t.id
+)
+SELECT linked.conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, ends_sha256
+FROM linked JOIN totals ON totals.id = linked.id LEFT JOIN children ON children.up = linked.id
+"""
+)
