@@ -267,15 +267,81 @@ def j8(spark, sf_dir):
     return scored(spark, sf_dir, "hist_gradient_boosting", {"max_iter": 10, "max_leaf_nodes": 15, "min_samples_leaf": 20})
 
 
+# A tree's splits from its gains: numeric cuts are at most a value, level cuts equal one.
+CUTS = (("ANO4", True), ("TRIMESTRE", True), ("Region", False), ("CAT_OCUP", False))
+BOOST_FEATURES = [c for c, _ in CUTS]
+
+
+def boosted_sql(penalties: tuple[float, ...], leaves: int, select: str) -> str:
+    """One best-first tree of two or three leaves for each penalty: ``scored`` has the rows with ``y_pred``."""
+    long = " UNION ALL ".join(
+        f"SELECT l2, node, {i} AS f, CAST({c} AS VARCHAR) AS v, {c if number else 'NULL'} AS x, g FROM {{0}}" for i, (c, number) in enumerate(CUTS)
+    )
+    goes = "CASE s.f " + " ".join(f"WHEN {i} THEN {f'{c} <= CAST(s.v AS DOUBLE)' if number else f'{c} = s.v'}" for i, (c, number) in enumerate(CUTS)) + " END"
+
+    def split(source: str, name: str) -> str:
+        """Best split of every node of ``source``."""
+        return f"""{name}_h AS (SELECT l2, node, f, v, x, sum(g) AS g, count(*) AS n FROM ({long.format(source)}) GROUP BY ALL),
+  {name}_w AS (SELECT l2, node, sum(g) AS g, count(*) AS n FROM {source} GROUP BY ALL),
+  {name}_c AS (SELECT h.l2, h.node, f, v, x, w.g AS wg, w.n AS wn,
+    CASE WHEN x IS NULL THEN h.g ELSE sum(h.g) OVER (PARTITION BY h.l2, h.node, f ORDER BY x) END AS g,
+    CASE WHEN x IS NULL THEN h.n ELSE sum(h.n) OVER (PARTITION BY h.l2, h.node, f ORDER BY x) END AS n
+    FROM {name}_h h JOIN {name}_w w ON h.l2 = w.l2 AND h.node = w.node),
+  {name} AS (SELECT l2, node, f, v, g * g / (n + l2) + (wg - g) ** 2 / (wn - n + l2) - wg * wg / (wn + l2) AS gain
+    FROM {name}_c WHERE n < wn QUALIFY row_number() OVER (PARTITION BY l2, node ORDER BY gain DESC, f, x, v) = 1)"""
+
+    again = f""", {split("one", "deep")}, chosen AS (SELECT * FROM deep QUALIFY row_number() OVER (PARTITION BY l2 ORDER BY gain DESC, node) = 1),
+  leaf AS (SELECT o.* REPLACE (CASE WHEN o.node = s.node THEN CASE WHEN {goes} THEN 3 ELSE 4 END ELSE o.node END AS node) FROM one o JOIN chosen s ON o.l2 = s.l2)"""
+    return f"""{TRAIN}, b AS (SELECT avg({TARGET}) AS base FROM train),
+  zero AS (SELECT train.*, l2, 0 AS node, base - {TARGET} AS g, base FROM train, b, (VALUES {", ".join(f"({p})" for p in penalties)}) p(l2)),
+  {split("zero", "root")},
+  one AS (SELECT z.* REPLACE (CASE WHEN {goes} THEN 1 ELSE 2 END AS node) FROM zero z JOIN root s ON z.l2 = s.l2){again if leaves == 3 else ", leaf AS (SELECT * FROM one)"},
+  scored AS (SELECT leaf.*, base + 0.5 * v AS y_pred FROM leaf JOIN (SELECT l2, node, -sum(g) / (count(*) + l2) AS v FROM leaf GROUP BY l2, node) USING (l2, node))
+  {select}"""
+
+
 # One step of one split on a binary feature predicts the two group means.
 @query("j8_boosted_one_step", tidy_sql(f"""{JOINED} SELECT CASE WHEN TRIMESTRE > 2 THEN 1 ELSE 0 END AS half, avg(logP47T) AS y_pred
   FROM joined WHERE split = 'train' GROUP BY half""", "y_pred"))
 def j8_one_step(spark, sf_dir):
     rows = train_rows(spark, sf_dir).withColumn("half", (F.col("TRIMESTRE") > 2).cast("int"))
-    fitted = models.fit_model(rows, ["half"], TARGET, "hist_gradient_boosting", {"max_iter": 1, "max_depth": 1, "min_samples_leaf": 1})
+    params = {"max_iter": 1, "max_depth": 1, "min_samples_leaf": 1, "learning_rate": 1.0}
+    fitted = models.fit_model(rows, ["half"], TARGET, "hist_gradient_boosting", params)
     return tidy(fitted.transform(rows).groupBy("half").agg(F.avg("y_pred").alias("y_pred")))
 
 
+@query("j8_boosted_two_splits", tidy_sql(boosted_sql((25.0,), 3, """SELECT ANO4, TRIMESTRE, Region, CAT_OCUP, avg(y_pred) AS y_pred, count(*) AS n
+  FROM scored GROUP BY ANO4, TRIMESTRE, Region, CAT_OCUP"""), "y_pred"))
+def j8_two_splits(spark, sf_dir):
+    """The second split goes to the leaf that gains most by it."""
+    rows = train_rows(spark, sf_dir)
+    params = {"max_iter": 1, "max_leaf_nodes": 3, "min_samples_leaf": 1, "learning_rate": 0.5, "l2_regularization": 25.0}
+    fitted = models.fit_model(rows, BOOST_FEATURES, TARGET, "hist_gradient_boosting", params)
+    return tidy(fitted.transform(rows).groupBy(*BOOST_FEATURES).agg(F.avg("y_pred").alias("y_pred"), F.count("*").alias("n")))
+
+
+PENALTIES = (0.0, 100.0, 5000.0)
+
+
+@query("j8_l2_sweep", tidy_sql(boosted_sql(PENALTIES, 2, f"""SELECT CAST(l2 AS DOUBLE) AS l2_regularization, 1 - sum(({TARGET} - y_pred) ** 2) / (var_pop({TARGET}) * count(*)) AS train_r2,
+  min(y_pred) AS low, max(y_pred) AS high FROM scored GROUP BY l2"""), "train_r2 low high"))
+def j8_l2_sweep(spark, sf_dir):
+    """A penalty pulls both leaves to the mean."""
+    from quintil.ml import boosting
+    from quintil.operators.metrics import r2
+
+    rows = train_rows(spark, sf_dir)
+    encoder = boosting.fit_encoder(rows, BOOST_FEATURES)
+    blocks = boosting.blocks_of(rows, encoder, TARGET)
+    sweep = None
+    for l2 in PENALTIES:
+        params = {"max_iter": 1, "max_leaf_nodes": 2, "min_samples_leaf": 1, "learning_rate": 0.5, "l2_regularization": l2}
+        scored = boosting.fit_blocks(blocks, encoder, models.boost_settings("hist_gradient_boosting", params)).scored(blocks)
+        one = scored.agg(F.lit(l2).alias("l2_regularization"), r2("label", "prediction").alias("train_r2"), F.min("prediction").alias("low"), F.max("prediction").alias("high"))
+        sweep = one if sweep is None else sweep.unionByName(one)
+    return tidy(sweep)
+
+
 @query("j9_random_forest")
 def j9(spark, sf_dir):
     return scored(spark, sf_dir, "random_forest", {"n_estimators": 10, "max_depth": 5})

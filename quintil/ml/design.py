@@ -31,8 +31,8 @@ def missing_as_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.nanvl(F.col(f"`{c}`"), F.lit(None)) for c in floats}) if floats else df
 
 
-def level_table(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), max_levels: int = MAX_LEVELS) -> DataFrame:
-    """Rows per (keys, column, value), refused when there are too many levels.
+def level_table(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), max_levels: int | None = MAX_LEVELS) -> DataFrame:
+    """Rows per (keys, column, value), refused when there are more than ``max_levels`` levels.
 
     Counting combines map-side, so a dominant level is one row per task.
     """
@@ -40,8 +40,7 @@ def level_table(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (),
     counts = settle(
         df.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.*").groupBy(*keys, "column", "value").agg(F.count(F.lit(1)).alias("n"))
     )
-    levels = counts.select("column", "value").distinct().limit(max_levels + 1).count()
-    if levels > max_levels:
+    if max_levels is not None and counts.select("column", "value").distinct().limit(max_levels + 1).count() > max_levels:
         raise ValueError(f"Categorical columns have more than {max_levels} levels together.")
     return counts
 
@@ -122,7 +121,7 @@ class Preparation:
         return VectorAssembler(inputCols=inputs, outputCol=output).transform(out).drop(*made)
 
 
-def prepare(df: DataFrame, features: Sequence[str], categorical: Sequence[str] = ()) -> Preparation:
+def prepare(df: DataFrame, features: Sequence[str], categorical: Sequence[str] = (), max_levels: int | None = MAX_LEVELS) -> Preparation:
     """Medians, modes and sorted levels of a training set."""
     numeric, texts = feature_types(df, features, categorical)
     medians: dict[str, float] = {}
@@ -136,7 +135,7 @@ def prepare(df: DataFrame, features: Sequence[str], categorical: Sequence[str] =
     levels: dict[str, list[str]] = {c: [] for c in texts}
     if texts:
         counts: dict[str, list[tuple[int, str]]] = {c: [] for c in texts}
-        for r in level_table(df, texts).filter(F.col("value").isNotNull()).collect():
+        for r in level_table(df, texts, max_levels=max_levels).filter(F.col("value").isNotNull()).collect():
             counts[r["column"]].append((-r["n"], r["value"]))
             levels[r["column"]].append(r["value"])
         modes = {c: min(v)[1] for c, v in counts.items() if v}

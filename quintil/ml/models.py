@@ -1,44 +1,42 @@
-"""Tree, polynomial and classification models of Spark ML under one grid search."""
+"""Boosted trees of this library and models of Spark ML under one grid search."""
 
 from __future__ import annotations
 
 import math
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import product
 
 from pyspark.ml import Model, Pipeline
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from quintil.ml import boosting
 from quintil.ml.design import Preparation, prepare
 from quintil.operators.classify import roc_auc
 from quintil.operators.metrics import r2
 from quintil.operators.splits import kfold, stratified_kfold
 
+BOOSTED = ("hist_gradient_boosting", "boosted_classifier")
 CLASSIFIERS = ("logistic", "random_forest_classifier", "boosted_classifier", "linear_svm")
 
 
-def _depth(leaves: object, default: int = 5) -> int:
-    """Depth of a level-wise tree that can hold as many leaves, within Spark's limit."""
-    return default if leaves is None else min(30, max(1, math.ceil(math.log2(int(leaves)))))
-
-
 # Grid parameters that each estimator here can honour.
 HONOURED = {
-    "hist_gradient_boosting": "learning_rate max_iter max_depth max_leaf_nodes min_samples_leaf",
+    "hist_gradient_boosting": "learning_rate max_iter max_depth max_leaf_nodes min_samples_leaf l2_regularization early_stopping validation_fraction n_iter_no_change tol",
     "random_forest": "n_estimators max_depth min_samples_leaf max_features",
     "random_forest_classifier": "n_estimators max_depth min_samples_leaf",
     "polynomial_lasso": "alpha",
     "logistic": "penalty C max_iter",
-    "boosted_classifier": "learning_rate max_iter n_estimators max_depth min_samples_leaf subsample colsample",
+    "boosted_classifier": "learning_rate max_iter n_estimators max_depth min_samples_leaf subsample colsample l2_regularization early_stopping",
     "linear_svm": "C max_iter",
 }
 
@@ -50,31 +48,38 @@ def refuse_ignored(model: str, params: Mapping[str, object]) -> None:
         raise ValueError(f"{model} cannot honour {', '.join(ignored)}; every value would give the same fit.")
 
 
+def check_model(model: str, params: Mapping[str, object]) -> None:
+    if model not in HONOURED:
+        raise ValueError(f"Unsupported model {model!r}; there are {', '.join(sorted(HONOURED))}.")
+    refuse_ignored(model, params)
+
+
+def boost_settings(model: str, params: Mapping[str, object], seed: int = 42) -> boosting.Settings:
+    """Settings of a boosted model; those that are not given keep the model's defaults."""
+    check_model(model, params)
+    p = {k: v for k, v in params.items() if v is not None}
+    if model == "boosted_classifier":
+        if "n_estimators" in p:
+            p.setdefault("max_iter", p.pop("n_estimators"))
+        if "colsample" in p:
+            p["colsample"] = 1.0 if p["colsample"] == "all" else float(p["colsample"])
+        return boosting.Settings(**{"max_iter": 20, "max_depth": 5, "min_samples_leaf": 1, **p, "max_leaf_nodes": None, "loss": "log", "seed": seed})
+    if "max_leaf_nodes" in params and params["max_leaf_nodes"] is None:
+        p["max_leaf_nodes"] = None
+    return boosting.Settings(**{**p, "seed": seed})
+
+
 def estimator(model: str, params: Mapping[str, object], rows: int, seed: int = 42) -> Pipeline:
     """Spark ML estimator for a model name and its grid parameters.
 
     Spark scales by the sample deviation; penalties are adjusted so that they act
     on features scaled by the population deviation.
     """
-    if model not in HONOURED:
-        raise ValueError(f"Unsupported model {model!r}; there are {', '.join(sorted(HONOURED))}.")
-    refuse_ignored(model, params)
+    check_model(model, params)
     p = dict(params)
     shrink = (rows - 1) / rows if rows > 1 else 1.0
     common = {"featuresCol": "features", "labelCol": "label"}
-    if model == "hist_gradient_boosting":
-        stages = [
-            GBTRegressor(
-                **common,
-                stepSize=float(p.get("learning_rate", 0.1)),
-                maxIter=int(p.get("max_iter", 100)),
-                maxDepth=int(p["max_depth"]) if p.get("max_depth") else _depth(p.get("max_leaf_nodes", 31)),
-                minInstancesPerNode=int(p.get("min_samples_leaf", 20)),
-                maxBins=256,
-                seed=seed,
-            )
-        ]
-    elif model == "random_forest":
+    if model == "random_forest":
         stages = [
             RandomForestRegressor(
                 **common,
@@ -111,19 +116,6 @@ def estimator(model: str, params: Mapping[str, object], rows: int, seed: int = 4
                 minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=seed,
             )
         ]
-    elif model == "boosted_classifier":
-        stages = [
-            GBTClassifier(
-                **common,
-                stepSize=float(p.get("learning_rate", 0.1)),
-                maxIter=int(p.get("max_iter", p.get("n_estimators", 20))),
-                maxDepth=int(p.get("max_depth") or 5),
-                minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
-                subsamplingRate=float(p.get("subsample", 1.0)),
-                featureSubsetStrategy=str(p.get("colsample", "all")),
-                seed=seed,
-            )
-        ]
     else:
         stages = [
             StandardScaler(inputCol="features", outputCol="__scaled", withMean=True),
@@ -153,6 +145,21 @@ class FittedModel:
         return out.select(*df.columns, "y_pred", *(["score"] if "score" in out.columns else []))
 
 
+@dataclass
+class FittedBooster:
+    """Boosted trees with the preparation fitted on the same rows."""
+
+    booster: boosting.Booster
+
+    @property
+    def preparation(self) -> Preparation:
+        return self.booster.encoder.preparation
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds ``y_pred``, and ``score`` for a classifier."""
+        return self.booster.transform(df)
+
+
 def fit_model(
     train: DataFrame,
     features: Sequence[str],
@@ -161,10 +168,12 @@ def fit_model(
     params: Mapping[str, object] | None = None,
     categorical: Sequence[str] = (),
     seed: int = 42,
-) -> FittedModel:
+) -> FittedModel | FittedBooster:
     used = train.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*features, target])]).persist(StorageLevel.MEMORY_AND_DISK)
     vectors = None
     try:
+        if model in BOOSTED:
+            return FittedBooster(boosting.fit(used, features, target, boost_settings(model, params or {}, seed), categorical))
         prepared = prepare(used, features, categorical)
         vectors = _vectors(used, prepared, target).persist(StorageLevel.MEMORY_AND_DISK)
         rows = vectors.count()
@@ -187,6 +196,8 @@ def grid_points(grid: Mapping[str, Sequence[object]]) -> list[dict[str, object]]
 def _score(df: DataFrame, classifier: bool) -> float:
     if not classifier:
         return float(df.agg(r2("label", "prediction")).first()[0] or 0.0)
+    if not {"probability", "rawPrediction"} & set(df.columns):
+        return float(roc_auc(df, "label", "prediction").first()["auc"] or 0.0)
     raw = "probability" if "probability" in df.columns else "rawPrediction"
     scored = df.select("label", vector_to_array(raw)[1].alias("score"))
     return float(roc_auc(scored, "label", "score").first()["auc"] or 0.0)
@@ -198,10 +209,42 @@ class SearchResult:
     best_params: dict[str, object]
     best_score: float
     best_std: float
-    fit: FittedModel
+    fit: FittedModel | FittedBooster
     seconds: float
 
 
+@contextmanager
+def _fold(
+    model: str, inside: DataFrame, outside: DataFrame, features: Sequence[str], target: str, categorical: Sequence[str], seed: int
+) -> Iterator[tuple[Callable, DataFrame, DataFrame]]:
+    """How to fit one grid point on a fold, giving what predicts prepared rows, and the prepared rows of both sides.
+
+    Rows are prepared once for all grid points, those of a boosted model as blocks of codes.
+    """
+    if model in BOOSTED:
+        encoder = boosting.fit_encoder(inside, features, categorical)
+        coded: dict[float, DataFrame] = {0.0: boosting.blocks_of(inside, encoder, target)}
+
+        def boosted(params: Mapping[str, object]) -> Callable[[DataFrame], DataFrame]:
+            settings = boost_settings(model, params, seed)
+            share = boosting.held_share(inside, settings)
+            if share not in coded:
+                coded[share] = boosting.blocks_of(inside, encoder, target, share, seed)
+            return boosting.fit_blocks(coded[share], encoder, settings).scored
+
+        yield boosted, coded[0.0], boosting.blocks_of(outside, encoder, target)
+        return
+    prepared = prepare(inside, features, categorical)
+    fit_rows = _vectors(inside, prepared, target).persist(StorageLevel.MEMORY_AND_DISK)
+    test_rows = _vectors(outside, prepared, target).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = fit_rows.count()
+        yield (lambda params: estimator(model, params, n, seed).fit(fit_rows).transform), fit_rows, test_rows
+    finally:
+        fit_rows.unpersist()
+        test_rows.unpersist()
+
+
 def grid_search(
     train: DataFrame,
     features: Sequence[str],
@@ -228,25 +271,18 @@ def grid_search(
     scores: dict[int, list[tuple[float, float | None, float]]] = {i: [] for i in range(len(points))}
     for fold in range(folds):
         inside, outside = folded.filter(F.col("__fold") != fold), folded.filter(F.col("__fold") == fold)
-        prepared = prepare(inside, features, categorical)
-        fit_rows = _vectors(inside, prepared, target).persist(StorageLevel.MEMORY_AND_DISK)
-        test_rows = _vectors(outside, prepared, target).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            n = fit_rows.count()
+        with _fold(model, inside, outside, features, target, categorical, seed) as (fit, fit_rows, test_rows):
 
             def one(params: Mapping[str, object]) -> tuple[float, float | None, float]:
                 began = time.perf_counter()
-                fitted = estimator(model, params, n, seed).fit(fit_rows)
+                predicted = fit(params)
                 spent = time.perf_counter() - began
-                test = _score(fitted.transform(test_rows), classifier)
-                return test, _score(fitted.transform(fit_rows), classifier) if train_scores else None, spent
+                test = _score(predicted(test_rows), classifier)
+                return test, _score(predicted(fit_rows), classifier) if train_scores else None, spent
 
             with ThreadPoolExecutor(parallelism) as pool:
                 for i, result in enumerate(pool.map(one, points)):
                     scores[i].append(result)
-        finally:
-            fit_rows.unpersist()
-            test_rows.unpersist()
 
     def mean(values: Sequence[float]) -> float:
         return sum(values) / len(values)
@@ -290,18 +326,14 @@ def search_frame(spark: SparkSession, result: SearchResult, model: str) -> DataF
     return spark.createDataFrame(data, schema)
 
 
-def staged_scores(fitted: FittedModel, train: DataFrame, test: DataFrame, target: str, every: int = 10) -> DataFrame:
+def staged_scores(fitted: FittedBooster, train: DataFrame, test: DataFrame, target: str, every: int = 10) -> DataFrame:
     """R2 after every ``every``-th boosting step, with the best step marked."""
-    booster = fitted.model.stages[-1]
+    booster = fitted.booster
     spark = train.sparkSession
     sides = {}
     for side, df in (("train", train), ("test", test)):
-        vectors = _vectors(df, fitted.preparation, target).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            total = vectors.agg(F.var_pop("label")).first()[0]
-            sides[side] = [1.0 - mse / total for mse in booster.evaluateEachIteration(vectors, "squared")]
-        finally:
-            vectors.unpersist()
+        total = df.agg(F.var_pop(F.col(target).cast("double"))).first()[0]
+        sides[side] = [1.0 - mse / total for mse in booster.staged_errors(boosting.blocks_of(df, booster.encoder, target))]
     steps = [i for i in range(1, len(sides["train"]) + 1) if i % every == 0]
     rows = [(i, float(sides["train"][i - 1]), float(sides["test"][i - 1])) for i in steps]
     best = max(rows, key=lambda r: r[2])[0] if rows else None
