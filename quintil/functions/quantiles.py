@@ -1,4 +1,11 @@
-"""Exact interpolated percentiles without holding a large group in one task."""
+"""Exact interpolated percentiles by refined histograms, on one path for groups of any size.
+
+Values are counted in bins of a fixed monotone scale, with the least and greatest value of each bin. A wanted rank is
+known once its bin's values are all equal, or when it is the first or last of its bin; the bins of the other ranks are
+cut again between their own extremes, and only their values are counted. Counting combines map-side, a bin is one row a
+task, and the bins of a group are ordered, never its values. Each round parts the extremes of an open bin at least, and
+usually leaves one row in thousands; two rounds are common, and one does for small groups.
+"""
 
 from __future__ import annotations
 
@@ -8,130 +15,86 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quintil.session import side_table
+from quintil.session import BROADCAST_ROWS, settle
 
-ACCURACY = 50_000
-# Groups up to this many rows may be held by one task as a value -> count map.
-DIRECT_ROWS = 100_000
+BINS = 4096
 
 
 def exact_percentiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    keys: Sequence[str] = (),
-    accuracy: int = ACCURACY,
-    direct_rows: int = DIRECT_ROWS,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (), bins: int = BINS
 ) -> DataFrame:
-    """Linear-interpolation percentiles: ``keys``, ``variable``, ``n``, array ``q``.
-
-    Group sizes are counted first. If none exceeds ``direct_rows``, the built-in
-    exact ``percentile`` is used. Otherwise a first pass brackets every percentile with ``percentile_approx``, whose
-    rank error is at most ``1 / accuracy``. A second pass counts the values below
-    each bracket and combines equal values inside it; both shrink map-side, and
-    only the bracket's distinct values are put in order. Groups of at most
-    ``accuracy`` rows need no bracket.
-    """
-    keys = list(keys)
-    long = (
-        df.select(
-            *keys,
-            F.explode(
-                F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v")) for c in columns])
-            ).alias("__s"),
-        )
-        .select(*keys, "__s.variable", "__s.v")
-        .filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    )
-    sizes = long.groupBy(*keys, "variable").agg(F.count("v").alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0]
-    if largest is None or largest <= direct_rows:
-        return long.groupBy(*keys, "variable").agg(
-            F.count("v").alias("n"), F.percentile("v", [float(p) for p in probs]).alias("q")
-        )
-    return _bracketed(long, keys, probs, accuracy)
-
-
-def _bracketed(long: DataFrame, keys: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
-    slack = 2.0 / accuracy
-    limits = [b for p in probs for b in (max(0.0, p - slack), min(1.0, p + slack))]
-    sketch = long.groupBy(*keys, "variable").agg(
-        F.count("v").alias("n"),
-        F.percentile_approx("v", [float(b) for b in limits], accuracy).alias("__a"),
-    )
-    small = F.col("n") <= accuracy
-    entries = []
+    """Linear-interpolation percentiles: ``keys``, ``variable``, ``n``, array ``q``; groups without values have no row."""
+    groups = [f"k{i}" for i in range(len(keys))] + ["variable"]
+    entries = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])
+    named = [F.col(f"`{k}`").alias(g) for k, g in zip(keys, groups)]
+    long = df.select(*named, F.explode(entries).alias("s")).select(*groups[:-1], "s.*").where("v IS NOT NULL AND NOT isnan(v)")
+
+    cells = long.groupBy(*groups, F.floor(F.signum("v") * F.log1p(F.abs("v")) * bins).alias("bin")).agg(*_extremes())
+    whole = W.partitionBy(*groups)
+    counted = cells.select(*groups, "c", "lo", "hi", F.sum("c").over(whole).alias("n"), (F.sum("c").over(whole.orderBy("bin")) - F.col("c")).alias("start"))
+    wanted = F.array(*[_rank(float(p), i, upper) for i, p in enumerate(probs) for upper in (0, 1)])
+    hits = settle(_hits(counted.withColumn("wanted", wanted), groups))
+    found = hits.where("value IS NOT NULL")
+    while True:
+        bracket = [*groups, "n", "start", "lo", "hi"]
+        brackets = hits.where("value IS NULL").groupBy(*bracket).agg(F.sort_array(F.collect_set(F.struct("place", "rank"))).alias("wanted"))
+        brackets = settle(brackets)
+        open_brackets = brackets.limit(BROADCAST_ROWS + 1).count()
+        if not open_brackets:
+            break
+        renamed = brackets.toDF(*[f"b_{c}" for c in brackets.columns])
+        if open_brackets <= BROADCAST_ROWS:
+            renamed = F.broadcast(renamed)
+        same = F.col("v").between(F.col("b_lo"), F.col("b_hi"))
+        for g in groups:
+            same = same & F.col(g).eqNullSafe(F.col(f"b_{g}"))
+        # Halves cannot overflow; neighbouring numbers may have none between them.
+        width = F.greatest(F.col("b_hi") / 2 - F.col("b_lo") / 2, F.lit(5e-324))
+        inside = F.when(F.col("v") == F.col("b_hi"), bins).otherwise(F.floor((F.col("v") / 2 - F.col("b_lo") / 2) / width * bins))
+        cells = long.join(renamed, same).groupBy(*groups, "b_n", "b_start", "b_wanted", inside.alias("bin")).agg(*_extremes())
+        before = F.sum("c").over(W.partitionBy(*groups, "b_start").orderBy("bin")) - F.col("c") + F.col("b_start")
+        counted = cells.select(*groups, "c", "lo", "hi", F.col("b_n").alias("n"), before.alias("start"), F.col("b_wanted").alias("wanted"))
+        hits = settle(_hits(counted, groups))
+        found = found.unionByName(hits.where("value IS NOT NULL"))
+
+    values = F.map_from_entries(F.collect_list(F.struct("place", "value")))
+    points = []
     for i, p in enumerate(probs):
         position = F.lit(float(p)) * (F.col("n") - 1)
-        entries.append(
-            F.struct(
-                F.lit(i).alias("i"),
-                F.when(small, F.lit(float("-inf"))).otherwise(F.col("__a")[2 * i]).alias("lo"),
-                F.when(small, F.lit(float("inf"))).otherwise(F.col("__a")[2 * i + 1]).alias("hi"),
-                F.floor(position).alias("k"),
-                (position - F.floor(position)).alias("frac"),
-            )
-        )
-    brackets = side_table(
-        sketch.select(
-            *[F.col(k).alias(f"__k_{k}") for k in keys],
-            F.col("variable").alias("__var"),
-            "n",
-            F.array(*entries).alias("__br"),
-        )
-    )
-    condition = long["variable"] == brackets["__var"]
-    for key in keys:
-        condition = condition & long[key].eqNullSafe(brackets[f"__k_{key}"])
-    cells = (
-        long.join(brackets, condition)
-        .select(
-            *keys,
-            "variable",
-            "n",
-            "v",
-            F.explode(F.filter("__br", lambda b: F.col("v") <= b["hi"])).alias("b"),
-        )
-        .select(
-            *keys,
-            "variable",
-            "n",
-            F.col("b.i").alias("i"),
-            F.col("b.k").alias("k"),
-            F.col("b.frac").alias("frac"),
-            F.when(F.col("v") >= F.col("b.lo"), F.col("v")).alias("w"),
-        )
-        .groupBy(*keys, "variable", "n", "i", "k", "frac", "w")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    upto = W.partitionBy(*keys, "variable", "i").orderBy(F.col("w").asc_nulls_first())
-    stepped = cells.withColumn("cum", F.sum("c").over(upto.rowsBetween(W.unboundedPreceding, 0)))
-    picked = stepped.groupBy(*keys, "variable", "n", "i", "frac").agg(
-        F.min(F.when(F.col("cum") > F.col("k"), F.col("w"))).alias("low"),
-        F.min(F.when(F.col("cum") > F.col("k") + 1, F.col("w"))).alias("high"),
-    )
-    value = F.when(F.col("frac") == 0, F.col("low")).otherwise(
-        F.col("low") + F.col("frac") * (F.col("high") - F.col("low"))
-    )
-    return (
-        picked.groupBy(*keys, "variable", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("i", value.alias("q")))).alias("__q"))
-        .select(*keys, "variable", "n", F.col("__q.q").alias("q"))
-    )
-
-
-def percentile_columns(
-    df: DataFrame,
-    keys: Sequence[str],
-    spec: dict[str, dict[str, float]],
-    accuracy: int = ACCURACY,
-) -> DataFrame:
+        share = position - F.floor(position)
+        low, high = F.element_at("m", F.lit(2 * i)), F.element_at("m", F.lit(2 * i + 1))
+        points.append(F.when(share == 0, low).otherwise(low + share * (high - low)))
+    collected = found.groupBy(*groups, "n").agg(values.alias("m"))
+    return collected.select(*[F.col(g).alias(k) for g, k in zip(groups, keys)], "variable", "n", F.array(*points).alias("q"))
+
+
+def _extremes() -> list[Column]:
+    return [F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")]
+
+
+def _rank(p: float, number: int, upper: int) -> Column:
+    """The rank from 0 below or above a percentile's position, under its place among all."""
+    position = F.lit(p) * (F.col("n") - 1)
+    rank = F.ceil(position) if upper else F.floor(position)
+    return F.struct(F.lit(2 * number + upper).alias("place"), rank.cast("long").alias("rank"))
+
+
+def _hits(cells: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """The ranks that each bin holds, with their value where the bin's extremes tell it."""
+    held = F.filter("wanted", lambda t: (t["rank"] >= F.col("start")) & (t["rank"] < F.col("start") + F.col("c")))
+    rows = cells.select(*groups, "n", "start", "c", "lo", "hi", F.explode(held).alias("t")).select("*", "t.place", "t.rank")
+    last = F.col("start") + F.col("c") - 1
+    value = F.when((F.col("lo") == F.col("hi")) | (F.col("rank") == F.col("start")), F.col("lo")).when(F.col("rank") == last, F.col("hi"))
+    return rows.select(*groups, "n", "start", "lo", "hi", "place", "rank", value.alias("value"))
+
+
+def percentile_columns(df: DataFrame, keys: Sequence[str], spec: dict[str, dict[str, float]]) -> DataFrame:
     """Percentiles as named columns, one row per key.
 
     ``spec`` maps a source column to ``{output name: probability}``.
     """
     probs = sorted({p for outputs in spec.values() for p in outputs.values()})
-    long = exact_percentiles(df, list(spec), probs, keys, accuracy)
+    long = exact_percentiles(df, list(spec), probs, keys)
     wide: list[Column] = []
     for source, outputs in spec.items():
         for name, p in outputs.items():

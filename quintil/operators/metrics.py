@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quintil.functions.quantiles import ACCURACY, exact_percentiles, percentile_columns
+from quintil.functions.quantiles import exact_percentiles, percentile_columns
 from quintil.functions.scalar import safe_ratio, with_errors
 from quintil.session import side_table
 
@@ -46,13 +46,13 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"__{k}" for k in keys])
 
 
-def income_decile(df: DataFrame, truth: str = "y_true", keys: Sequence[str] = GROUP, accuracy: int = ACCURACY) -> DataFrame:
+def income_decile(df: DataFrame, truth: str = "y_true", keys: Sequence[str] = GROUP) -> DataFrame:
     """Quantile bins 1..10 of the target per group; repeated edges merge.
 
     A group whose values are all equal has a single edge and gets NULL.
     """
     keys = list(keys)
-    edges = exact_percentiles(df, [truth], [i / 10 for i in range(11)], keys, accuracy)
+    edges = exact_percentiles(df, [truth], [i / 10 for i in range(11)], keys)
     edges = side_table(edges.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.array_distinct("q").alias("__e")))
     condition = F.lit(True)
     for key in keys:

@@ -12,14 +12,14 @@ from quintil.operators import classify, explore, metrics
 from quintil.plans.diagnostics import build_diagnostics
 
 
-@pytest.mark.parametrize("direct_rows", [0, 10_000])
-def test_percentiles_match_numpy(spark, direct_rows):
+@pytest.mark.parametrize("bins", [8, 4096])
+def test_percentiles_match_numpy(spark, bins):
     rng = np.random.default_rng(1)
     values = np.concatenate([rng.normal(size=3000), np.zeros(1500), rng.integers(0, 5, 500)])
     pdf = pd.DataFrame({"g": np.where(np.arange(5000) < 4200, "hot", None), "x": values, "y": -values})
     df = spark.createDataFrame(pdf, "g string, x double, y double").repartition(5)
     probs = [0.0, 0.05, 0.25, 0.5, 0.77, 0.95, 1.0]
-    got = exact_percentiles(df, ["x", "y"], probs, ["g"], accuracy=200, direct_rows=direct_rows).collect()
+    got = exact_percentiles(df, ["x", "y"], probs, ["g"], bins=bins).collect()
     assert len(got) == 4
     for r in got:
         part = pdf[pdf.g.isna()] if r["g"] is None else pdf[pdf.g == r["g"]]
@@ -27,6 +27,16 @@ def test_percentiles_match_numpy(spark, direct_rows):
         np.testing.assert_allclose(r["q"], np.quantile(part[r["variable"]], probs), atol=1e-12)
 
 
+def test_percentiles_of_extreme_values(spark):
+    values = [-1.7e308, -1e300, -1e12, -1e12 + 1, -0.0, 0.0, 5e-324, 1e-323, 1e-300, 1.0, 1.0 + 2**-52, 1.0 + 2**-51, 3e7, 1.6e308, 1.7e308]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (math.nan,)], "v double")
+    probs = [i / 14 for i in range(15)]
+    row = exact_percentiles(df, ["v"], probs).first()
+    assert row["n"] == 15 and all(a == b or math.isclose(a, b, rel_tol=1e-9) for a, b in zip(row["q"], values))
+    assert exact_percentiles(spark.createDataFrame([(math.inf,), (2.0,), (-math.inf,)], "v double"), ["v"], [0.0, 0.5, 1.0]).first()["q"] == [-math.inf, 2.0, math.inf]
+    assert exact_percentiles(df.where("v is null"), ["v"], [0.5]).count() == 0
+
+
 @pytest.mark.parametrize("shape", ["plain", "ties", "constant", "few"])
 def test_deciles_match_qcut(spark, shape):
     rng = np.random.default_rng(3)
