@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quintil.llm import blocks as B
-from quintil.llm.text import word_hashes, words_of
+from quintil.llm.text import word_hashes
 from quintil.session import settle
 
 WINDOW = 13
@@ -170,7 +170,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     def locate(table: pa.Table, answers: pa.Table) -> Iterator[tuple]:
         held = Words(table)
-        words_in = [words_of(t) for t in held.texts]
         places, digests = held.candidates(_flags(answers, 1, np.uint8), parts)
         distinct, first, number = _distinct(digests)
         least = np.full(len(distinct), NO_ID)
@@ -181,58 +180,71 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         # Only windows that some document here must lose become patterns.
         lost = np.zeros(len(distinct), bool)
         lost[number[least[number] < held.ids[held.owner[places]]]] = True
-        patterns = np.flatnonzero(lost).tolist()
-        wanted = []
-        for pattern in patterns:
-            place = int(places[first[pattern]])
-            doc = int(held.owner[place])
-            at = place - int(held.start[doc])
-            wanted.append(words_in[doc][at : at + WINDOW])
-        automaton = Automaton(wanted, patterns) if wanted else None
-        for doc, words in enumerate(words_in):
-            yield _cut(held.doc_ids[doc], int(held.ids[doc]), words, automaton, least)
+        patterns = np.flatnonzero(lost)
+        automaton = Automaton(held, places[first[patterns]], patterns) if len(patterns) else None
+        for doc in range(len(held.texts)):
+            words = held.texts[doc].encode().split()
+            spans = automaton.covered(doc, words, least, int(held.ids[doc])) if automaton else []
+            yield _cut(held.doc_ids[doc], words, spans)
 
     return B.with_answers(dealt, found.union(confirmed), locate, SCHEMA)
 
 
 class Automaton:
-    """Aho-Corasick over words, each written as two letters so that no node has many children.
+    """Aho-Corasick over a block's words, each written as two letters so that no node has many children.
 
-    The first letters are no word's second ones, so matches begin and end with words.
+    A letter pair stands for a word's hash, so all texts of the block become letters at once. The first letters are no
+    word's second ones, so matches begin and end with words; each match is then compared word by word.
     """
 
-    def __init__(self, patterns: list[list[str]], values: list[int]) -> None:
-        names = sorted({w for p in patterns for w in p})
+    def __init__(self, held: Words, places: np.ndarray, values: np.ndarray) -> None:
+        windows = held.hashes[places[:, None] + np.arange(WINDOW)]
+        known = np.unique(windows)
         base = 1
-        while base**2 < len(names):
+        while base**2 < len(known):
             base += 1
-        self.codes = {w: chr(0x100 + i // base) + chr(0x20000 + i % base) for i, w in enumerate(names)}
+        code = np.arange(len(known) + 1)
+        letters = np.stack([0x100 + code // base, 0x20000 + code % base], axis=1).astype("<u4")
+        letters[-1] = ord(" ")  # a word of no window
+        at = np.minimum(np.searchsorted(known, held.hashes), len(known) - 1)
+        self.letters = letters[np.where(known[at] == held.hashes, at, len(known))]
+        self.start = held.start
+        self.words: dict[int, list[bytes]] = {}
+        last, split = -1, []
+        for place, value in sorted(zip(places.tolist(), values.tolist())):
+            doc = int(held.owner[place])
+            if doc != last:
+                last, split = doc, held.texts[doc].encode().split()
+            at = place - int(held.start[doc])
+            self.words[value] = split[at : at + WINDOW]
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for words, value in zip(patterns, values):
-            self.automaton.add_word("".join([self.codes[w] for w in words]), value)
+        for place, value in zip(places.tolist(), values.tolist()):
+            self.automaton.add_word(self.written(place, place + WINDOW), value)
         self.automaton.make_automaton()
 
-    def matches(self, words: list[str]) -> Iterator[tuple[int, int]]:
-        """(past-last word, value) of each occurrence."""
-        get = self.codes.get
-        for end, value in self.automaton.iter("".join([get(w, "  ") for w in words])):
-            yield end // 2 + 1, value
-
-
-def _cut(doc_id: int | None, rank: int, words: list[str], automaton: Automaton | None, least: np.ndarray) -> tuple:
-    """One document's row: every match whose window starts in a smaller document covers its words."""
-    spans: list[int] = []
-    if automaton is not None and len(words) >= WINDOW:
-        for end, pattern in automaton.matches(words):
-            if least[pattern] < rank:
-                begin = end - WINDOW
+    def written(self, start: int, end: int) -> str:
+        return self.letters[start:end].tobytes().decode("utf-32-le")
+
+    def covered(self, doc: int, words: list[bytes], least: np.ndarray, rank: int) -> list[int]:
+        """First and past-last word by turns, of the matches that start in a smaller document."""
+        start = int(self.start[doc])
+        spans: list[int] = []
+        for last, value in self.automaton.iter(self.written(start, start + len(words))):
+            end = last // 2 + 1
+            begin = end - WINDOW
+            if least[value] < rank and words[begin:end] == self.words[value]:
                 if spans and begin <= spans[-1]:
                     spans[-1] = end
                 else:
                     spans += [begin, end]
+        return spans
+
+
+def _cut(doc_id: int | None, words: list[bytes], spans: list[int]) -> tuple:
+    """One document's row, without the words of the spans."""
     kept, at = [], 0
     for a, b in zip(spans[::2], spans[1::2]):
         kept += words[at:a]
         at = b
     kept += words[at:]
-    return doc_id, len(words), len(words) - len(kept), " ".join(kept), spans
+    return doc_id, len(words), len(words) - len(kept), b" ".join(kept).decode(), spans

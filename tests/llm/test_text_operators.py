@@ -173,9 +173,21 @@ def test_passages_empty(none):
     assert passages.remove_repeats(none).count() == 0
 
 
-def test_automaton_does_not_match_between_words():
-    automaton = passages.Automaton([["a", "b"], ["b", "c"], ["c", "c"]], [0, 1, 2])
-    assert sorted(automaton.matches(["a", "b", "c", "c", "x", "a", "c", "b"])) == [(2, 0), (3, 1), (4, 2)]
+def test_automaton_compares_words_where_hashes_agree():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    run = [f"w{i}" for i in range(20)]
+    texts = [" ".join(run), " ".join(["x", *run[3:18], "y", *run[:13]]), "", " ".join(rng.choice("ab") for _ in range(60)), " ".join(run)]
+    held = passages.Words(pa.table({"doc_id": pa.array([1, 2, 3, 4, 5]), "text": pa.array(texts)}))
+    places = np.arange(8)
+    automaton = passages.Automaton(held, places, places)
+    least = np.ones(8, np.int64)
+    split = [t.encode().split() for t in texts]
+    assert [automaton.covered(d, split[d], least, d + 1) for d in range(5)] == [[], [1, 16, 17, 30], [], [], [0, 20]]
+    other = [b"z" if w == b"w9" else w for w in split[4]]
+    assert automaton.covered(4, other, least, 5) == []
 
 
 # SentencePiece
