@@ -3,8 +3,9 @@
 1. Anchors: of each window of consecutive words the smallest hash among its shorter n-grams. Equal windows have equal
    anchors, neighbouring windows mostly share theirs, so few hashes travel. Those found in two documents recur.
 2. Windows over a recurring anchor are confirmed by a 96-bit digest; the smallest doc_id of each is gathered.
-3. Each block of documents compiles the recurring windows it must look for into its own automaton over word numbers
-   (pyahocorasick) and streams all of its documents through it. A match compares words, not hashes.
+3. Each block of documents compiles the anchor phrases of the windows that it must look for into its own automaton
+   (pyahocorasick) and streams all of its documents through it. Where a phrase occurs, the windows over it are compared
+   with the recurring ones word by word. A phrase is shared by the windows around it, so the automaton stays small.
 
 Texts without words, and null texts, keep nothing and lose nothing. A null doc_id counts as larger than any other and
 equal ids never remove each other's words. One row per input row, repeated rows included.
@@ -181,7 +182,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         lost = np.zeros(len(distinct), bool)
         lost[number[least[number] < held.ids[held.owner[places]]]] = True
         patterns = np.flatnonzero(lost)
-        automaton = Automaton(held, places[first[patterns]], patterns) if len(patterns) else None
+        automaton = None
+        if len(patterns):
+            value = np.full(len(held.hashes), -1)
+            value[places] = np.where(lost[number], number, -1)
+            automaton = Automaton(held, places[first[patterns]], patterns, value)
         for doc in range(len(held.texts)):
             words = held.texts[doc].encode().split()
             spans = automaton.covered(doc, words, least, int(held.ids[doc])) if automaton else []
@@ -194,49 +199,59 @@ class Automaton:
     """Aho-Corasick over a block's words, each written as two letters so that no node has many children.
 
     A letter pair stands for a word's hash, so all texts of the block become letters at once. The first letters are no
-    word's second ones, so matches begin and end with words; each match is then compared word by word.
+    word's second ones, so matches begin and end with words. The patterns are the anchor phrases of the windows at
+    ``places``; ``value`` names the window that may start at each word, and the words decide.
     """
 
-    def __init__(self, held: Words, places: np.ndarray, values: np.ndarray) -> None:
-        windows = held.hashes[places[:, None] + np.arange(WINDOW)]
-        known = np.unique(windows)
+    def __init__(self, held: Words, places: np.ndarray, values: np.ndarray, value: np.ndarray) -> None:
+        reach = WINDOW - ANCHOR + 1
+        least = held.rolled(ANCHOR, 1)[places[:, None] + np.arange(reach)]
+        phrases = places + np.argmin(least, axis=1)
+        _, one = np.unique(least.min(axis=1), return_index=True)
+        phrases = phrases[one]
+        known = np.unique(held.hashes[phrases[:, None] + np.arange(ANCHOR)])
         base = 1
         while base**2 < len(known):
             base += 1
         code = np.arange(len(known) + 1)
         letters = np.stack([0x100 + code // base, 0x20000 + code % base], axis=1).astype("<u4")
-        letters[-1] = ord(" ")  # a word of no window
+        letters[-1] = ord(" ")  # a word of no phrase
         at = np.minimum(np.searchsorted(known, held.hashes), len(known) - 1)
         self.letters = letters[np.where(known[at] == held.hashes, at, len(known))]
-        self.start = held.start
+        self.start, self.value = held.start, value
         self.words: dict[int, list[bytes]] = {}
         last, split = -1, []
-        for place, value in sorted(zip(places.tolist(), values.tolist())):
+        for place, number in sorted(zip(places.tolist(), values.tolist())):
             doc = int(held.owner[place])
             if doc != last:
                 last, split = doc, held.texts[doc].encode().split()
-            at = place - int(held.start[doc])
-            self.words[value] = split[at : at + WINDOW]
+            begin = place - int(held.start[doc])
+            self.words[number] = split[begin : begin + WINDOW]
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for place, value in zip(places.tolist(), values.tolist()):
-            self.automaton.add_word(self.written(place, place + WINDOW), value)
+        for place in phrases.tolist():
+            self.automaton.add_word(self.written(place, place + ANCHOR), place)
         self.automaton.make_automaton()
 
     def written(self, start: int, end: int) -> str:
         return self.letters[start:end].tobytes().decode("utf-32-le")
 
     def covered(self, doc: int, words: list[bytes], least: np.ndarray, rank: int) -> list[int]:
-        """First and past-last word by turns, of the matches that start in a smaller document."""
+        """First and past-last word by turns, of the windows that start in a smaller document."""
         start = int(self.start[doc])
         spans: list[int] = []
-        for last, value in self.automaton.iter(self.written(start, start + len(words))):
-            end = last // 2 + 1
-            begin = end - WINDOW
-            if least[value] < rank and words[begin:end] == self.words[value]:
-                if spans and begin <= spans[-1]:
-                    spans[-1] = end
-                else:
-                    spans += [begin, end]
+        values, next_begin = None, 0
+        for last, _ in self.automaton.iter(self.written(start, start + len(words))):
+            if values is None:
+                values = self.value[start : start + len(words)].tolist()
+            phrase = last // 2 + 1 - ANCHOR
+            for begin in range(max(next_begin, phrase - WINDOW + ANCHOR), phrase + 1):
+                number, end = values[begin], begin + WINDOW
+                if number >= 0 and least[number] < rank and words[begin:end] == self.words[number]:
+                    if spans and begin <= spans[-1]:
+                        spans[-1] = end
+                    else:
+                        spans += [begin, end]
+            next_begin = phrase + 1
         return spans
 
 

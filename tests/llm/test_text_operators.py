@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -182,7 +183,9 @@ def test_automaton_compares_words_where_hashes_agree():
     texts = [" ".join(run), " ".join(["x", *run[3:18], "y", *run[:13]]), "", " ".join(rng.choice("ab") for _ in range(60)), " ".join(run)]
     held = passages.Words(pa.table({"doc_id": pa.array([1, 2, 3, 4, 5]), "text": pa.array(texts)}))
     places = np.arange(8)
-    automaton = passages.Automaton(held, places, places)
+    window = {tuple(run[i : i + 13]): i for i in range(8)}
+    words = [w for t in texts for w in t.split()]
+    automaton = passages.Automaton(held, places, places, np.array([window.get(tuple(words[i : i + 13]), -1) for i in range(len(words))]))
     least = np.ones(8, np.int64)
     split = [t.encode().split() for t in texts]
     assert [automaton.covered(d, split[d], least, d + 1) for d in range(5)] == [[], [1, 16, 17, 30], [], [], [0, 20]]
