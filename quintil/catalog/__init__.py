@@ -6,7 +6,7 @@ from importlib import import_module
 
 from quintil.catalog.base import QUERIES, TWINS
 
-_MODULES = ("dataset", "splits", "diagnostics", "explore", "models", "runs")
+_MODULES = ("dataset", "splits", "diagnostics", "explore", "models", "closed_forms", "runs")
 
 
 def load() -> tuple[dict, dict]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quintil.functions.scalar import with_errors
 from quintil.operators.metrics import income_decile
-from quintil.operators.splits import random_split
+from quintil.operators.splits import with_split
 from quintil.session import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,8 +168,7 @@ joined AS (SELECT people.*, split FROM people JOIN splits USING (row_id))"""
 
 
 def split_people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = people(spark, sf_dir)
-    return df.join(random_split(df), "row_id")
+    return with_split(people(spark, sf_dir))
 
 
 def raw_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,13 +29,8 @@ def describe_sql(column: str, source: str) -> str:
   SELECT 'P47T' AS variable, * FROM ({describe_sql("P47T", "l")}) UNION ALL SELECT 'logP47T', * FROM ({describe_sql("logP47T", "l")})
   UNION ALL SELECT 'P47T positive', * FROM ({describe_sql("P47T", "(SELECT * FROM l WHERE P47T > 0)")})""", "mean std min max p25 p50 p75", 5))
 def e18(spark, sf_dir):
-    df = survey(spark, sf_dir).withColumn("logP47T", log_positive("P47T"))
-    parts = [("P47T", df, "P47T"), ("logP47T", df, "logP47T"), ("P47T positive", df.filter("P47T > 0"), "P47T")]
-    out = None
-    for label, frame, column in parts:
-        one = explore.describe_by(frame, ["ANO4"], column).withColumn("variable", F.lit(label))
-        out = one if out is None else out.unionByName(one)
-    return tidy(out, 5)
+    df = survey(spark, sf_dir).withColumns({"logP47T": log_positive("P47T"), "P47T positive": F.when(F.col("P47T") > 0, F.col("P47T"))})
+    return tidy(explore.describe_columns(df, ["ANO4"], ["P47T", "logP47T", "P47T positive"]).where(F.col("count") > 0), 5)
 
 
 @query("e19_boxplot_stats", tidy_sql(f"""{W}, f AS (SELECT ANO4, P47T AS x FROM survey WHERE P47T > 0 AND P47T < 1000000),

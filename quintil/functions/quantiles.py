@@ -15,57 +15,79 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quintil.session import BROADCAST_ROWS, settle
+from quintil.session import settle
 
 BINS = 4096
+HELD_BRACKETS = 10_000  # open bins that travel with the plan
 
 
-def exact_percentiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (), bins: int = BINS
-) -> DataFrame:
-    """Linear-interpolation percentiles: ``keys``, ``variable``, ``n``, array ``q``; groups without values have no row."""
-    groups = [f"k{i}" for i in range(len(keys))] + ["variable"]
-    entries = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])
-    named = [F.col(f"`{k}`").alias(g) for k, g in zip(keys, groups)]
-    long = df.select(*named, F.explode(entries).alias("s")).select(*groups[:-1], "s.*").where("v IS NOT NULL AND NOT isnan(v)")
+def order_statistics(long: DataFrame, groups: Sequence[str], wanted: Column, bins: int = BINS) -> DataFrame:
+    """(groups, n, place, value): the values at wanted ranks of each group of ``long``, whose column ``v`` is a number.
 
-    cells = long.groupBy(*groups, F.floor(F.signum("v") * F.log1p(F.abs("v")) * bins).alias("bin")).agg(*_extremes())
-    whole = W.partitionBy(*groups)
+    ``wanted`` is an array of (place, rank from 0), which may depend on the group's row count ``n``; ranks past the end
+    have no row. ``v`` holds neither NULL nor NaN; whole numbers stay exact to the last of 64 bits.
+    """
+    groups = list(groups)
+    kind = long.schema["v"].dataType.simpleString()
+    v = F.col("v").cast("double")
+    cells = long.groupBy(*groups, F.floor(F.signum(v) * F.log1p(F.abs(v)) * bins).alias("bin")).agg(*_extremes())
+    whole = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(1))
     counted = cells.select(*groups, "c", "lo", "hi", F.sum("c").over(whole).alias("n"), (F.sum("c").over(whole.orderBy("bin")) - F.col("c")).alias("start"))
-    wanted = F.array(*[_rank(float(p), i, upper) for i, p in enumerate(probs) for upper in (0, 1)])
     hits = settle(_hits(counted.withColumn("wanted", wanted), groups))
     found = hits.where("value IS NOT NULL")
     while True:
         bracket = [*groups, "n", "start", "lo", "hi"]
         brackets = hits.where("value IS NULL").groupBy(*bracket).agg(F.sort_array(F.collect_set(F.struct("place", "rank"))).alias("wanted"))
-        brackets = settle(brackets)
-        open_brackets = brackets.limit(BROADCAST_ROWS + 1).count()
-        if not open_brackets:
+        few = brackets.limit(HELD_BRACKETS + 1).collect()
+        if not few:
             break
-        renamed = brackets.toDF(*[f"b_{c}" for c in brackets.columns])
-        if open_brackets <= BROADCAST_ROWS:
-            renamed = F.broadcast(renamed)
+        # A few brackets travel with the plan; beyond that number they are joined by a shuffle.
+        known = F.broadcast(long.sparkSession.createDataFrame(few, brackets.schema)) if len(few) <= HELD_BRACKETS else settle(brackets)
+        renamed = known.toDF(*[f"b_{c}" for c in known.columns])
         same = F.col("v").between(F.col("b_lo"), F.col("b_hi"))
         for g in groups:
             same = same & F.col(g).eqNullSafe(F.col(f"b_{g}"))
-        # Halves cannot overflow; neighbouring numbers may have none between them.
-        width = F.greatest(F.col("b_hi") / 2 - F.col("b_lo") / 2, F.lit(5e-324))
-        inside = F.when(F.col("v") == F.col("b_hi"), bins).otherwise(F.floor((F.col("v") / 2 - F.col("b_lo") / 2) / width * bins))
-        cells = long.join(renamed, same).groupBy(*groups, "b_n", "b_start", "b_wanted", inside.alias("bin")).agg(*_extremes())
+        cells = long.join(renamed, same).groupBy(*groups, "b_n", "b_start", "b_wanted", _inside(kind, bins).alias("bin")).agg(*_extremes())
         before = F.sum("c").over(W.partitionBy(*groups, "b_start").orderBy("bin")) - F.col("c") + F.col("b_start")
         counted = cells.select(*groups, "c", "lo", "hi", F.col("b_n").alias("n"), before.alias("start"), F.col("b_wanted").alias("wanted"))
         hits = settle(_hits(counted, groups))
         found = found.unionByName(hits.where("value IS NOT NULL"))
+    return found.select(*groups, "n", "place", "value")
+
+
+def _inside(kind: str, bins: int) -> Column:
+    """Bin of a value between the extremes of its bracket, the greatest value alone in the last."""
+    v, lo, hi = F.col("v"), F.col("b_lo"), F.col("b_hi")
+    if kind in ("double", "float"):
+        # Halves cannot overflow; neighbouring numbers may have none between them.
+        share = (v / 2 - lo / 2) / F.greatest(hi / 2 - lo / 2, F.lit(5e-324))
+    else:
+        # The values of a bracket have one sign, so that differences fit.
+        share = (v - lo).cast("double") / (hi - lo).cast("double")
+    return F.when(v == hi, bins).otherwise(F.floor(share * bins))
 
-    values = F.map_from_entries(F.collect_list(F.struct("place", "value")))
-    points = []
-    for i, p in enumerate(probs):
-        position = F.lit(float(p)) * (F.col("n") - 1)
+
+def exact_percentiles(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (), bins: int = BINS
+) -> DataFrame:
+    """Linear-interpolation percentiles: ``keys``, ``variable``, ``n``, array ``q``; groups without values have no row."""
+    groups = [f"k{i}" for i in range(len(keys))] + ["variable"]
+    entries = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])
+    named = [F.col(f"`{k}`").alias(g) for k, g in zip(keys, groups)]
+    long = df.select(*named, F.explode(entries).alias("s")).select(*groups[:-1], "s.*").where("v IS NOT NULL AND NOT isnan(v)")
+    wanted = F.array(*[_rank(float(p), i, upper) for i, p in enumerate(probs) for upper in (0, 1)])
+    found = order_statistics(long, groups, wanted, bins)
+
+    collected = found.groupBy(*groups, "n").agg(F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("m"))
+    places = F.array(*[F.struct(F.lit(2 * i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+
+    def point(x: Column) -> Column:
+        position = x["p"] * (F.col("n") - 1)
         share = position - F.floor(position)
-        low, high = F.element_at("m", F.lit(2 * i)), F.element_at("m", F.lit(2 * i + 1))
-        points.append(F.when(share == 0, low).otherwise(low + share * (high - low)))
-    collected = found.groupBy(*groups, "n").agg(values.alias("m"))
-    return collected.select(*[F.col(g).alias(k) for g, k in zip(groups, keys)], "variable", "n", F.array(*points).alias("q"))
+        low, high = F.element_at("m", x["i"]), F.element_at("m", x["i"] + 1)
+        return F.when(share == 0, low).otherwise(low + share * (high - low))
+
+    return collected.select(*[F.col(g).alias(k) for g, k in zip(groups, keys)], "variable", "n", F.transform(places, point).alias("q"))
 
 
 def _extremes() -> list[Column]:

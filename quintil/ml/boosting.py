@@ -2,7 +2,8 @@
 
 Rows are coded once (a numeric value by its bin, a level by its number) and kept in blocks of coded columns. A pass sums
 gradients, curvatures and counts of the wanted leaves by feature and bin in each partition, and the sums of a (leaf, feature)
-meet in one group, which gives its best split back. The driver sees one row per leaf and feature, never a histogram.
+meet in one group, which gives its best split back. The driver sees one row per leaf and feature; only small sums
+of few partitions, whose size is checked, it adds itself.
 
 A tree grows best-first: the leaf of largest gain is split next, until the leaves are used up. With ``r`` splits left only
 the ``r`` leaves of largest gain can be split at all, so one pass looks below all of these at once; a tree takes as many
@@ -30,6 +31,7 @@ from quintil.session import settle
 MAX_BINS = 255
 REFRESH = 10  # trees after which the rows' predictions are written
 LEAST_CURVATURE = 1e-3
+DIRECT_BYTES = 16 << 20
 BLOCK_SCHEMA = "n long, codes binary, y binary, held binary, raw binary"
 SPLIT_SCHEMA = "leaf int, feature int, gain double, cut int, left array<double>, right array<double>, whole array<double>"
 
@@ -96,7 +98,7 @@ class Encoder:
 
     def columns(self) -> list:
         p = self.preparation
-        return [p.number(c).alias(f"x{i}") for i, c in enumerate(p.numeric)] + [p.text(c).alias(f"t{i}") for i, c in enumerate(p.categorical)]
+        return [p.number(c).alias(f"__number_{i}") for i, c in enumerate(p.numeric)] + [p.text(c).alias(f"__text_{i}") for i, c in enumerate(p.categorical)]
 
     def codes(self, arrays: Sequence[pa.Array], rows: int) -> np.ndarray:
         columns = [np.searchsorted(e, a.to_numpy(zero_copy_only=False), side="left") for e, a in zip(self.edges, arrays)]
@@ -136,7 +138,7 @@ def fit_encoder(train: DataFrame, features: Sequence[str], categorical: Sequence
     cuts = {}
     if wide:
         probs = [k / MAX_BINS for k in range(1, MAX_BINS)]
-        found = values.agg(*[F.percentile_approx(f"x{i}", probs, 20 * MAX_BINS).alias(f"q{i}") for i in wide]).first()
+        found = values.agg(*[F.percentile_approx(f"__number_{i}", probs, 20 * MAX_BINS).alias(f"q{i}") for i in wide]).first()
         cuts = {i: np.unique(found[f"q{i}"]) for i in wide}
     for i in range(width):
         distinct = np.array(rows[i].values, float)
@@ -281,8 +283,8 @@ class _Node:
 class _Growth:
     """One tree while it grows."""
 
-    def __init__(self, booster: Booster, features: np.ndarray) -> None:
-        self.booster, self.settings, self.features = booster, booster.settings, features
+    def __init__(self, booster: Booster, features: np.ndarray, direct: int) -> None:
+        self.booster, self.settings, self.features, self.direct = booster, booster.settings, features, direct
         self.nodes: list[_Node] = []
 
     def arrays(self, committed: bool) -> Tree:
@@ -377,10 +379,9 @@ class _Growth:
             kinds = (pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-        def decide(table: pa.Table) -> pa.Table:
-            leaf, feature = table.column("leaf")[0].as_py(), table.column("feature")[0].as_py()
+        def decided(leaf: int, feature: int, payloads: list[bytes]) -> dict:
             # In a fixed order, so that a repeated run adds the same numbers the same way.
-            total = sum(np.frombuffer(p) for p in sorted(table.column("sums").to_pylist()))
+            total = sum(np.frombuffer(p) for p in sorted(payloads))
             if leaf < 0:
                 row = (leaf, feature, None, None, None, None, total.tolist())
             else:
@@ -388,19 +389,30 @@ class _Growth:
                 found = best_split(g, h, c, bool(is_level[feature]), s.min_samples_leaf, s.l2_regularization)
                 whole = [g.sum(), h.sum(), c.sum()]
                 row = (leaf, feature, *(found or (None, None, None, None)), whole)
-            return pa.Table.from_pylist([dict(zip(("leaf", "feature", "gain", "cut", "left", "right", "whole"), row))], DECIDED)
+            return dict(zip(("leaf", "feature", "gain", "cut", "left", "right", "whole"), row))
+
+        def decide(table: pa.Table) -> pa.Table:
+            row = decided(table.column("leaf")[0].as_py(), table.column("feature")[0].as_py(), table.column("sums").to_pylist())
+            return pa.Table.from_pylist([row], DECIDED)
 
         partial = state.mapInArrow(sums, "leaf int, feature int, sums binary")
-        found = partial.groupBy("leaf", "feature").applyInArrow(decide, SPLIT_SCHEMA).collect()
+        if self.direct >= 24 * len(wanted) * sum(sizes[f] for f in features):
+            rows = partial.toArrow().to_pylist()
+            met: dict[tuple[int, int], list] = {}
+            for r in rows:
+                met.setdefault((r["leaf"], r["feature"]), []).append(r["sums"])
+            found = [decided(*place, payloads) for place, payloads in met.items()]
+        else:
+            found = [r.asDict() for r in partial.groupBy("leaf", "feature").applyInArrow(decide, SPLIT_SCHEMA).collect()]
         loss = (0.0, 0.0, 0.0, 0.0)
-        for r in sorted(found, key=lambda r: (r.leaf, r.feature)):
-            if r.leaf < 0:
-                loss = tuple(r.whole)
+        for r in sorted(found, key=lambda r: (r["leaf"], r["feature"])):
+            if r["leaf"] < 0:
+                loss = tuple(r["whole"])
                 continue
-            node = self.nodes[r.leaf]
-            node.sums = r.whole
-            if r.gain is not None and (node.split is None or r.gain > node.split[0]):
-                node.split = (r.gain, r.feature, r.cut, r.left, r.right)
+            node = self.nodes[r["leaf"]]
+            node.sums = r["whole"]
+            if r["gain"] is not None and (node.split is None or r["gain"] > node.split[0]):
+                node.split = (r["gain"], r["feature"], r["cut"], r["left"], r["right"])
         return loss
 
 
@@ -421,8 +433,12 @@ def _advanced(state: DataFrame, booster: Booster, pending: Sequence[Tree]) -> Da
     return settle(state.mapInArrow(run, BLOCK_SCHEMA))
 
 
-def fit_blocks(blocks: DataFrame, encoder: Encoder, settings: Settings) -> Booster:
-    """Boost over coded rows; rows marked as held out steer early stopping only."""
+def fit_blocks(blocks: DataFrame, encoder: Encoder, settings: Settings, direct_bytes: int = DIRECT_BYTES) -> Booster:
+    """Boost over coded rows; rows marked as held out steer early stopping only.
+
+    Sums of a pass that have at most ``direct_bytes`` in all partitions together are added on the driver, which saves a
+    shuffle; the splits are the same either way.
+    """
     if settings.loss not in ("squared", "log"):
         raise ValueError(f"Unknown loss {settings.loss!r}.")
     width = len(encoder.sizes)
@@ -442,6 +458,7 @@ def fit_blocks(blocks: DataFrame, encoder: Encoder, settings: Settings) -> Boost
             raise ValueError("A classifier needs rows of both classes, 0 and 1.")
         mean = float(np.log(mean / (1 - mean))) if n else 0.0
     booster = Booster(encoder, settings, mean)
+    partitions = max(1, blocks.rdd.getNumPartitions())
     stops = bool(held)
     state, pending = blocks, []
     rng = np.random.default_rng(settings.seed)
@@ -449,7 +466,7 @@ def fit_blocks(blocks: DataFrame, encoder: Encoder, settings: Settings) -> Boost
     for iteration in range(settings.max_iter if n else 0):
         count = max(1, round(settings.colsample * width))
         features = np.sort(rng.choice(width, count, replace=False)) if count < width else np.arange(width)
-        tree, loss = _Growth(booster, features).grow(state, pending, iteration)
+        tree, loss = _Growth(booster, features, direct_bytes // partitions).grow(state, pending, iteration)
         booster.losses.append((loss[0] / max(loss[1], 1), loss[2] / max(loss[3], 1)))
         if stops:
             scores.append(-booster.losses[-1][1])
@@ -475,3 +492,78 @@ def held_share(train: DataFrame, settings: Settings) -> float:
     """Share of the rows that steer early stopping."""
     wanted = train.count() > 10_000 if settings.early_stopping == "auto" else bool(settings.early_stopping)
     return settings.validation_fraction if wanted else 0.0
+
+
+def boost_bins(n: np.ndarray, total: np.ndarray, level: bool, settings: Settings) -> np.ndarray:
+    """Prediction of each bin of a single feature, from its rows and the sum of their targets.
+
+    With one feature all rows of a bin share a prediction, so the bins stand for the rows in every step.
+    """
+    raw = np.full(len(n), total.sum() / n.sum() if n.sum() else 0.0)
+    known = np.ones(len(n), bool)
+    known[-1:] = not level  # a level split never asks for unknown levels
+    for _ in range(settings.max_iter):
+        g, h = n * raw - total, n.astype(float)
+        leaves: list[tuple[np.ndarray, int, tuple | None]] = []
+
+        def leaf(mask: np.ndarray, depth: int) -> tuple[np.ndarray, int, tuple | None]:
+            deep = settings.max_depth is not None and depth >= settings.max_depth
+            found = None if deep else best_split(g * mask, h * mask, n * mask, level, settings.min_samples_leaf, settings.l2_regularization)
+            return mask, depth, found
+
+        leaves.append(leaf(np.ones(len(n), bool), 0))
+        while len(leaves) < (settings.max_leaf_nodes or 1 << 31):
+            best = max((i for i, x in enumerate(leaves) if x[2]), key=lambda i: (leaves[i][2][0], -i), default=None)
+            if best is None:
+                break
+            mask, depth, (_, cut, *_) = leaves.pop(best)
+            left = np.arange(len(n)) == cut if level else np.arange(len(n)) <= cut
+            leaves += [leaf(mask & left, depth + 1), leaf(mask & ~left, depth + 1)]
+        if len(leaves) == 1 and leaves[0][2] is None and abs(g.sum()) <= 1e-12 * max(1.0, np.abs(g).sum()):
+            break
+        for mask, _, _ in leaves:
+            below = (h * mask).sum() + settings.l2_regularization
+            if below > 0:
+                raw[mask] -= settings.learning_rate * (g * mask).sum() / below
+    return raw
+
+
+def screen_columns(train: DataFrame, test: DataFrame, encoder: Encoder, settings: Settings) -> DataFrame:
+    """(column, test_r2, test_mse) of one boosted model per column, all columns in one job over the coded rows.
+
+    A column is a histogram of rows, targets and squared targets; its model and its test error follow from that.
+    """
+    if settings.loss != "squared":
+        raise ValueError("Columns are screened by squared error.")
+    names, sizes, is_level = encoder.preparation.numeric + encoder.preparation.categorical, encoder.sizes, encoder.is_level
+
+    def counted(side: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = [np.zeros((3, size)) for size in sizes]
+            for codes, y, _, _ in _opened(batches, len(sizes)):
+                for f, held in enumerate(sums):
+                    for row, weights in enumerate((None, y, y * y)):
+                        held[row] += np.bincount(codes[:, f], weights, minlength=sizes[f])
+            columns = [pa.array([side] * len(sums), pa.int32()), pa.array(range(len(sums)), pa.int32()), pa.array([x.tobytes() for x in sums], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["side", "feature", "sums"])
+
+        return run
+
+    def fit(table: pa.Table) -> pa.Table:
+        sides = table.column("side").to_pylist()
+        feature = table.column("feature")[0].as_py()
+        payloads = sorted(zip(sides, table.column("sums").to_pylist()))
+        train_sums, test_sums = (sum((np.frombuffer(p) for s, p in payloads if s == side), np.zeros(3 * sizes[feature])).reshape(3, -1) for side in (0, 1))
+        raw = boost_bins(train_sums[0], train_sums[1], bool(is_level[feature]), settings)
+        n, total, squares = test_sums
+        rows = n.sum()
+        mse = float((squares - 2 * raw * total + n * raw**2).sum() / rows) if rows else None
+        spread = float(squares.sum() / rows - (total.sum() / rows) ** 2) if rows else 0.0
+        return pa.Table.from_pylist([{"column": names[feature], "test_r2": 1 - mse / spread if spread > 0 else None, "test_mse": mse}], SCREENED)
+
+    schema = "side int, feature int, sums binary"
+    both = train.mapInArrow(counted(0), schema).unionByName(test.mapInArrow(counted(1), schema))
+    return both.groupBy("feature").applyInArrow(fit, "column string, test_r2 double, test_mse double")
+
+
+SCREENED = pa.schema([("column", pa.string()), ("test_r2", pa.float64()), ("test_mse", pa.float64())])

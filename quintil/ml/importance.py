@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quintil.ml.linear import LinearFit
 from quintil.operators.metrics import error_metrics
 from quintil.operators.order import hash_rank, order_rank
-from quintil.operators.permute import row_permutation
 from quintil.session import settle
 
 
@@ -106,19 +105,28 @@ def permutation_importance(
     seed: int = 42,
     key: str = "row_id",
 ) -> DataFrame:
-    """Permutation importance of any model; ``predict`` adds ``y_pred``.
+    """Permutation importance of any model; ``predict`` adds ``y_pred`` and keeps the columns it is given.
 
-    One permuted copy is scored and reduced at a time, so no more than one copy
-    of the test rows exists at once.
+    The rows are numbered once. A repeat joins every row with the row that its shuffle puts in its place, and all blocks of
+    the repeat are scored as one stacked table, in which a block's rows take their columns from that other row.
     """
-    stored = settle(test.select(key, target, *[F.col(f"`{c}`") for c in features]))
-    base = predict(stored).agg(*error_metrics(target, "y_pred")).first()
     targets = importance_targets(features, blocks)
-    rows = []
-    for name, columns in targets.items():
-        for repeat in range(repeats):
-            permuted = row_permutation(stored, columns, seed + repeat, key)
-            score = predict(permuted).agg(*error_metrics(target, "y_pred")).first()
-            rows.append((name, score["r2"], score["mae"]))
-    scores = test.sparkSession.createDataFrame(rows, "feature_or_group string, r2 double, mae double")
+    own = test.select(key, F.col(target).alias("__y"), *[F.col(f"`{c}`") for c in features])
+    placed = settle(order_rank(own, [key], "__i"))
+    base = predict(placed).agg(*error_metrics("__y", "y_pred")).first()
+    scores = None
+    for repeat in range(repeats):
+        other = placed.select(key, *[F.col(f"`{c}`").alias(f"__new_{n}") for n, c in enumerate(features)])
+        givers = hash_rank(other, key, seed + repeat, "__j").drop(key)
+        joined = placed.join(givers, F.col("__i") == F.col("__j"))
+        stacked = [
+            F.struct(
+                F.lit(name).alias("feature_or_group"),
+                *[(F.col(f"__new_{n}") if c in columns else F.col(f"`{c}`")).alias(c) for n, c in enumerate(features)],
+            )
+            for name, columns in targets.items()
+        ]
+        rows = joined.select("__y", F.explode(F.array(*stacked)).alias("e")).select("__y", "e.*")
+        one = predict(rows).groupBy("feature_or_group").agg(*error_metrics("__y", "y_pred"))
+        scores = one if scores is None else scores.unionByName(one)
     return _summary(scores, base.asDict(), {name: len(columns) for name, columns in targets.items()})

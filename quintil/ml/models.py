@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from quintil.ml import boosting
-from quintil.ml.design import Preparation, prepare
+from quintil.ml.design import Preparation, feature_types, prepare
 from quintil.operators.classify import roc_auc
 from quintil.operators.metrics import r2
 from quintil.operators.splits import kfold, stratified_kfold
+from quintil.session import settle
 
 BOOSTED = ("hist_gradient_boosting", "boosted_classifier")
 CLASSIFIERS = ("logistic", "random_forest_classifier", "boosted_classifier", "linear_svm")
@@ -32,8 +33,8 @@ CLASSIFIERS = ("logistic", "random_forest_classifier", "boosted_classifier", "li
 # Grid parameters that each estimator here can honour.
 HONOURED = {
     "hist_gradient_boosting": "learning_rate max_iter max_depth max_leaf_nodes min_samples_leaf l2_regularization early_stopping validation_fraction n_iter_no_change tol",
-    "random_forest": "n_estimators max_depth min_samples_leaf max_features",
-    "random_forest_classifier": "n_estimators max_depth min_samples_leaf",
+    "random_forest": "n_estimators max_depth min_samples_leaf max_features bootstrap",
+    "random_forest_classifier": "n_estimators max_depth min_samples_leaf bootstrap",
     "polynomial_lasso": "alpha",
     "logistic": "penalty C max_iter",
     "boosted_classifier": "learning_rate max_iter n_estimators max_depth min_samples_leaf subsample colsample l2_regularization early_stopping",
@@ -87,6 +88,7 @@ def estimator(model: str, params: Mapping[str, object], rows: int, seed: int = 4
                 maxDepth=int(p.get("max_depth") or 10),
                 minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
                 featureSubsetStrategy=str(p.get("max_features", "auto")),
+                bootstrap=bool(p.get("bootstrap", True)),
                 seed=seed,
             )
         ]
@@ -113,7 +115,7 @@ def estimator(model: str, params: Mapping[str, object], rows: int, seed: int = 4
         stages = [
             RandomForestClassifier(
                 **common, numTrees=int(p.get("n_estimators", 20)), maxDepth=int(p.get("max_depth") or 10),
-                minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=seed,
+                minInstancesPerNode=int(p.get("min_samples_leaf", 1)), bootstrap=bool(p.get("bootstrap", True)), seed=seed,
             )
         ]
     else:
@@ -379,19 +381,42 @@ def univariate_screen(
     categorical: Sequence[str] = (),
     split: str = "split",
 ) -> DataFrame:
-    """Every candidate column alone under every model: (column, model, test_r2, test_mse)."""
-    rows = df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Every candidate column alone under every model: (column, model, test_r2, test_mse).
+
+    Straight lines of all numeric columns come from one pass of moments, boosted trees of all columns from one pass of
+    histograms. Other models have no such sums and are fitted column by column. Lines and polynomials need numbers, so
+    they leave categorical columns out; a line leaves rows without a value out, the other models take the median.
+    """
+    rows = df.select(split, target, *[F.col(f"`{c}`") for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    numbers = [c for c in columns if c in feature_types(df, columns, categorical)[0]]
     try:
         train, test = rows.filter(F.col(split) == "train"), rows.filter(F.col(split) == "test")
-        results = []
-        for column in columns:
-            for model, params in models.items():
-                if model == "polynomial_lasso" and column in categorical:
-                    continue
-                fitted = fit_model(train, [column], target, model, params, categorical)
-                error = F.col(target) - F.col("y_pred")
-                score = fitted.transform(test).agg(r2(target, "y_pred").alias("r2"), F.avg(error * error).alias("mse")).first()
-                results.append((column, model, score["r2"], score["mse"]))
-        return df.sparkSession.createDataFrame(results, "column string, model string, test_r2 double, test_mse double")
+        found: list[DataFrame] = []
+        blocks = None
+        for model, params in models.items():
+            label = F.lit(model).alias("model")
+            if model == "linear_regression":
+                if numbers:
+                    found.append(univariate_lines(rows, numbers, target, split).select("column", label, "test_r2", "test_mse"))
+            elif model == "hist_gradient_boosting":
+                if blocks is None:
+                    encoder = boosting.fit_encoder(train, columns, categorical)
+                    blocks = encoder, boosting.blocks_of(train, encoder, target), boosting.blocks_of(test, encoder, target)
+                screened = boosting.screen_columns(blocks[1], blocks[2], blocks[0], boost_settings(model, params))
+                found.append(screened.select("column", label, "test_r2", "test_mse"))
+            else:
+                results = []
+                for column in columns:
+                    if model == "polynomial_lasso" and column not in numbers:
+                        continue
+                    fitted = fit_model(train, [column], target, model, params, categorical)
+                    error = F.col(target) - F.col("y_pred")
+                    score = fitted.transform(test).agg(r2(target, "y_pred").alias("r2"), F.avg(error * error).alias("mse")).first()
+                    results.append((column, model, score["r2"], score["mse"]))
+                found.append(df.sparkSession.createDataFrame(results, "column string, model string, test_r2 double, test_mse double"))
+        out = found[0]
+        for other in found[1:]:
+            out = out.unionByName(other)
+        return settle(out)
     finally:
         rows.unpersist()

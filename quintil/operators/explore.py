@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -11,8 +11,8 @@ from pyspark.sql import Window as W
 
 from quintil.functions.quantiles import percentile_columns
 from quintil.operators.metrics import join_null_safe
-from quintil.operators.order import running_counts
-from quintil.session import BROADCAST_ROWS, settle, side_table
+from quintil.operators.order import average_rank_of_rows
+from quintil.session import settle, side_table
 
 # Cut-offs used before plotting, as fixed values: (column, above, below).
 FILTERS = {
@@ -56,17 +56,24 @@ def sum_by_category(df: DataFrame, dimensions: Sequence[str], amount: str = "P47
     )
 
 
-def describe_by(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """Count, mean, sample std, minimum, quartiles and maximum per group."""
-    moments = df.groupBy(*keys).agg(
-        F.count(column).alias("count"),
-        F.avg(column).alias("mean"),
-        F.stddev_samp(column).alias("std"),
-        F.min(column).alias("min"),
-        F.max(column).alias("max"),
+def describe_columns(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Count, mean, sample std, minimum, quartiles and maximum per group and column, with the column's name in ``variable``.
+
+    The columns are written once and share every pass.
+    """
+    entries = F.array(*[F.struct(F.lit(c).alias("described"), F.col(f"`{c}`").cast("double").alias("x")) for c in columns])
+    held = settle(df.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.*"))
+    groups = [*keys, "described"]
+    moments = held.groupBy(*groups).agg(
+        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max")
     )
-    quartiles = percentile_columns(df, keys, {column: {"p25": 0.25, "p50": 0.5, "p75": 0.75}})
-    return join_null_safe(moments, quartiles, keys, "left")
+    quartiles = percentile_columns(held, groups, {"x": {"p25": 0.25, "p50": 0.5, "p75": 0.75}})
+    return join_null_safe(moments, quartiles, groups, "left").withColumnRenamed("described", "variable")
+
+
+def describe_by(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """The same for one column."""
+    return describe_columns(df, keys, [column]).drop("variable")
 
 
 def boxplot_stats(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -111,52 +118,38 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.select(F.explode(entries).alias("e")).select("e.*")
 
 
-def average_ranks(df: DataFrame, variables: Mapping[str, Column]) -> DataFrame:
-    """Average rank of every distinct value: (variable, value, c, avg_rank); NULLs have none."""
-    entries = F.array(*[F.struct(F.lit(name).alias("variable"), value.cast("double").alias("value")) for name, value in variables.items()])
-    counts = (
-        df.select(F.explode(entries).alias("e"))
-        .select("e.*")
-        .filter(F.col("value").isNotNull())
-        .groupBy("variable", "value")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    ranked = running_counts(counts, "value", "c", ["variable"])
-    return ranked.select("variable", "value", "c", (F.col("before") + (F.col("c") + 1) / 2).alias("avg_rank"))
-
-
 def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Absolute rank correlation of every column pair, highest first.
+    """Absolute rank correlation of every column pair, highest first; NaN counts as NULL.
 
-    A pair is ranked on the rows that have both values. A column therefore has
-    one set of ranks for all partners without NULLs, and one more for each
-    partner with some. Ranks are computed on distinct values, and each row looks
-    its ranks up per set.
+    A pair is ranked on the rows that have both values. A column therefore has one set of ranks for all partners without
+    NULLs, and one more for each partner with some. All sets are ranked in one range sort, and the ranks meet again by row
+    in one shuffle.
     """
-    df = settle(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
-    partial = [c for c, n in df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first().asDict().items() if n]
-    pairs = list(combinations(columns, 2))
-
-    def ranks_of(column: str, partner: str) -> str:
-        return f"{column}|{partner}" if partner in partial else column
-
-    sets = {ranks_of(c, other): F.col(c) for pair in pairs for c, other in (pair, pair[::-1]) if other not in partial}
-    sets |= {ranks_of(c, o): F.when(F.col(o).isNotNull(), F.col(c)) for pair in pairs for c, o in (pair, pair[::-1]) if o in partial}
-    ranks = settle(average_ranks(df, sets))
-    sizes = {r["variable"]: r["count"] for r in ranks.groupBy("variable").count().collect()}
-    out = df.select(*[value.alias(name) for name, value in sets.items()])
-    for name in sets:
-        lookup = ranks.filter(F.col("variable") == name).select(F.col("value").alias(name), F.col("avg_rank").alias(f"__r_{name}"))
-        out = out.join(F.broadcast(lookup) if sizes.get(name, 0) <= BROADCAST_ROWS else lookup, name, "left")
+    values = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(f"x{i}") for i, c in enumerate(columns)]
+    rows = settle(df.select(F.monotonically_increasing_id().alias("row"), *values))
+    numbers = range(len(columns))
+    nulls = rows.agg(*[F.count_if(F.col(f"x{i}").isNull()).alias(f"x{i}") for i in numbers]).first()
+    pairs = list(combinations(numbers, 2))
+
+    def set_of(column: int, partner: int) -> tuple[int, int | None]:
+        return column, partner if nulls[partner] else None
+
+    sets = {s: i for i, s in enumerate(sorted({set_of(*p) for pair in pairs for p in (pair, pair[::-1])}, key=str))}
+    entries = [
+        F.struct(F.lit(i).alias("grp"), (F.col(f"x{c}") if o is None else F.when(F.col(f"x{o}").isNotNull(), F.col(f"x{c}"))).alias("value"))
+        for (c, o), i in sets.items()
+    ]
+    long = rows.select("row", F.explode(F.array(*entries)).alias("e")).select("e.*", "row").where("value IS NOT NULL")
+    ranks = average_rank_of_rows(long).groupBy("row").agg(*[F.max(F.when(F.col("grp") == i, F.col("avg_rank"))).alias(f"r{i}") for i in sets.values()])
     correlations = [
         F.struct(
-            F.lit(a).alias("variable_1"),
-            F.lit(b).alias("variable_2"),
-            F.abs(F.corr(F.col(f"`__r_{ranks_of(a, b)}`"), F.col(f"`__r_{ranks_of(b, a)}`"))).alias("correlation"),
+            F.lit(columns[a]).alias("variable_1"),
+            F.lit(columns[b]).alias("variable_2"),
+            F.abs(F.corr(f"r{sets[set_of(a, b)]}", f"r{sets[set_of(b, a)]}")).alias("correlation"),
         )
         for a, b in pairs
     ]
-    return out.agg(F.array(*correlations).alias("e")).select(F.explode("e").alias("e")).select("e.*").orderBy(F.desc("correlation"))
+    return ranks.agg(F.array(*correlations).alias("e")).select(F.explode("e").alias("e")).select("e.*").orderBy(F.desc("correlation"))
 
 
 def pair_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

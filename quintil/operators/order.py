@@ -6,8 +6,10 @@ The seeded shuffle of this library is the order of
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -190,3 +192,72 @@ def add_row_id(df: DataFrame, order: Sequence[str], name: str = "row_id") -> Dat
     """Dense 0..n-1 row identifier under an explicit key order."""
     ranked = order_rank(df, order, name)
     return ranked.select(name, *df.columns)
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values."""
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    return starts, np.diff(np.r_[starts, len(values)])
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(partition, group, values, rows) of each group that a partition holds."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        group, value, row, part = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
+        for start, size in zip(*_runs(group)):
+            yield int(part[0]), int(group[start]), value[start : start + size], row[start : start + size]
+
+
+def average_rank_of_rows(long: DataFrame) -> DataFrame:
+    """(grp, row, avg_rank) of rows (grp int, value double, row long): rank from 1 within the group, the mean for ties.
+
+    One range sort by group, value and row, so that neither a group nor a value shared by many rows fills a partition. Ties
+    and counts that go on over a partition's edge are completed from one row per partition and group in it.
+    """
+    placed = long.select("grp", "value", "row").repartitionByRange("grp", "value", "row").sortWithinPartitions("grp", "value", "row")
+    placed = settle(placed.select("*", F.spark_partition_id().alias("part")))
+
+    def edge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for part, group, values, _ in _segments(batches):
+            _, sizes = _runs(values)
+            rows.append((part, group, len(values), values[0], sizes[0], values[-1], sizes[-1]))
+        names = ["part", "grp", "n", "first", "first_run", "last", "last_run"]
+        columns = list(zip(*rows)) if rows else [[]] * len(names)
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    edges = placed.mapInArrow(edge, "part int, grp int, n long, first double, first_run long, last double, last_run long").collect()
+    begins, first_runs, last_runs = _edge_runs(sorted(edges, key=lambda e: (e.grp, e.part)))
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, group, values, rows in _segments(batches):
+            starts, sizes = _runs(values)
+            before, counts = begins[part, group] + starts, sizes.copy()
+            before[0], counts[0] = first_runs[part, group]
+            before[-1], counts[-1] = last_runs[part, group]
+            ranks = np.repeat(before + (counts + 1) / 2, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), group, np.int32)), pa.array(rows), pa.array(ranks)], ["grp", "row", "avg_rank"])
+
+    return placed.mapInArrow(rank, "grp int, row long, avg_rank double")
+
+
+def _edge_runs(edges: Sequence) -> tuple[dict, dict, dict]:
+    """Per (partition, group): rows before it, and (rows before, length) of its first and of its last run as a whole."""
+    begins, first_runs, last_runs = {}, {}, {}
+    group, value, seen, run = None, None, 0, [0, 0]
+    for e in edges:
+        if e.grp != group:
+            group, value, seen = e.grp, None, 0
+        place = (e.part, e.grp)
+        begins[place] = seen
+        if e["first"] != value:
+            run = [seen, 0]
+        run[1] += e.first_run
+        first_runs[place] = run
+        if e.first_run < e.n:
+            run = [seen + e.n - e.last_run, e.last_run]
+        last_runs[place] = run
+        value, seen = e["last"], seen + e.n
+    return begins, first_runs, last_runs

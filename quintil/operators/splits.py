@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quintil.contract import SPLITS, Contract, reject_forbidden, require_columns
-from quintil.operators.order import HASH_DIGITS, hash_cuts, hash_order, order_rank
+from quintil.functions.quantiles import order_statistics
+from quintil.operators.order import HASH_DIGITS, hash_cuts, hash_order
 from quintil.session import settle
 
 SPLIT_SCHEMA = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("split", T.StringType())])
@@ -26,34 +27,37 @@ def _before(place: Column, cut: str | None) -> Column:
     return F.lit(True) if cut is None else place < F.lit(cut)
 
 
-def random_split(
+def with_split(
     df: DataFrame,
     key: str = "row_id",
     sizes: Sequence[float] = (0.7, 0.2, 0.1),
     seed: int = 42,
     digits: int = HASH_DIGITS,
+    name: str = "split",
 ) -> DataFrame:
-    """Exact train/test/validation assignment, map-only once two cuts are known.
+    """The rows with their exact train/test/validation split, map-only once two cuts are known.
 
     The shuffled order is cut at ``round(0.7 n)`` and ``round(0.2 n)`` rows
     further; a row's split follows from comparing its hash with the two cuts.
     Equal keys would fall on one side together, so repeated keys are refused.
+    The keys are written once for the checks and counts that the cuts need.
     """
-    require_unique(df, key, "The table to split")
     if abs(sum(sizes) - 1.0) > 1e-8:
         raise ValueError(f"The shares of the splits must sum to 1, and give {sum(sizes)}.")
+    keys = settle(df.select(key))
+    require_unique(keys, key, "The table to split")
     train, test = _share(sizes[0]), _share(sizes[1])
     cut = hash_cuts(
-        df, key, seed, {"train_end": train, "test_end": lambda n: F.least(train(n) + test(n), n)}, digits=digits
+        keys, key, seed, {"train_end": train, "test_end": lambda n: F.least(train(n) + test(n), n)}, digits=digits
     ).first()
     place = hash_order(seed, key)
-    return df.select(
-        F.col(key),
-        F.when(_before(place, cut["train_end"]), "train")
-        .when(_before(place, cut["test_end"]), "test")
-        .otherwise("validation")
-        .alias("split"),
-    )
+    split = F.when(_before(place, cut["train_end"]), "train").when(_before(place, cut["test_end"]), "test").otherwise("validation")
+    return df.withColumn(name, split)
+
+
+def random_split(df: DataFrame, key: str = "row_id", sizes: Sequence[float] = (0.7, 0.2, 0.1), seed: int = 42, digits: int = HASH_DIGITS) -> DataFrame:
+    """The split of every key, as a table of assignments."""
+    return with_split(df.select(key), key, sizes, seed, digits)
 
 
 def nested_split(df: DataFrame, key: str = "row_id", seed: int = 42, digits: int = HASH_DIGITS) -> DataFrame:
@@ -242,21 +246,14 @@ def training_sample(
 def fold_cuts(ids: DataFrame, k: int, key: str = "row_id", within: Sequence[str] = ()) -> DataFrame:
     """First id of folds 1..k-1 when sorted ids are cut into k blocks.
 
-    The first ``n % k`` blocks are one row longer. Ids may be any integers: they
-    are ranked by a range sort, whose partitions follow their distribution.
+    The first ``n % k`` blocks are one row longer. Ids may be any integers; the k - 1 ids are selected by counts.
     """
-    groups = list(within)
-    ranked = order_rank(ids.select(*groups, key), [key], "__rank", groups)
-    sizes = ids.groupBy(*groups).agg(F.count(F.lit(1)).alias("__total"))
-    base, long_blocks = F.floor(F.col("__total") / k), F.col("__total") % k
-    starts = F.array(
-        *[F.struct(F.lit(i).alias("fold"), (base * i + F.least(long_blocks, F.lit(i))).alias("start")) for i in range(1, k)]
-    )
-    wanted = sizes.select(*[F.col(g).alias(f"__g_{g}") for g in groups], F.explode(starts).alias("__s"))
-    condition = F.col("__rank") == F.col("__s.start")
-    for group in groups:
-        condition = condition & F.col(group).eqNullSafe(F.col(f"__g_{group}"))
-    return ranked.join(wanted, condition).select(*groups, F.col("__s.fold").alias("fold"), F.col(key).alias("first_id"))
+    groups = [f"g{i}" for i in range(len(within))]
+    long = ids.select(*[F.col(c).alias(g) for c, g in zip(within, groups)], F.col(key).cast("long").alias("v")).where("v IS NOT NULL")
+    base, long_blocks = F.floor(F.col("n") / k), F.col("n") % k
+    starts = F.array(*[F.struct(F.lit(i).alias("place"), (base * i + F.least(long_blocks, F.lit(i))).cast("long").alias("rank")) for i in range(1, k)])
+    found = order_statistics(long, groups, starts)
+    return found.select(*[F.col(g).alias(c) for g, c in zip(groups, within)], F.col("place").alias("fold"), F.col("value").alias("first_id"))
 
 
 def kfold(df: DataFrame, k: int, key: str = "row_id", name: str = "fold") -> DataFrame:

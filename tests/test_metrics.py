@@ -175,3 +175,19 @@ def test_spearman_ranks_pairs_on_common_rows(spark):
 def test_density_leaves_nulls_out(spark):
     df = spark.createDataFrame([(0.5, None), (0.0, 0.0), (1.0, 1.0), (None, 1.0)], "x double, y double")
     assert sum(r["n"] for r in explore.density_2d(df, "x", "y", 2).collect()) == 2
+
+
+def test_average_ranks_over_partition_edges(spark):
+    from quintil.operators.order import average_rank_of_rows
+
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"grp": rng.integers(0, 3, 900), "value": np.where(rng.random(900) < 0.5, 2.0, rng.integers(0, 40, 900)), "row": np.arange(900)})
+    pdf.loc[pdf.grp == 1, "value"] = 7.0
+    df = spark.createDataFrame(pdf, "grp int, value double, row long").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = average_rank_of_rows(df).orderBy("row").toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert (got.avg_rank == pdf.groupby("grp").value.rank()).all()
+    assert average_rank_of_rows(df.where("grp > 5")).count() == 0
