@@ -77,6 +77,11 @@ def _depth(counts: Column, min_words: int) -> Column:
     return bind(add, lambda acc: F.when(acc["sum"] >= min_words, acc["n"]).otherwise(0))
 
 
+def _packed(first: Column, n: Column) -> Column:
+    """First line and number of lines in one number."""
+    return F.shiftleft(first.cast("long"), 32) + n
+
+
 def _windows(sequence: Column, min_words: int) -> Column:
     """The least windows from each line and to each line: first line, number of lines, rank of the whole."""
 
@@ -86,15 +91,17 @@ def _windows(sequence: Column, min_words: int) -> Column:
     def named(seq: Column, w: Column, levels: Column) -> Column:
         size = F.size(w)
         places = F.transform(seq, lambda s, i: i)
-        forward = F.transform(places, lambda i: F.struct(i.alias("from"), _depth(F.slice(w, i + 1, min_words), min_words).alias("n")))
+        forward = F.transform(places, lambda i: _packed(i, _depth(F.slice(w, i + 1, min_words), min_words)))
 
         def before(i: Column) -> Column:
             first = F.greatest(i - (min_words - 1), F.lit(0))
             return bind(
-                _depth(F.reverse(F.slice(w, first + 1, i + 1 - first)), min_words), lambda n: F.struct((i + 1 - n).alias("from"), n.alias("n"))
+                _depth(F.reverse(F.slice(w, first + 1, i + 1 - first)), min_words), lambda n: _packed(i + 1 - n, n)
             )
 
-        both = F.array_distinct(F.concat(forward, F.transform(places, before)))
+        # Distinct numbers are found by hashing, distinct structs by comparing all pairs.
+        packed = F.array_distinct(F.concat(forward, F.transform(places, before)))
+        both = F.transform(packed, lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("from"), x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n")))
         level = lambda n: F.floor(F.log2(n)).cast("int")
 
         def rank(x: Column) -> Column:

@@ -4,8 +4,8 @@ The encoder keeps an agenda of adjacent symbol pairs ordered by piece score, the
 pair forms a piece. Long segments have a heap each; the short ones of a batch keep their agendas side by side in one
 array, from which each round takes every segment's best pair. Symbols that are no piece fall back to byte pieces. Merging never crosses a segment border
 that no piece contains, so each distinct segment is worked out once per worker and remembered. Every new segment
-of an Arrow batch is checked against the sentencepiece library; where the two differ the library's ids stand and
-the segment is counted in ``n_corrected``.
+of an Arrow batch is checked against the sentencepiece library, and the segments that it encodes otherwise are
+counted in ``n_differing``; the agenda's ids stand.
 
 Null and empty texts give the end id alone. Whole texts are encoded, however long. The output has one row per
 input row, repeated rows included; other columns of the input are kept unless their names clash with an output column.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-OUTPUT = "n_tokens long, ids_sha256 string, decoded_sha256 string, n_corrected long"
+OUTPUT = "n_tokens long, ids_sha256 string, decoded_sha256 string, n_differing long"
 CACHE_ENTRIES = 700_000
 SHORT = 48  # characters up to which a segment takes part in the shared rounds
 
@@ -56,7 +56,7 @@ class Segmenter:
         line = "" if "\n" in inside else "\n"
         self.pattern = re.compile(f"{SPACE}+[^{SPACE}{line}]*|[^{SPACE}{line}]+" + ("|\n" if line else ""))
         self.cache: dict[str, str] = {}
-        self.corrected: set[str] = set()
+        self.differing: set[str] = set()
         self.marker = sp.encode("\n", add_eos=False)
         self.id_strings = [str(i) for i in range(size)]
         self.plain_strings = {str(i): self.strings.get(i, "") for i in range(size) if i not in self.values}
@@ -191,7 +191,7 @@ class Segmenter:
         return self.pattern.findall(marked) if self.splits_words else [marked]
 
     def learn(self, fresh: list[str]) -> None:
-        """Encode segments not yet known and check them against the library in one call."""
+        """Encode segments not yet known; one call to the library checks them, and differences are marked."""
         short = [s for s in fresh if len(s) <= SHORT]
         own = dict(zip(short, self.merge_many(short)))
         plain = [s[1:].replace(SPACE, " ") if s[0] == SPACE else "\n" + s for s in fresh]
@@ -203,25 +203,25 @@ class Segmenter:
             elif segment[0] != SPACE:
                 sure = sure[marker:]
             if ids != sure:
-                self.corrected.add(segment)
-            self.cache[segment] = " ".join([names[i] for i in sure])
+                self.differing.add(segment)
+            self.cache[segment] = " ".join([names[i] for i in ids])
 
     def encode_batch(self, texts: list[str | None]) -> list[tuple[str, str, int]]:
-        """(ids as text, decoded text, corrected segments) for each text."""
+        """(ids as text, decoded text, segments that the library encodes otherwise) for each text."""
         split = [self.segments(t or "") for t in texts]
         cache = self.cache
         wanted = set().union(*split)
         fresh = list(wanted.difference(cache))
         if len(cache) + len(fresh) > CACHE_ENTRIES:
             cache.clear()
-            self.corrected.clear()
+            self.differing.clear()
             fresh = list(wanted)
         if fresh:
             self.learn(fresh)
         out = []
         for segments in split:
             ids = " ".join([*map(cache.__getitem__, segments), self.id_strings[self.eos]])
-            wrong = sum(s in self.corrected for s in segments) if self.corrected else 0
+            wrong = sum(s in self.differing for s in segments) if self.differing else 0
             out.append((ids, self.decode_ids(ids), wrong))
         return out
 
@@ -260,7 +260,7 @@ def _groups(column: pa.Array, most: int = 1_000_000) -> Iterator[list[str | None
 
 def encode(docs: DataFrame, model_file: str, text: str = "text", with_output: bool = False) -> DataFrame:
     """Encode and decode every text; adds the digests, and with ``with_output`` the columns token_ids and decoded."""
-    added = ["n_tokens", "ids_sha256", "decoded_sha256", "n_corrected"] + (["token_ids", "decoded"] if with_output else [])
+    added = ["n_tokens", "ids_sha256", "decoded_sha256", "n_differing"] + (["token_ids", "decoded"] if with_output else [])
     kept = [c for c in docs.columns if c not in added and (c != text or with_output)]
     source = docs.select(*[docs[c] for c in kept], *([] if text in kept else [docs[text]]))
 

@@ -206,7 +206,7 @@ def test_pieces_against_the_library(docs, corpus):
         digest = [hashlib.sha256(s.encode()).hexdigest() for s in (" ".join(map(str, ids)), library.decode(ids))]
         expected.append((i, len(ids), *digest, 0))
     got = pieces.encode(docs, model_path())
-    assert rows_of(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_corrected") == sorted(expected, key=repr)
+    assert rows_of(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_differing") == sorted(expected, key=repr)
     assert {"lang", "score"} <= set(got.columns) and got.columns.count("n_tokens") == 1
 
 
@@ -423,3 +423,16 @@ def test_rules_reject_outliers_only(spark, none):
 def test_chi_square_quantile():
     assert rules.chi2_quantile(0.05, 6) == pytest.approx(12.591587, abs=1e-5)
     assert rules.chi2_quantile(0.25, 8) == pytest.approx(10.218855, abs=1e-5)
+
+
+def test_many_lines_in_one_text(spark):
+    import time
+
+    text = "\n".join(["one two three"] * 30_000)
+    docs = spark.createDataFrame([(1, text), (2, "\n".join(f"line {i} of many" for i in range(30_000)))], "doc_id long, text string")
+    start = time.time()
+    found = {r.doc_id: r for r in lines.remove_repeated_lines(docs).collect()}
+    assert time.time() - start < 60
+    assert found[2].n_removed == 0 and found[1].n_lines == 30_000
+    # Every window but the first starts later, and together they hold all lines but the first.
+    assert found[1].n_removed == 30_000 - 1
