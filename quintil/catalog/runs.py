@@ -354,11 +354,17 @@ def g4(spark, sf_dir):
     return selection.recommended_region(summary(spark, sf_dir), 0.02)
 
 
-@query("g5_sweep_report", tidy_sql(f"""{NEAR} SELECT run_id, mean_test_score AS best_score, std_test_score AS best_std, (SELECT mean_test_score {SIMPLEST}) AS simplest_score,
-  overfit_gap AS best_overfit_gap, overfit_gap > 0.10 AS overfit_warning, ({REGION}) AS recommended_region FROM ranked ORDER BY mean_test_score DESC LIMIT 1""",
-  "best_score best_std simplest_score best_overfit_gap"))
+CONFIG = "concat_ws(', ', " + ", ".join(
+    f"'{p}=' || CAST({f'CAST({p} AS DOUBLE)' if p in ('learning_rate', 'l2_regularization') else p} AS VARCHAR)" for p in selection.REGION_PARAMS
+) + ")"
+
+
+@query("g5_sweep_report", tidy_sql(f"""{NEAR}, simplest AS (SELECT mean_test_score AS score, {CONFIG} AS config {SIMPLEST})
+  SELECT run_id, mean_test_score AS best_score, std_test_score AS best_std, {CONFIG} AS best_config, (SELECT score FROM simplest) AS simplest_score,
+  (SELECT config FROM simplest) AS simplest_config, overfit_gap AS best_overfit_gap, overfit_gap > 0.10 AS overfit_warning, ({REGION}) AS recommended_region
+  FROM ranked ORDER BY mean_test_score DESC LIMIT 1""", "best_score best_std simplest_score best_overfit_gap"))
 def g5(spark, sf_dir):
-    return tidy(selection.sweep_report(summary(spark, sf_dir), 0.02).drop("best_config", "simplest_config"))
+    return tidy(selection.sweep_report(summary(spark, sf_dir), 0.02))
 
 
 @query("k6_hgb_sweep_tables", tidy_sql(f"""WITH {GRID} SELECT 'sweep_summary' AS artifact, count(*) AS n, avg(mean_test_score) AS mean_score FROM ranked

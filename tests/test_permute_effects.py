@@ -71,5 +71,5 @@ def test_view_keeps_the_frame(spark):
     viewed, kept, facts = effects.apply_view(geo(spark), ["Region", "AGLO_rk"], "clean", ["AGLO_rk", "Reg_rk"])
     assert kept == ["Region"] and "AGLO_rk" in viewed.columns
     assert facts["dropped_columns_present"] == ["AGLO_rk"] and facts["dropped_columns_missing"] == ["Reg_rk"]
-    with pytest.raises(ValueError, match="Forbidden"):
+    with pytest.raises(ValueError, match="leak the target"):
         effects.apply_view(geo(spark), ["P47T"])
