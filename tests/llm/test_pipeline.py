@@ -52,4 +52,4 @@ def test_stages_keep_the_columns_of_documents(spark, sf_dir):
 
 def test_every_operator_is_registered_once():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11)) and set(TWINS) <= set(QUERIES)
+    assert numbers == list(range(1, 14)) and set(TWINS) <= set(QUERIES)
