@@ -66,6 +66,19 @@ def j5(spark, sf_dir):
     return one_feature(spark, sf_dir, "Ridge", 250.0, None)
 
 
+# One set of levels under ridge: a level's weight is its mean less the intercept, drawn in by n / (n + alpha); the
+# intercept is the mean of the level means with weights n / (n + alpha).
+@query("j5_ridge_sparse_levels", tidy_sql(f"""{TRAIN}, g AS (SELECT CAST(AGLOMERADO AS VARCHAR) AS level, count(*) AS n, avg({TARGET}) AS m FROM train GROUP BY ALL),
+  b AS (SELECT sum(n / (n + 40.0) * m) / sum(n / (n + 40.0)) AS b FROM g)
+  SELECT 'cat__AGLOMERADO_' || level AS feature, n / (n + 40.0) * (m - b) AS coefficient, b AS intercept FROM g, b""", "coefficient intercept", 5))
+def j5_sparse(spark, sf_dir):
+    products = linear.training_set(train_rows(spark, sf_dir), ["AGLOMERADO"], TARGET, categorical=["AGLOMERADO"], matrix_levels=0)
+    fit, _, _ = products.fit(-1, 40.0)
+    products.close()
+    weights = linear.coefficient_frame(spark, fit, "Ridge").select("feature", "coefficient")
+    return tidy(weights.withColumn("intercept", F.lit(float(fit.model.intercept))), 5)
+
+
 @query("j6_lasso", one_feature_sql("sign(g) * greatest(abs(g) - 0.0005, 0)"))
 def j6(spark, sf_dir):
     return one_feature(spark, sf_dir, "Lasso", 0.0005, 1.0)

@@ -13,8 +13,6 @@ from quintil.functions.quantiles import exact_percentiles
 from quintil.session import settle
 
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
-# Bound on the levels of all categorical columns together; the design is p x p on the driver.
-MAX_LEVELS = 4000
 
 
 def feature_types(df: DataFrame, features: Sequence[str], categorical: Sequence[str] = ()) -> tuple[list[str], list[str]]:
@@ -31,8 +29,8 @@ def missing_as_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.nanvl(F.col(f"`{c}`"), F.lit(None)) for c in floats}) if floats else df
 
 
-def level_table(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), max_levels: int | None = MAX_LEVELS) -> DataFrame:
-    """Rows per (keys, column, value), refused when there are more than ``max_levels`` levels.
+def level_table(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), max_levels: int | None = None) -> DataFrame:
+    """Rows per (keys, column, value); with ``max_levels``, refused when there are more levels than that.
 
     Counting combines map-side, so a dominant level is one row per task.
     """
@@ -121,7 +119,7 @@ class Preparation:
         return VectorAssembler(inputCols=inputs, outputCol=output).transform(out).drop(*made)
 
 
-def prepare(df: DataFrame, features: Sequence[str], categorical: Sequence[str] = (), max_levels: int | None = MAX_LEVELS) -> Preparation:
+def prepare(df: DataFrame, features: Sequence[str], categorical: Sequence[str] = (), max_levels: int | None = None) -> Preparation:
     """Medians, modes and sorted levels of a training set."""
     numeric, texts = feature_types(df, features, categorical)
     medians: dict[str, float] = {}
@@ -144,10 +142,15 @@ def prepare(df: DataFrame, features: Sequence[str], categorical: Sequence[str] =
 
 
 def one_hot_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows that set each slot: (feature, n). A check on the encoder's output."""
+    """Rows that set each slot: (feature, n). A check on the encoder's output.
+
+    Sparse rows are added map-side, so one vector a task is shuffled, of any number of levels.
+    """
     from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
 
     fitted = prepare(df, columns, columns)
-    slots = fitted.assemble(df, "__v").select(F.posexplode(vector_to_array("__v")).alias("slot", "x"))
+    total = fitted.assemble(df, "__v").agg(Summarizer.sum(F.col("__v")).alias("total"))
+    slots = total.select(F.posexplode(vector_to_array("total")).alias("slot", "x"))
     names = F.array(*[F.lit(n) for n in fitted.names()])
-    return slots.groupBy("slot").agg(F.sum("x").cast("long").alias("n")).select(names[F.col("slot")].alias("feature"), "n")
+    return slots.select(names[F.col("slot")].alias("feature"), F.col("x").cast("long").alias("n"))

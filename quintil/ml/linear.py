@@ -3,7 +3,8 @@
 Spark reduces the rows of every fold to one small matrix of cross-products.
 Any number of penalties, their cross-validation scores and the refits follow
 from these matrices, so a grid costs no further pass over the data. Matrices
-are p x p, and the level bound of the design keeps p small.
+are p x p; ``training_set`` takes wider designs to descent on sparse rows
+(``wide``), which gives the same fits and needs no matrix.
 """
 
 from __future__ import annotations
@@ -24,8 +25,12 @@ from pyspark.storagelevel import StorageLevel
 
 from quintil.functions.quantiles import exact_percentiles
 from quintil.ml.design import Preparation, feature_types, level_table, missing_as_null
+from quintil.ml.wide import SparseTraining
 from quintil.operators.splits import kfold
 
+# Levels of all categorical columns up to which cross-products are one matrix on the driver.
+MATRIX_LEVELS = 4_000
+
 MODEL_NAMES = {
     "linear_regression": "LinearRegression",
     "ridge": "Ridge",
@@ -54,6 +59,10 @@ class LinearFit:
                 total = total + F.coalesce(lookup[self.preparation.text(c)], F.lit(0.0))
         return total
 
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds ``y_pred``."""
+        return df.withColumn("y_pred", self.predict_column())
+
     def contribution(self, columns: Sequence[str]) -> Column:
         """Part of the prediction that a block of columns adds."""
         part = LinearFit(
@@ -84,6 +93,18 @@ class CrossProducts:
     medians: dict[int, dict[str, float]]  # per held-out fold; -1 holds the full training set
     counts: dict[int, dict[str, dict[str, int]]] = field(default_factory=dict)
 
+    @property
+    def held_out(self) -> list[int]:
+        return list(self.grams)
+
+    def fit(
+        self, held_out: int, alpha: float = 0.0, l1_ratio: float | None = None, drop_first: Sequence[str] = ()
+    ) -> tuple[LinearFit, float, float | None]:
+        return fit_view(self, held_out, alpha, l1_ratio, drop_first=drop_first)
+
+    def close(self) -> None:
+        """Nothing is held but the matrices."""
+
     def _training(self, held_out: int) -> np.ndarray:
         return sum(g for f, g in self.grams.items() if f != held_out)
 
@@ -136,6 +157,27 @@ class CrossProducts:
         return view, labels, modes
 
 
+def training_set(
+    df: DataFrame,
+    features: Sequence[str],
+    target: str,
+    folds: int = 0,
+    categorical: Sequence[str] = (),
+    key: str = "row_id",
+    matrix_levels: int = MATRIX_LEVELS,
+) -> CrossProducts | SparseTraining:
+    """Cross-products, or sparse rows where the design is too wide for a matrix; both give the same fits where these are unique.
+
+    Levels are estimated in one pass of sketches.
+    """
+    _, texts = feature_types(df, features, categorical)
+    if texts:
+        counted = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`").cast("string")).alias(f"n{i}") for i, c in enumerate(texts)]).first()
+        if sum(counted) > matrix_levels:
+            return SparseTraining(df, features, target, folds, categorical, key)
+    return cross_products(df, features, target, folds, categorical, key)
+
+
 def cross_products(
     df: DataFrame,
     features: Sequence[str],
@@ -337,20 +379,20 @@ class GridResult:
 
 
 def grid_search(
-    products: CrossProducts,
+    products: CrossProducts | SparseTraining,
     model: str,
     alphas: Sequence[float] = (0.0,),
     l1_ratios: Sequence[float] = (1.0,),
     drop_first: Sequence[str] = (),
 ) -> GridResult:
-    """Cross-validated scores of a penalty grid, all from stored cross-products."""
+    """Cross-validated scores of a penalty grid; from cross-products they cost no pass over the data."""
     start = time.perf_counter()
     ratios = list(l1_ratios) if model == "elastic_net" else [None if model in ("ridge", "linear_regression") else 1.0]
     points = [(0.0 if model == "linear_regression" else float(a), r) for a in alphas for r in ratios]
     scored = []
     for alpha, ratio in points:
         began = time.perf_counter()
-        fits = [fit_view(products, f, alpha, ratio, drop_first=drop_first) for f in products.grams]
+        fits = [products.fit(f, alpha, ratio, drop_first) for f in products.held_out]
         spent = (time.perf_counter() - began) / len(fits)
         tests, trains = np.array([f[2] for f in fits]), np.array([f[1] for f in fits])
         scored.append((alpha, ratio, spent, float(tests.mean()), float(tests.std()), float(trains.mean())))
@@ -360,7 +402,7 @@ def grid_search(
         for a, r, t, m, s, tr in scored
     ]
     best = max(scored, key=lambda row: row[3])
-    fit, _, _ = fit_view(products, -1, best[0], best[1], drop_first=drop_first)
+    fit, _, _ = products.fit(-1, best[0], best[1], drop_first)
     params = {} if model == "linear_regression" else {"alpha": best[0]} | ({"l1_ratio": best[1]} if model == "elastic_net" else {})
     return GridResult(rows, params, best[3], best[4], fit, time.perf_counter() - start)
 
@@ -374,12 +416,12 @@ def coefficient_frame(spark: SparkSession, fit: LinearFit, model: str, run_id: s
     return spark.createDataFrame(rows, "run_id string, model string, feature string, coefficient double")
 
 
-def regularization_path(spark: SparkSession, products: CrossProducts, model: str, alphas: Sequence[float]) -> DataFrame:
+def regularization_path(spark: SparkSession, products: CrossProducts | SparseTraining, model: str, alphas: Sequence[float]) -> DataFrame:
     """Scores, norms and sparsity by alpha; every alpha is refitted on all rows."""
     search = grid_search(products, model, list(dict.fromkeys(float(a) for a in alphas)))
     rows = []
     for name, alpha, _, seconds, mean, std, train, _ in search.rows:
-        fit, _, _ = fit_view(products, -1, alpha, None if model == "ridge" else 1.0)
+        fit, _, _ = products.fit(-1, alpha, None if model == "ridge" else 1.0)
         w = np.array([c for _, c in fit.coefficients()])
         rows.append((name, alpha, train, mean, std, seconds, float(np.abs(w).sum()), float(np.sqrt((w**2).sum())), int((np.abs(w) > 1e-10).sum())))
     return spark.createDataFrame(sorted(rows, key=lambda r: r[1]), PATH_SCHEMA)

@@ -27,6 +27,7 @@ from quintil.operators.splits import kfold, stratified_kfold
 from quintil.session import settle
 
 BOOSTED = ("hist_gradient_boosting", "boosted_classifier")
+LEVEL_BOUNDS = {"polynomial_lasso": 4_000}  # products of all pairs of slots are dense; other models work on sparse rows or codes
 CLASSIFIERS = ("logistic", "random_forest_classifier", "boosted_classifier", "linear_svm")
 
 
@@ -74,7 +75,8 @@ def estimator(model: str, params: Mapping[str, object], rows: int, seed: int = 4
     """Spark ML estimator for a model name and its grid parameters.
 
     Spark scales by the sample deviation; penalties are adjusted so that they act
-    on features scaled by the population deviation.
+    on features scaled by the population deviation. The intercept is not
+    penalised, so features need no centring and stay sparse.
     """
     check_model(model, params)
     p = dict(params)
@@ -105,7 +107,7 @@ def estimator(model: str, params: Mapping[str, object], rows: int, seed: int = 4
         penalty = {None: (0.0, 0.0), "l2": (1.0, 0.0), "l1": (1.0, 1.0)}[p.get("penalty")]
         strength = 1.0 / (float(p.get("C", 1.0)) * rows) * (shrink**0.5 if penalty[1] else shrink)
         stages = [
-            StandardScaler(inputCol="features", outputCol="__scaled", withMean=True),
+            StandardScaler(inputCol="features", outputCol="__scaled", withMean=False),
             LogisticRegression(
                 featuresCol="__scaled", labelCol="label", regParam=penalty[0] * strength, elasticNetParam=penalty[1],
                 standardization=False, maxIter=int(p.get("max_iter", 100)),
@@ -120,7 +122,7 @@ def estimator(model: str, params: Mapping[str, object], rows: int, seed: int = 4
         ]
     else:
         stages = [
-            StandardScaler(inputCol="features", outputCol="__scaled", withMean=True),
+            StandardScaler(inputCol="features", outputCol="__scaled", withMean=False),
             LinearSVC(
                 featuresCol="__scaled", labelCol="label", regParam=shrink / (float(p.get("C", 1.0)) * rows),
                 standardization=False, maxIter=int(p.get("max_iter", 100)),
@@ -176,7 +178,7 @@ def fit_model(
     try:
         if model in BOOSTED:
             return FittedBooster(boosting.fit(used, features, target, boost_settings(model, params or {}, seed), categorical))
-        prepared = prepare(used, features, categorical)
+        prepared = prepare(used, features, categorical, LEVEL_BOUNDS.get(model))
         vectors = _vectors(used, prepared, target).persist(StorageLevel.MEMORY_AND_DISK)
         rows = vectors.count()
         return FittedModel(prepared, estimator(model, params or {}, rows, seed).fit(vectors))
@@ -236,7 +238,7 @@ def _fold(
 
         yield boosted, coded[0.0], boosting.blocks_of(outside, encoder, target)
         return
-    prepared = prepare(inside, features, categorical)
+    prepared = prepare(inside, features, categorical, LEVEL_BOUNDS.get(model))
     fit_rows = _vectors(inside, prepared, target).persist(StorageLevel.MEMORY_AND_DISK)
     test_rows = _vectors(outside, prepared, target).persist(StorageLevel.MEMORY_AND_DISK)
     try:

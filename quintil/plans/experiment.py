@@ -89,10 +89,10 @@ def run_experiment(
         name = linear.MODEL_NAMES.get(key, key)
         if key in LINEAR:
             if products is None:
-                products = linear.cross_products(train, features, target, spec.folds, categorical)
+                products = linear.training_set(train, features, target, spec.folds, categorical)
             alphas = list(grid.get("alpha", (1.0,)))
             result = linear.grid_search(products, key, alphas, grid.get("l1_ratio", (1.0,)), drop_first)
-            scored.append(predict_frame(held, result.fit.predict_column(), run_id, name, target))
+            scored.append(predict_frame(result.fit.transform(held), F.col("y_pred"), run_id, name, target))
             cv_frames.append(linear.cv_frame(spark, result))
             coefficient_frames.append(linear.coefficient_frame(spark, result.fit, name, run_id))
             if key in ("ridge", "lasso"):
@@ -103,6 +103,9 @@ def run_experiment(
             cv_frames.append(models.search_frame(spark, result, name))
         facts.append((name, json.dumps(result.best_params, sort_keys=True), len(features), result.best_score, result.best_std, result.seconds))
 
+    if products is not None:
+        products.close()
+
     predictions = scored[0]
     for other in scored[1:]:
         predictions = predictions.unionByName(other)
