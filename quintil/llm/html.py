@@ -4,9 +4,12 @@ A page is read into blocks of text in page order; each block knows whether marku
 form, comments and the like) or puts it into an article. Pages are ordered by URL path within their host and paired with
 the neighbour that shares the longer beginning of the path. The blocks of a pair are aligned by a longest common
 subsequence. Blocks in a named place go; where the page marks no article, blocks shared with the pair go too. Blocks of
-a marked article stay even if the pair shares them, since articles quote and copy each other.
+a marked article stay even if the pair shares them, since articles quote and copy each other. The alignment decides on an
+article's paragraphs and headings whose class only holds such a name as a part (``share-line``, ``related-work``): those
+that the pair shares go, the others stay. Of an article's own header the headings stay.
 
-Null html counts as empty and gives an empty text. Unclosed and cut-off markup is read as far as it goes. A null URL has
+Null html counts as empty and gives an empty text. Unclosed and cut-off markup is read as far as it goes: an element such
+as a script that is never closed ends at the next tag, and a self-closed drawing or formula holds nothing. A null URL has
 the empty host. Equal rows are paired once and each keeps its row. Other columns are not kept, but for ``kept``.
 """
 
@@ -26,7 +29,7 @@ from pyspark.sql import types as T
 
 from quintil.operators.order import order_rank
 
-OUT, NEUTRAL, MAIN = 0, 1, 2
+OUT, NEUTRAL, MAIN, UNSURE = 0, 1, 2, 3  # unsure: in an article, under a name that only holds a place's name as a part
 # Element names of HTML by their role in a page.
 RAW = frozenset("script style textarea title noscript template svg math iframe object xmp noembed noframes".split())
 HIDDEN = frozenset("nav footer aside form button select dialog menu head datalist".split())
@@ -50,6 +53,8 @@ NAMES = re.compile(
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?<![\w=-])(hidden)(?![\w=-])")
 SPACE = re.compile(r"\s+")
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
+NEXT_TAG = re.compile(r"<[a-zA-Z/!]")
 
 
 def _marked(tag: str, attributes: str) -> bool:
@@ -67,6 +72,17 @@ def _marked(tag: str, attributes: str) -> bool:
     return False
 
 
+def _named_in_part(attributes: str) -> bool:
+    """Whether what marks a place is a part of a class or identifier, and nothing else."""
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
+        if m[5] or name in ("aria-hidden", "style", "role") and _marked("p", m[0]):
+            return False
+        if name in ("class", "id") and any(NAMES.fullmatch(part) for part in value.split()):
+            return False
+    return True
+
+
 def blocks(page: str | None) -> list[tuple[str, int]]:
     """(text, zone) of each block that holds text."""
     page = page or ""
@@ -74,7 +90,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     parts: list[str] = []
     stack: list[tuple[str, int]] = []  # open nesting elements and the zone inside them
     zone, single, at = NEUTRAL, None, 0  # single: zone of an open block that is not nested, such as a named paragraph
-    lower = None
+    endless: set[str] = set()  # elements known not to be closed any more
 
     def flush() -> None:
         nonlocal single
@@ -92,9 +108,13 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             continue
         closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if name in RAW and not closing:
-            lower = page.lower() if lower is None else lower
-            end = lower.find(f"</{name}", at) if len(lower) == len(page) else page.find(f"</{name}", at)
-            at = len(page) if end < 0 else end
+            if name in ("svg", "math") and attributes.rstrip().endswith("/"):
+                continue
+            end = None if name in endless else ENDS[name].search(page, at)
+            if end is None:
+                endless.add(name)
+                end = NEXT_TAG.search(page, at)
+            at = end.start() if end else len(page)
             continue
         if name in BLOCKS:
             flush()
@@ -124,7 +144,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             if name in HEADINGS and zone == OUT and stack and stack[-1] == ("header", MAIN):
                 single = MAIN  # the title of an article
             elif zone != OUT and _marked(name, attributes):
-                single = OUT
+                single = UNSURE if zone == MAIN and _named_in_part(attributes) else OUT
     parts.append(page[at:])
     flush()
     return out
@@ -242,7 +262,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
 def _main_text(packed: bytes, zones: str, ids: list[int], theirs: list[int] | None) -> tuple[str, int, int]:
     texts = zstandard.ZstdDecompressor().decompress(packed).decode().split("\n") if zones else []
     shared = common(ids, theirs) if theirs else set()
-    chosen = [t for t, zone in zip(texts, zones) if zone == str(MAIN)]
+    chosen = [t for i, (t, zone) in enumerate(zip(texts, zones)) if zone == str(MAIN) or zone == str(UNSURE) and i not in shared]
     if not chosen:
         chosen = [t for i, (t, zone) in enumerate(zip(texts, zones)) if zone == str(NEUTRAL) and i not in shared]
     return "\n\n".join(chosen), len(texts), len(shared)

@@ -132,7 +132,8 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool").otherwise(F.col("role"))
     schemas = spark.createDataFrame([("answer", "question", "string", True), ("answer", "after", "string", False)], "name string, argument string, kind string, required boolean")
     found = toolcalls.format_chat(talk.select("conv_id", "turn", role.alias("role"), text.alias("text")), schemas)
-    return found.select("conv_id", "kind", "place", "turn", "call_id", F.array_join("errors", " ").alias("errors"), "json")
+    place = [F.col("place.turn").alias("place_turn"), F.col("place.step").alias("place_step")]
+    return found.select("conv_id", "kind", *place, "turn", "call_id", F.array_join("errors", " ").alias("errors"), "json")
 
 
 TWINS["op10_tool_calls"] = r"""
@@ -157,9 +158,9 @@ WITH asked AS (
     '{"content":' || to_json('{"tool_call_id":' || to_json(r.id) || ',"content":' || to_json(r.text) || '}') || ',"role":"tool"}'
   FROM answers r LEFT JOIN asked a ON a.conv_id = r.conv_id AND a.id = r.id WHERE a.id IS NULL
 )
-SELECT conv_id, 'call' AS kind, turn * 1048576 AS place, turn, id AS call_id, errors, json FROM calls
+SELECT conv_id, 'call' AS kind, CAST(turn AS BIGINT) AS place_turn, CAST(0 AS BIGINT) AS place_step, turn, id AS call_id, errors, json FROM calls
 UNION ALL
-SELECT conv_id, 'message', turn * 1048576, turn, id, '', json FROM rest
+SELECT conv_id, 'message', CAST(turn AS BIGINT), CAST(0 AS BIGINT), turn, id, '', json FROM rest
 """
 
 

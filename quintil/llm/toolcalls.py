@@ -9,7 +9,8 @@ call. Calls keep the order of their turns unless one refers to a later one: from
 above those it refers to until all are. Arguments are checked against schemas (missing, unknown, wrong kind). Every row
 is written as canonical JSON: keys sorted, no blanks, no nulls among a call's own fields.
 
-One row per message or call, ordered within its conversation by (place, turn, position). Of calls that share an
+One row per message or call, ordered within its conversation by (place, turn, position). A place is a structure of a turn
+and a step, the call's own or one step behind the last call it refers to, so turns and calls may be any number. Of calls that share an
 identifier the first stands and the others are marked, as are calls without one; of results that share one the first is
 linked and the others stay messages, as do results that no call asked for. References to unknown calls, to itself or in
 circles are errors; calls in a circle, or behind one, have a null place. Null conversations are one of their own, null
@@ -24,7 +25,10 @@ from pyspark.sql import functions as F
 
 from quintil.session import settle
 
-SHIFT = 1 << 20  # calls of one turn that keep their order
+
+def _place(turn: Column, step: Column) -> Column:
+    """A place in a conversation; null turns come first."""
+    return F.struct(turn.alias("turn"), step.cast("long").alias("step"))
 
 
 def parse(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -111,7 +115,7 @@ def places(calls: DataFrame) -> DataFrame:
 
     ``calls`` has one row per (k, id). Rounds only touch calls that stand before one they refer to.
     """
-    start = (F.col("turn") * SHIFT + F.col("position")).cast("long")
+    start = _place(F.col("turn"), F.col("position"))
     now = settle(calls.select("k", "id", "needs", start.alias("place")))
     links = now.select("k", "id", F.explode("needs").alias("need")).where("id <> need")
     edges = settle(links.join(now.select("k", F.col("id").alias("need")), ["k", "need"]).select("k", "id", "need"))
@@ -126,7 +130,7 @@ def places(calls: DataFrame) -> DataFrame:
             now.where("NOT circle")
             .join(behind, ["k", "id"])
             .where(late)
-            .select("k", "id", (F.col("last.place") + 1).alias("up"), (F.col("last.hops") + 1).alias("far"), "lost")
+            .select("k", "id", _place(F.col("last.place.turn"), F.col("last.place.step") + 1).alias("up"), (F.col("last.hops") + 1).alias("far"), "lost")
         )
         if raised.isEmpty():
             return now.select("k", "id", F.when(~F.col("circle"), F.col("place")).alias("place"))
@@ -175,7 +179,7 @@ def format_chat(
     )
     mark = F.array(F.when(F.col("id").isNull(), "no_id").otherwise("repeated_id"))
     own = F.struct(F.col("arguments").alias("arguments"), mark.alias("errors"), F.col("id").alias("id"), F.col("name").alias("name"))
-    start = (F.col("turn") * SHIFT + F.col("position")).cast("long")
+    start = _place(F.col("turn"), F.col("position"))
     others = spare.select("k", "conv", F.lit("call").alias("kind"), start.alias("place"), "turn", "position", F.col("id").alias("call_id"), "name", mark.alias("errors"), F.to_json(own).alias("json"))
     # Results that were linked are part of their call; the rest are messages.
     used = joined.where("answer IS NOT NULL").select("k", F.col("id").alias("result_of"), F.col("answer.turn").alias("taken"), F.col("answer.json").alias("taken_json"))
@@ -183,7 +187,7 @@ def format_chat(
     plain = plain.where(~F.coalesce((F.col("turn") == F.col("taken")) & F.to_json("content").eqNullSafe(F.col("taken_json")), F.lit(False)))
     said = F.to_json(F.struct(F.col("text").alias("content"), F.col("role").alias("role")), {"ignoreNullFields": "false"})
     spoken = plain.select(
-        "k", "conv", F.lit("message").alias("kind"), (F.col("turn") * SHIFT).alias("place"), "turn", F.lit(0).alias("position"),
+        "k", "conv", F.lit("message").alias("kind"), _place(F.col("turn"), F.lit(0)).alias("place"), "turn", F.lit(0).alias("position"),
         F.col("result_of").alias("call_id"), F.lit(None).cast("string").alias("name"), F.array().cast("array<string>").alias("errors"), said.alias("json"),
     )
     out = linked.unionByName(others).unionByName(spoken)

@@ -22,6 +22,10 @@ def page(body, title="t"):
         ("<article><ul><li>x<li>y</ul><table><tr><td>1<td>2<tr><td>3</table>", ["x", "y", "1 2", "3"]),
         ("<article><p>cut off &am", ["cut off &am"]),
         ("a < b > c", ["a < b > c"]),
+        ("<article><p>one</p><svg/><p>two</p><math /><p>three</p></article>", ["one", "two", "three"]),
+        ("<article><p>one</p><svg><path><p>two</p><script>x = 1<p>three</p><svg><g><p>four</p></article>", ["one", "two", "three", "four"]),
+        ("<article><p>\u0130one</p><SCRIPT>'</scripted>'</Script ><p>two</p></article>", ["\u0130one", "two"]),
+        ("<article><p class=ad>no</p><p class='x ad'>no</p><p id=related>no</p><p class='related-work' hidden>no</p><p>yes</p></article>", ["yes"]),
     ],
 )
 def test_blocks(markup, expected):
@@ -61,6 +65,22 @@ def test_pages_lose_what_the_nearest_page_shares(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_alignment_decides_on_names_in_part(spark):
+    share = "<p class='share-line'>Share this</p>"
+    texts = {1: f"<p>one</p>{share}<p class='related-work'>Earlier studies</p>", 2: f"<p>two</p>{share}"}
+    rows = [(i, f"http://a.x/{i}", page(f"<article>{t}</article>")) for i, t in texts.items()] + [(3, "http://b.x/", page(f"<article>{share}</article>"))]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "one\n\nEarlier studies", 2: "two", 3: "Share this"}
+
+
+def test_long_and_null_pages_with_clashing_columns(spark):
+    long = "".join(f"<p>block {i}</p><svg>" for i in range(30_000))
+    rows = [(1, "http://a.x/1", page(f"<article>{long}</article>"), "r", "k", 1), (2, None, None, None, None, None), (3, "http://a.x/2", "", "", "", 2)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, row string, k string, rank long")
+    got = {r.page_id: r.text for r in html.extract(frame).collect()}
+    assert got == {1: "\n\n".join(f"block {i}" for i in range(30_000)), 2: "", 3: ""}
+
+
 # Tool calls
 
 SCHEMA = [("add", "a", "integer", True), ("add", "b", "number", False), ("say", "text", "string", True)]
@@ -129,3 +149,19 @@ def test_chat_of_repeated_and_no_rows(spark, schemas):
     rows = [(1, 0, "assistant", ask(call("x", "say", {"text": "t"})))] * 2 + [(1, 1, "user", "u")] * 2
     assert sorted(r.kind for r in chat(spark, rows, schemas)) == ["call", "message", "message"]
     assert chat(spark, [], schemas) == []
+
+
+def test_turns_and_calls_of_any_number(spark, schemas):
+    """Turns near the largest long, a null turn, more than 2^20 steps apart, a very long text, extra columns."""
+    far = 2**62
+    rows = [
+        (1, far, "assistant", ask(call("a", "say", {"text": "$b"}), call("c", "say", {"text": "x" * 500_000}))),
+        (1, far + 1, "assistant", ask(call("b", "say", {"text": "t"}))),
+        (1, far + 1, "user", "later"),
+        (1, None, "assistant", ask(call("n", "say", {"text": "$c"}))),
+    ]
+    got = {(r.kind, r.call_id): r for r in chat(spark, rows, schemas)}
+    at = {i: tuple(got["call", i].place) for i in "abcn"}
+    assert at == {"c": (far, 1), "b": (far + 1, 0), "a": (far + 1, 1), "n": (far, 2)}
+    assert all(got["call", i].errors == [] for i in "abcn")
+    assert tuple(got["message", None].place) == (far + 1, 0)
