@@ -175,7 +175,7 @@ def format_chat(
     )
     # What is not the first call of its identifier.
     spare = calls.join(single.select("k", "id", F.col("turn").alias("t1"), F.col("position").alias("p1")), ["k", "id"], "left").where(
-        F.col("t1").isNull() | (F.struct("turn", "position") > F.struct("t1", "p1"))
+        F.col("p1").isNull() | (F.struct("turn", "position") > F.struct("t1", "p1"))
     )
     mark = F.array(F.when(F.col("id").isNull(), "no_id").otherwise("repeated_id"))
     own = F.struct(F.col("arguments").alias("arguments"), mark.alias("errors"), F.col("id").alias("id"), F.col("name").alias("name"))
