@@ -92,7 +92,8 @@ def boxplot_stats(df: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows outside the 1.5 IQR fences, per column."""
+    """Rows outside the 1.5 IQR fences, per column. The columns are written once and share every pass."""
+    df = settle(df.select(*[F.col(f"`{c}`") for c in columns]))
     spec = {c: {f"{c}__q1": 0.25, f"{c}__q3": 0.75} for c in columns}
     fences = percentile_columns(df, [], spec).first()
     counts = []
