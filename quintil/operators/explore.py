@@ -11,8 +11,8 @@ from pyspark.sql import Window as W
 
 from quintil.functions.quantiles import percentile_columns
 from quintil.operators.metrics import join_null_safe
-from quintil.operators.order import average_rank_of_rows
-from quintil.session import settle, side_table
+from quintil.operators.order import average_ranks
+from quintil.session import BROADCAST_ROWS, settle, side_table
 
 # Cut-offs used before plotting, as fixed values: (column, above, below).
 FILTERS = {
@@ -123,34 +123,34 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Absolute rank correlation of every column pair, highest first; NaN counts as NULL.
 
     A pair is ranked on the rows that have both values. A column therefore has one set of ranks for all partners without
-    NULLs, and one more for each partner with some. All sets are ranked in one range sort, and the ranks meet again by row
-    in one shuffle.
+    NULLs, and one more for each partner with some. Equal values have equal ranks in every set: values are counted first,
+    the ranks of all sets come from one range sort of the distinct values, and rows take them by value, column by column, in
+    place of the value. Columns of few values are joined last, by broadcast.
     """
     values = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(f"x{i}") for i, c in enumerate(columns)]
-    rows = settle(df.select(F.monotonically_increasing_id().alias("row"), *values))
+    rows = settle(df.select(*values))
     numbers = range(len(columns))
     nulls = rows.agg(*[F.count_if(F.col(f"x{i}").isNull()).alias(f"x{i}") for i in numbers]).first()
-    pairs = list(combinations(numbers, 2))
-
-    def set_of(column: int, partner: int) -> tuple[int, int | None]:
-        return column, partner if nulls[partner] else None
-
-    sets = {s: i for i, s in enumerate(sorted({set_of(*p) for pair in pairs for p in (pair, pair[::-1])}, key=str))}
-    entries = [
-        F.struct(F.lit(i).alias("grp"), (F.col(f"x{c}") if o is None else F.when(F.col(f"x{o}").isNotNull(), F.col(f"x{c}"))).alias("value"))
-        for (c, o), i in sets.items()
-    ]
-    long = rows.select("row", F.explode(F.array(*entries)).alias("e")).select("e.*", "row").where("value IS NOT NULL")
-    ranks = average_rank_of_rows(long).groupBy("row").agg(*[F.max(F.when(F.col("grp") == i, F.col("avg_rank"))).alias(f"r{i}") for i in sets.values()])
+    holed = [i for i in numbers if nulls[i]]
+    present = [F.lit(1), *[F.col(f"x{o}").isNotNull().cast("int") for o in holed]]
+    entries = [F.struct(F.lit(i).alias("grp"), F.col(f"x{i}").alias("value")) for i in numbers]
+    long = rows.select(F.explode(F.array(*entries)).alias("e"), *[p.alias(f"w{k}") for k, p in enumerate(present)])
+    weights = [f"w{k}" for k in range(len(present))]
+    counts = long.select("e.*", *weights).where("value IS NOT NULL").groupBy("grp", "value").agg(*[F.sum(w).alias(w) for w in weights])
+    ranks = settle(average_ranks(counts, "value", weights, ["grp"]))
+    sizes = {r["grp"]: r["n"] for r in ranks.groupBy("grp").agg(F.count("*").alias("n")).collect()}
+
+    def rank_of(column: int, partner: int) -> Column:
+        return F.col(f"r{column}_{holed.index(partner) + 1 if partner in holed else 0}")
+
+    for i in sorted(numbers, key=lambda i: -sizes.get(i, 0)):
+        own = ranks.where(F.col("grp") == i).select(F.col("value").alias("v"), *[F.col(w).alias(f"r{i}_{k}") for k, w in enumerate(weights)])
+        rows = rows.join(F.broadcast(own) if sizes.get(i, 0) <= BROADCAST_ROWS else own, F.col(f"x{i}") == F.col("v"), "left").drop(f"x{i}", "v")
     correlations = [
-        F.struct(
-            F.lit(columns[a]).alias("variable_1"),
-            F.lit(columns[b]).alias("variable_2"),
-            F.abs(F.corr(f"r{sets[set_of(a, b)]}", f"r{sets[set_of(b, a)]}")).alias("correlation"),
-        )
-        for a, b in pairs
+        F.struct(F.lit(columns[a]).alias("variable_1"), F.lit(columns[b]).alias("variable_2"), F.abs(F.corr(rank_of(a, b), rank_of(b, a))).alias("correlation"))
+        for a, b in combinations(numbers, 2)
     ]
-    return ranks.agg(F.array(*correlations).alias("e")).select(F.explode("e").alias("e")).select("e.*").orderBy(F.desc("correlation"))
+    return rows.agg(F.array(*correlations).alias("e")).select(F.explode("e").alias("e")).select("e.*").orderBy(F.desc("correlation"))
 
 
 def pair_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -163,6 +163,20 @@ def running_counts(df: DataFrame, value: str, weight: str, keys: Sequence[str] =
     Adds ``before``. Used for average ranks and rank sums: ties are combined
     first, so a hot value is one row.
     """
+    return _running_sums(df, value, {"before": weight}, keys)
+
+
+def average_ranks(df: DataFrame, value: str, weights: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Each weight, a count of equal values, becomes the mean rank from 1 of these values; rows are unique on (keys, value).
+
+    The rank is null where the count is zero.
+    """
+    summed = _running_sums(df, value, {f"__before_{w}": w for w in weights}, keys)
+    ranks = [F.when(F.col(w) > 0, F.col(f"__before_{w}") + (F.col(w) + 1) / 2).alias(w) for w in weights]
+    return summed.select(*keys, value, *ranks)
+
+
+def _running_sums(df: DataFrame, value: str, sums: Mapping[str, str], keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     spark = df.sparkSession
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -171,21 +185,20 @@ def running_counts(df: DataFrame, value: str, weight: str, keys: Sequence[str] =
         .withColumn("__part", F.spark_partition_id())
     )
     written = settle(placed)
-    runs = written.groupBy(*keys, "__part").agg(F.sum(weight).alias("__w"))
-    earlier = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))).orderBy("__part")
+    runs = written.groupBy(*keys, "__part").agg(*[F.sum(w).alias(f"__w_{n}") for n, w in sums.items()])
+    earlier = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     offsets = runs.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
         F.col("__part").alias("__p"),
-        F.coalesce(F.sum("__w").over(earlier.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"),
+        *[F.coalesce(F.sum(f"__w_{n}").over(earlier), F.lit(0)).alias(f"__base_{n}") for n in sums],
     )
     local = W.partitionBy(*keys, "__part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    local_sum = F.coalesce(F.sum(weight).over(local), F.lit(0))
-    stepped = written.withColumn("__local", local_sum)
+    stepped = written.select("*", *[F.coalesce(F.sum(w).over(local), F.lit(0)).alias(f"__local_{n}") for n, w in sums.items()])
     condition = stepped["__part"] == offsets["__p"]
     for key in keys:
         condition = condition & stepped[key].eqNullSafe(offsets[f"__k_{key}"])
     joined = stepped.join(offsets if keys else F.broadcast(offsets), condition)
-    return joined.select(*df.columns, (F.col("__base") + F.col("__local")).alias("before"))
+    return joined.select(*df.columns, *[(F.col(f"__base_{n}") + F.col(f"__local_{n}")).alias(n) for n in sums])
 
 
 def add_row_id(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
