@@ -15,14 +15,34 @@ from quintil.operators.order import hash_order
 from quintil.session import settle
 
 PIVOTS = 32
-BLOCK_ROWS = 5_000
-MATRIX_CELLS = 4_000_000  # numbers in a block of differences
+BLOCK_ROWS = 20_000
+MATRIX_CELLS = 4_000_000  # numbers in a block of distances
+SLACK = 1e-11  # share of the squared lengths above any rounding error of a squared distance by products
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(float, copy=False)
 
 
 def _distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(((points[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
 
 
+def _closest_rows(points: np.ndarray, refs: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(point, reference, distance) of at least the ``best`` nearest references of each point, those at equal distance included.
+
+    One matrix product gives all squared distances but for rounding; what it cannot rule out is measured by differences.
+    """
+    own, other = (points * points).sum(axis=1), (refs * refs).sum(axis=1)
+    squares = points @ refs.T
+    squares *= -2.0
+    squares += own[:, None]
+    squares += other[None, :]
+    edge = np.partition(squares, best - 1, axis=1)[:, best - 1] + SLACK * (own + other.max())
+    q, r = np.nonzero(squares <= edge[:, None])
+    return q, r, np.sqrt(((points[q] - refs[r]) ** 2).sum(axis=1))
+
+
 def nearest_neighbors(
     queries: DataFrame,
     references: DataFrame,
@@ -50,7 +70,7 @@ def nearest_neighbors(
         for batch in batches:
             if batch.empty:
                 continue
-            points = np.array(batch["__v"].tolist(), dtype=float)
+            points = _matrix(batch["__v"])
             away = _distances(points, centers)
             cell = away.argmin(axis=1)
             yield pd.DataFrame(
@@ -74,7 +94,7 @@ def nearest_neighbors(
         for batch in batches:
             if batch.empty:
                 continue
-            points = np.array(batch["__v"].tolist(), dtype=float)
+            points = _matrix(batch["__v"])
             away = _distances(points, centers[ids])
             reach = away + radii
             order = reach.argsort(axis=1)
@@ -92,7 +112,7 @@ def nearest_neighbors(
                     "cell": ids[c].astype("int32"),
                     "block": block.astype("int32"),
                     "__id": batch["__id"].to_numpy()[q],
-                    "__v": [batch["__v"].iloc[i] for i in q],
+                    "__v": batch["__v"].to_numpy()[q],
                 }
             )
 
@@ -110,19 +130,17 @@ def nearest_neighbors(
         names = ["query", "neighbor", "distance"]
         if left.empty or right.empty:
             return pd.DataFrame({n: pd.Series(dtype="float64" if n == "distance" else "int64") for n in names})
-        points, refs = (np.array(side["__v"].tolist(), dtype=float) for side in (left, right))
+        points, refs = (_matrix(side["__v"]) for side in (left, right))
         query_ids, ref_ids = left["__id"].to_numpy(), right["__id"].to_numpy()
-        best, rows = min(k, len(refs)), max(1, MATRIX_CELLS // refs.size)
+        best, rows = min(k, len(refs)), max(1, MATRIX_CELLS // len(refs))
         found = []
         for at in range(0, len(points), rows):
-            away = _distances(points[at : at + rows], refs)
-            edge = np.partition(away, best - 1, axis=1)[:, best - 1]
-            q, r = np.nonzero(away <= edge[:, None])  # ties at the edge included
-            order = np.lexsort((ref_ids[r], away[q, r], q))
-            q, r = q[order], r[order]
+            q, r, away = _closest_rows(points[at : at + rows], refs, best)
+            order = np.lexsort((ref_ids[r], away, q))
+            q, r, away = q[order], r[order], away[order]
             ahead = np.arange(len(q)) - np.searchsorted(q, q)
-            q, r = q[ahead < best], r[ahead < best]
-            found.append(pd.DataFrame({"query": query_ids[at + q], "neighbor": ref_ids[r], "distance": away[q, r]}))
+            first = ahead < best
+            found.append(pd.DataFrame({"query": query_ids[at + q[first]], "neighbor": ref_ids[r[first]], "distance": away[first]}))
         return pd.concat(found, ignore_index=True)
 
     schema = T.StructType(
