@@ -274,20 +274,26 @@ def stratified_kfold(df: DataFrame, k: int, label: str, key: str = "row_id", nam
     return joined.withColumn(name, fold).drop("__c", "__starts")
 
 
+def checked_frame(dataset: DataFrame, assignments: DataFrame) -> DataFrame:
+    """Dataset with its splits, after all checks of both."""
+    require_unique(dataset, "row_id", "The dataset")
+    validate_splits(dataset, assignments)
+    return join_splits(dataset, assignments, check=False)
+
+
 def prepare_frame(
     dataset: DataFrame,
-    assignments: DataFrame,
+    assignments: DataFrame | None,
     sample_n: int | None = None,
     folds: int = 5,
     seed: int = 42,
     contract: Contract = Contract(),
 ) -> tuple[DataFrame, list[str]]:
-    """Dataset with splits, optionally sampled, and its feature list."""
-    require_unique(dataset, "row_id", "The dataset")
-    validate_splits(dataset, assignments)
-    joined = join_splits(dataset, assignments, check=False)
+    """Dataset with splits, optionally sampled, and its feature list; without assignments the dataset has its splits."""
+    joined = dataset if assignments is None else checked_frame(dataset, assignments)
     if sample_n is not None:
         joined = settle(stratified_sample(joined, sample_n, seed, max(folds, 2)))
-    features = [c for c in dataset.columns if c not in ("row_id", contract.target)]
+    held = ("row_id", contract.target, *(["split"] if assignments is None else []))
+    features = [c for c in dataset.columns if c not in held]
     reject_forbidden(features, contract)
     return joined, features

@@ -61,11 +61,12 @@ def predict_frame(df: DataFrame, y_pred, run_id: str, model: str, target: str) -
 
 
 def run_experiment(
-    spec: Experiment, dataset: DataFrame, assignments: DataFrame, run_id: str, registry: RunRegistry | None = None
+    spec: Experiment, dataset: DataFrame, assignments: DataFrame | None, run_id: str, registry: RunRegistry | None = None
 ) -> RunResult:
     """Frame, view, effects, fits, predictions, diagnostics, archive.
 
-    The prepared frame is written once, because every model reads it again.
+    The prepared frame is written once, because every model reads it again. Without assignments the dataset already has
+    its checked splits (``splits.checked_frame``).
     """
     spark, target = dataset.sparkSession, spec.contract.target
     joined, features = splits.prepare_frame(dataset, assignments, spec.sample_n, spec.folds, spec.seed, spec.contract)
@@ -218,11 +219,11 @@ def geo_probe(spec: Experiment, dataset: DataFrame, assignments: DataFrame, mate
     Returns (variant scores, reading); ``material`` is the R2 difference that
     counts as one.
     """
-    spark = dataset.sparkSession
+    joined = settle(splits.checked_frame(dataset, assignments))
     scores = []
     for variant, view in GEO_VARIANTS.items():
         run = run_experiment(
-            Experiment(**{**spec.__dict__, "experiment_id": f"{spec.experiment_id}_{variant}", "view": view, "diagnostics": False}), dataset, assignments, variant
+            Experiment(**{**spec.__dict__, "experiment_id": f"{spec.experiment_id}_{variant}", "view": view, "diagnostics": False}), joined, None, variant
         )
         scores.append(run.comparison.select(F.lit(variant).alias("variant"), "model", "feature_count", "cv_r2_mean", "test_r2", "validation_r2"))
     table = settle(_union(scores))
@@ -253,7 +254,11 @@ FIXED_EFFECTS: dict[str, dict[str, object]] = {
 def fixed_effect_study(
     spec: Experiment, dataset: DataFrame, assignments: DataFrame, effects: Sequence[str] = tuple(FIXED_EFFECTS)
 ) -> tuple[DataFrame, DataFrame]:
-    """Linear models with one generated effect each: (scores, effect coefficients)."""
+    """Linear models with one generated effect each: (scores, effect coefficients).
+
+    The dataset is checked, joined with its splits and written once for all of them.
+    """
+    joined = settle(splits.checked_frame(dataset, assignments))
     scores, coefficients = [], []
     for name in effects:
         design = FIXED_EFFECTS[name]
@@ -261,7 +266,7 @@ def fixed_effect_study(
         view = {"name": f"{name}_clean", "drop_columns": design["drop"]}
         run = run_experiment(
             Experiment(**{**spec.__dict__, "experiment_id": f"{spec.experiment_id}_{name}", "view": view, "fixed_effects": [effect], "diagnostics": False}),
-            dataset, assignments, name,
+            joined, None, name,
         )
         scores.append(run.comparison.withColumn("effect", F.lit(name)))
         coefficients.append(run.tables["fixed_effect_coefficients"])
