@@ -8,6 +8,7 @@ from quintil.catalog.base import JOINED, SURVEY, people, query, split_people, su
 from quintil.ml import design, importance, linear, models, neighbors
 from quintil.operators import effects, selection, splits
 from quintil.operators.order import add_row_id
+from quintil.session import settle
 
 W = f"WITH {SURVEY}"
 TRAIN = f"{JOINED}, train AS (SELECT * FROM joined WHERE split = 'train')"
@@ -381,20 +382,19 @@ def j22(spark, sf_dir):
     return models.depth_sweep(train_rows(spark, sf_dir), FEATURES, TARGET, [2, 4], folds=3, max_iter=5)
 
 
-def labelled(spark, sf_dir):
-    """Income flag of the survey with a unique integer id."""
-    df = add_row_id(survey(spark, sf_dir), ["person_key"])
-    return df.select("row_id", "INGRESO", "P02", "P03", "P09", "H10", "Region", "ANO4")
+CLASS_FEATURES = ["P02", "P03", "P09", "H10", "Region", "ANO4"]
 
 
-CLASS_FEATURES = ["P02", "P03", "P09", "H10", "Region", "ANO4"]
+def labelled(spark, sf_dir):
+    """Income flag of the survey with a unique integer id."""
+    df = survey(spark, sf_dir).select("person_key", "INGRESO", *CLASS_FEATURES)
+    return settle(add_row_id(df, ["person_key"]).drop("person_key"))
 
 
 def classified(spark, sf_dir, model, params):
     from quintil.operators.classify import classification_report, roc_auc
 
-    df = labelled(spark, sf_dir)
-    joined = df.join(splits.random_split(df), "row_id")
+    joined = splits.with_split(labelled(spark, sf_dir))
     fitted = models.fit_model(joined.filter(F.col("split") == "train"), CLASS_FEATURES, "INGRESO", model, params)
     test = fitted.transform(joined.filter(F.col("split") == "test")).select("INGRESO", "y_pred", "score").persist()
     report = classification_report(test.withColumn("y_pred", F.col("y_pred").cast("int")), "INGRESO", "y_pred")

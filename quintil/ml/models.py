@@ -181,6 +181,7 @@ def fit_model(
         prepared = prepare(used, features, categorical, LEVEL_BOUNDS.get(model))
         vectors = _vectors(used, prepared, target).persist(StorageLevel.MEMORY_AND_DISK)
         rows = vectors.count()
+        used.unpersist()  # the passes of the fit read the vectors alone
         return FittedModel(prepared, estimator(model, params or {}, rows, seed).fit(vectors))
     finally:
         used.unpersist()
