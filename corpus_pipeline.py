@@ -38,7 +38,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of documents that share four fifths of their five-word shingles."""
+    """The document with the smallest id of each component of documents that share four fifths of their five-word shingles: links of SimHash, then of MinHash, all checked on the sets."""
     named = docs.where("doc_id IS NOT NULL")
     first = similar.first_of_each(named).withColumnRenamed("key", "doc_id")
     return named.join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -4,11 +4,15 @@ A document is the set of its shingles (``width`` words, A-Z in lower case; a sho
 words the empty set) as 64-bit hashes. Documents with equal sets are one vertex, so copies of any number count once. Two
 vertices link when their sets have a Jaccard similarity of 4/5 or more, counted on the sets themselves.
 
-Candidates share one of 28 bands of four MinHash values. A pair at similarity 0.8 shares no band with probability
-(1 - 0.8^4)^28 = 4e-7, and less above it: this is the only place where a link can be lost. SimHash would lose more: its
-distance at 0.8 is about 10 of 64 bits by calculation (not measured), too far for a split into segments.
+The operator of fuzzy SimHash (``simhash``) comes first, on shingles of the same width: every document's set is compared
+with that of the first document of its component of fingerprints, a comparison a document, and what is similar becomes one
+component. Fingerprints alone would lose links: their distance at similarity 0.8 is about 10 of 64 bits by calculation
+(not measured), too far for the split into blocks. So the links that they miss come from MinHash.
 
-Pairs of a band are not listed. First one member of every band is compared with its members of other components and the
+Those candidates share one of 28 bands of four MinHash values. A pair at similarity 0.8 shares no band with probability
+(1 - 0.8^4)^28 = 4e-7, and less above it: this is the only place where a link can be lost.
+
+Pairs of a band are not listed. One member of every band is compared with its members of other components and the
 components are made, so a large group of near copies becomes one component in few comparisons.
 What is left, links between components and groups alike below the bound, goes through an exact prefix filter: shingles are
 ordered by how many of the open documents hold them, rarest first; two similar sets share a shingle among their first fifth
@@ -26,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quintil.llm import simhash
 from quintil.llm.components import smallest_reachable
 from quintil.llm.text import word_hashes
 from quintil.session import settle
@@ -203,10 +208,26 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     return near.join(left, "a").join(right, "b").where(_similar(common + rest, F.col("a_n"), F.col("b_n"))).select("a", "b")
 
 
-def _link(members: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """(u, v): every vertex of ``members`` (band, set_id, n, root) that is not the smallest of its component, with that one."""
-    roots = None
+def fingerprint_pairs(docs: DataFrame, marked: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """Pairs (a, b) of the sets of each document and of the first of its component of fingerprints."""
+    found = simhash.near_duplicates(docs, text, key, width).select(F.col(key).alias("key"), F.col("component_id").alias("first"))
+    firsts = marked.groupBy(F.col("key").alias("first")).agg(F.min("set_id").alias("a"))
+    pairs = found.join(marked.select("key", F.col("set_id").alias("b")), "key").join(firsts, "first").where("a != b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    to = roots.select(F.col("u").alias("set_id"), F.col("v").alias("to"))
+    return members.drop("root").join(to, "set_id", "left").withColumn("root", F.coalesce("to", "set_id")).drop("to")
+
+
+def _link(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, v): every vertex of ``members`` (band, set_id, n) that is not the smallest of its component, with that one.
+
+    ``roots`` holds the components of the links already known, in the same form.
+    """
     plain = members
+    members = _rooted(plain, roots)
     for number in range(ROUNDS + 1):
         members = _open(members)
         if members.isEmpty():
@@ -220,9 +241,8 @@ def _link(members: DataFrame, sets: DataFrame) -> DataFrame | None:
             wanted = one.join(b, (F.col("a.band") == F.col("b.band")) & _across("a", "b")).select(*_ordered("a", "b")).distinct()
         fresh = _verified(wanted, sets)
         # The components so far are stars, so all earlier links are in them.
-        roots = smallest_reachable(fresh if roots is None else roots.select(F.col("u").alias("a"), F.col("v").alias("b")).union(fresh))
-        to = roots.select(F.col("u").alias("set_id"), F.col("v").alias("to"))
-        members = plain.drop("root").join(to, "set_id", "left").withColumn("root", F.coalesce("to", "set_id")).drop("to")
+        roots = smallest_reachable(roots.select(F.col("u").alias("a"), F.col("v").alias("b")).union(fresh))
+        members = _rooted(plain, roots)
     return roots
 
 
@@ -230,17 +250,18 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     """The smallest key of every component of near copies, in a column ``key``; keys are not null."""
     rows = docs.select(docs[key].alias("key"), F.xxhash64(docs[text]).alias("h"), docs[text].alias("text"))
     one = F.min(F.struct("key", "h")).alias("one")
-    marked = _sketches(rows, width)
+    marked = settle(_sketches(rows, width))
     vertices = settle(marked.groupBy("set_id", "n").agg(one, F.first("bands").alias("bands")))
     banded = vertices.select(F.explode("bands").alias("band"), "set_id", "n")
     shared = banded.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
-    members = settle(banded.join(shared, "band", "left_semi").withColumn("root", F.col("set_id")))
-    wanted = vertices.join(members.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "one.key", "one.h")
+    members = settle(banded.join(shared, "band", "left_semi"))
+    pairs = settle(fingerprint_pairs(docs, marked, key, text, width))
+    used = members.select("set_id").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    wanted = vertices.join(used, "set_id", "left_semi").select("set_id", "one.key", "one.h")
     texts = rows.join(wanted, ["key", "h"]).select("set_id", "text").dropDuplicates(["set_id"])
-    found = _link(members, settle(_sets(texts, width)))
+    sets = settle(_sets(texts, width))
+    found = _link(members, sets, smallest_reachable(_verified(pairs, sets)))
     least = vertices.select("set_id", F.col("one.key").alias("key"))
-    if found is None:
-        return least.select("key").distinct()
     roots = found.select(F.col("u").alias("set_id"), F.col("v").alias("to"))
     joined = least.join(roots, "set_id", "left").groupBy(F.coalesce("to", "set_id")).agg(F.min("key").alias("key"))
     return joined.select("key").distinct()

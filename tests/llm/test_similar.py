@@ -70,3 +70,22 @@ def test_near_dedup_by_prefixes_after_fewer_rounds(spark, monkeypatch, rounds):
     rows = documents()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.key for r in similar.first_of_each(docs).collect()} == brute_first(rows)
+
+
+def test_near_dedup_runs_the_fingerprint_operator(spark, monkeypatch):
+    """The operator of fuzzy SimHash names pairs, all of them right ones once checked, before any band is read."""
+    seen = []
+    pairs_of = similar.fingerprint_pairs
+
+    def kept(*args):
+        seen.append(pairs_of(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(similar, "fingerprint_pairs", kept)
+    monkeypatch.setattr(similar, "_link", lambda members, sets, roots: roots)
+    rows = documents()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first = {r.key for r in similar.first_of_each(docs).collect()}
+    assert len(seen) == 1 and seen[0].count() > 0
+    alone = len({shingles(t) for _, t in rows})
+    assert brute_first(rows) <= first and len(brute_first(rows)) < len(first) < alone
