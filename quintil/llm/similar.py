@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from quintil.llm import simhash
 from quintil.llm.components import smallest_reachable
 from quintil.llm.text import word_hashes
-from quintil.session import settle
+from quintil.session import counted, in_few_partitions, settle
 
 WIDTH = 5
 BANDS, ROWS = 28, 4
@@ -178,13 +178,15 @@ def _ordered(left: str, right: str) -> list[Column]:
 def _open(members: DataFrame) -> DataFrame:
     """Members of bands that hold more than one component."""
     bands = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    return settle(members.join(bands.select("band"), "band", "left_semi"))
+    left = settle(members.join(bands.select("band"), "band", "left_semi"))
+    return in_few_partitions(left, counted(left))
 
 
 def _prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that exact prefix bounds leave, of all that can be similar."""
     vertices = members.select("set_id", "n", "root").distinct()
     tokens = settle(sets.join(vertices.select("set_id"), "set_id", "left_semi").select("set_id", F.explode("shingles").alias("token")))
+    tokens = in_few_partitions(tokens, counted(tokens))
     counts = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     # A shingle of one set alone is matched by none; it only takes a place before all others.
     shared = tokens.join(counts, "token").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("order"))
@@ -194,6 +196,7 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     held = shared.join(vertices, "set_id").withColumns({"taken": taken, "alone": alone}).where("taken > alone")
     prefix = held.withColumn("prefix", F.slice("order", F.lit(1), F.col("taken") - F.col("alone"))).drop("order")
     prefix = settle(prefix.withColumn("last", F.element_at("prefix", -1)).withColumn("prefix", F.col("prefix.token")))
+    prefix = in_few_partitions(prefix, counted(prefix, F.sum(F.size("prefix"))))
 
     entries = prefix.select("set_id", "n", "root", "alone", F.posexplode("prefix").alias("place", "token")).withColumn("place", F.col("place") + F.col("alone"))
     a, b = entries.alias("a"), entries.alias("b")
@@ -255,11 +258,14 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     banded = vertices.select(F.explode("bands").alias("band"), "set_id", "n")
     shared = banded.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
     members = settle(banded.join(shared, "band", "left_semi"))
+    members = in_few_partitions(members, counted(members))
     pairs = settle(fingerprint_pairs(docs, marked, key, text, width))
+    pairs = in_few_partitions(pairs, counted(pairs))
     used = members.select("set_id").union(pairs.select("a")).union(pairs.select("b")).distinct()
     wanted = vertices.join(used, "set_id", "left_semi").select("set_id", "one.key", "one.h")
     texts = rows.join(wanted, ["key", "h"]).select("set_id", "text").dropDuplicates(["set_id"])
     sets = settle(_sets(texts, width))
+    sets = in_few_partitions(sets, counted(sets, F.sum(F.size("shingles"))))
     found = _link(members, sets, smallest_reachable(_verified(pairs, sets)))
     least = vertices.select("set_id", F.col("one.key").alias("key"))
     roots = found.select(F.col("u").alias("set_id"), F.col("v").alias("to"))

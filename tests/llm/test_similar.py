@@ -4,7 +4,8 @@ import pytest
 from test_text_operators import lower, words
 
 import corpus_pipeline
-from quintil.llm import similar
+from quintil import session
+from quintil.llm import components, similar
 
 
 def shingles(text):
@@ -89,3 +90,25 @@ def test_near_dedup_runs_the_fingerprint_operator(spark, monkeypatch):
     assert len(seen) == 1 and seen[0].count() > 0
     alone = len({shingles(t) for _, t in rows})
     assert brute_first(rows) <= first and len(brute_first(rows)) < len(first) < alone
+
+
+def edges_of_paths():
+    return [(b * 100 + i, b * 100 + i + 1) for b in range(20) for i in range(12)] + [(7, 7), (3, None)]
+
+
+@pytest.mark.parametrize("rows", [50, 200_000])
+def test_components_lie_in_the_partitions_that_their_edges_ask_for(spark, monkeypatch, rows):
+    """Small rounds do not take a file for each partition of the session and each shuffle."""
+    monkeypatch.setattr(session, "PARTITION_ROWS", rows)
+    conf = {"spark.sql.shuffle.partitions": "31", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame(edges_of_paths(), "a long, b long")
+        found = components.smallest_reachable(edges)
+        assert {tuple(r) for r in found.collect()} == {(b * 100 + i, b * 100) for b in range(20) for i in range(1, 13)}
+        assert found.rdd.getNumPartitions() == (5 if rows == 50 else 1)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
