@@ -1,5 +1,8 @@
 """Work that must not be repeated as tables grow, and the exactness of what replaced it."""
 
+import datetime
+from decimal import Decimal
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -7,8 +10,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quintil.ml import models, neighbors
-from quintil.operators import explore, household, order
+from quintil.catalog import runs as stored
+from quintil.operators import dataset, explore, household, order
 from quintil.plans import experiment
+from quintil.session import settle, settle_packed
 
 
 def counted(spark, df):
@@ -96,3 +101,106 @@ def test_studies_check_and_join_their_rows_once(spark, monkeypatch):
     spec = experiment.Experiment("s", {"ridge": {"alpha": [1.0]}})
     experiment.fixed_effect_study(spec, df, splits.random_split(data), ("year_fe", "quarter_fe"))
     assert seen == [(40, ["ANO4", "made"])] * 2 and len(checks) == 1
+
+
+def wide(spark, rows=40_000):
+    """Two keys, 20 small numbers and a text for each row."""
+    numbers = [((F.col("id") * 37 + i) % 9).cast("double").alias(f"x{i}") for i in range(20)]
+    return spark.range(rows, numPartitions=3).select("id", (F.col("id") % 901).alias("home"), *numbers, F.concat(F.lit("row-"), "id").alias("name"))
+
+
+def written_by(spark, work):
+    """Bytes that ``work`` leaves in the checkpoint folder, and what it returns."""
+    root = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = {p: p.stat().st_size for p in root.rglob("part-*")}
+    made = work()
+    return sum(p.stat().st_size for p in root.rglob("part-*") if p not in before), made
+
+
+def test_wide_rows_are_written_packed(spark):
+    df = wide(spark)
+    plain, _ = written_by(spark, lambda: settle(df))
+    ranked_bytes, ranked = written_by(spark, lambda: order.add_row_id(df, ["name"]))
+    summed_bytes, summed = written_by(spark, lambda: household.attach_totals(df, ["home"], {"n": F.count(F.lit(1)), "top": F.max("x3")}))
+    assert ranked_bytes < plain / 2 and summed_bytes < plain / 2
+    want = {name: i for i, name in enumerate(sorted(f"row-{i}" for i in range(40_000)))}
+    assert {r["name"]: r["row_id"] for r in ranked.select("name", "row_id").collect()} == want
+    rows = summed.select("id", "home", "n", "top", "x3", "name").collect()
+    assert len(rows) == 40_000
+    tops = {}
+    for r in rows:
+        tops[r["home"]] = max(tops.get(r["home"], 0), r["x3"])
+        assert r["x3"] == (r["id"] * 37 + 3) % 9 and r["name"] == f"row-{r['id']}"
+    assert all(r["n"] == len(range(r["home"], 40_000, 901)) and r["top"] == tops[r["home"]] for r in rows)
+
+
+def test_packed_rows_are_the_rows(spark):
+    kinds = "a long, b int, c double, d string, e boolean, f date, g timestamp, h timestamp_ntz, i decimal(20,4), j binary, k float, l string"
+    at = datetime.datetime(1969, 12, 31, 23, 59, 59, 123456)
+    full = (1 << 60, -7, -0.0, "\u00e9\n", True, at.date(), at, at, Decimal("-1.2345"), bytearray(b"\x00z"), 0.5, "")
+    rows = [full, (None,) * 12, (0, 0, float("inf"), None, False, None, None, at, None, bytearray(), None, "x")]
+    df = spark.createDataFrame(rows, kinds).repartition(2).withColumn("part", F.spark_partition_id())
+    df = settle(df.select("*", F.lit(1).alias("m")))
+    whole, some, none = settle_packed(df, ["l", "c"], ["part"])
+    assert whole.schema == df.schema and some.columns == ["c", "l"]
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, df.collect()))
+    assert sorted(map(repr, some.collect())) == sorted(map(repr, df.select("c", "l").collect()))
+    assert all(r["part"] == r["now"] for r in none.withColumn("now", F.spark_partition_id()).collect())
+    lists = df.withColumn("z", F.array("a"))
+    assert sorted(map(repr, settle_packed(lists)[0].collect())) == sorted(map(repr, lists.collect()))
+    assert settle_packed(df.filter("a > 5 and a < 4"), ["a"])[1].count() == 0
+
+
+def survey_tables(spark, root, orders=12):
+    """The tables of the survey: three lines an order, one of which has no income."""
+    from quintil.catalog.base import SCHEMAS
+
+    def store(name, rows):
+        spark.createDataFrame(rows, SCHEMAS[name]).write.parquet(f"{root}/{name}.parquet")
+
+    def day(i):
+        return datetime.datetime(1995 + i % 3, 1 + i, 2)
+
+    store("region", [(0, "ASIA")])
+    store("nation", [(3, "JAPAN", 0)])
+    store("customer", [(1, "c", 3, 1.5, "m")])
+    store("part", [(i, "p", "b", "t", 41 + i, 9.0) for i in range(10)])
+    store("orders", [(i, 1, "O", 10.0, day(i), "1-URGENT") for i in range(orders)])
+    store("lineitem", [
+        (i, (i + k) % 9, i % 4, k + 1, 1.0 + 2 * i, 100.0 + i + k / 4, 0.05 * k, 0.02, "A" if k == 2 else "N", "F", day(i))
+        for i in range(orders) for k in range(3)
+    ])
+    return str(root)
+
+
+def seen_by(monkeypatch, module, name):
+    """The columns of the frames that reach a function."""
+    seen, inner = [], getattr(module, name)
+
+    def spy(df, *args, **kwargs):
+        seen.append(set(df.columns))
+        return inner(df, *args, **kwargs)
+
+    monkeypatch.setattr(module, name, spy)
+    return seen
+
+
+def test_sink_dataset_sorts_and_writes_the_modelling_columns_only(spark, tmp_path, monkeypatch):
+    root = survey_tables(spark, tmp_path)
+    ranked, summed = seen_by(monkeypatch, order, "order_rank"), seen_by(monkeypatch, household, "attach_totals")
+    sunk = []
+    sink = stored.tables.sink_dataset
+    monkeypatch.setattr(stored.tables, "sink_dataset", lambda data, meta, path: sunk.append((data, meta)) or sink(data, meta, path))
+    counts = stored.a11(spark, root).first()
+    assert counts["n"] == counts["row_count_after_filters"] == sunk[0][0].count() > 0
+    assert not ranked[0] & {"CODUSU", "INGRESO", "P47T", "P21", "T_VI", "logP21", "logT_VI"}
+    assert {"P21", "T_VI"} <= summed[0] and not summed[0] & {"logP21", "logT_VI"}
+    facts = sunk[0][1].first()
+    assert facts["excluded_forbidden_predictors"] == sorted(["CODUSU", "INGRESO", "P47T", "P21", "T_VI", "logP21", "logT_VI"])
+    assert {"logP21", "logT_VI", "Max_Nivel_Educativo", "Personas_0-3"} <= set(facts["engineered_columns"])
+    data = sunk[0][0]
+    assert data.columns[:2] == ["row_id", "logP47T"] and facts["feature_count"] == len(data.columns) - 2
+    rows = data.orderBy("row_id").collect()
+    assert [r["row_id"] for r in rows] == list(range(len(rows)))
+    assert [r["person_key"] for r in rows] == sorted(r["person_key"] for r in rows)
+    assert all(sum(r[c] for c in dataset.COMPOSITION) == 3 for r in rows)
