@@ -204,3 +204,24 @@ def test_sink_dataset_sorts_and_writes_the_modelling_columns_only(spark, tmp_pat
     assert [r["row_id"] for r in rows] == list(range(len(rows)))
     assert [r["person_key"] for r in rows] == sorted(r["person_key"] for r in rows)
     assert all(sum(r[c] for c in dataset.COMPOSITION) == 3 for r in rows)
+
+
+def test_modeling_rows_are_sorted_without_what_is_left_out(spark, tmp_path, monkeypatch):
+    from quintil.catalog import dataset as catalog
+
+    root = survey_tables(spark, tmp_path)
+    ranked = seen_by(monkeypatch, order, "order_rank")
+    df = catalog.b5(spark, root)
+    assert len(ranked) == 1 and ranked[0] == set(df.columns) - {"row_id"}
+    assert not ranked[0] & {"CODUSU", "INGRESO", "P47T", "P21", "T_VI", "logP21", "logT_VI"}
+    rows = df.orderBy("row_id").collect()
+    places = [(r["ANO4"], r["person_key"]) for r in rows]
+    assert [r["row_id"] for r in rows] == list(range(len(rows))) and places == sorted(places)
+    # Every third line has no income.
+    kept = [(i, k) for i in range(12) for k in range(2)]
+    assert len(rows) == len(kept)
+    by_key = {r["person_key"]: r for r in rows}
+    for i, k in kept:
+        r = by_key[f"{i}-{k + 1}-{(i + k) % 9}-{i % 4}-{100 + i + k / 4:.2f}-{1995 + i % 3}-{1 + i:02d}-02"]
+        assert r["logP47T"] == round(np.log10(100 + i + k / 4), 6) and r["P03"] == 2 + 4 * i
+        assert sum(r[c] for c in dataset.COMPOSITION) == 3
